@@ -1,10 +1,418 @@
-"""Every query of the engine's own operators, bound to the test tables, with its SQL."""
+"""Every query of the engine's own operators, bound to the test tables, with its SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.functions import marks, names
+from tallyloom.operators import aggregates, entity, joins, patches, quality, query, windows
+from tallyloom.sources import readers
+from tallyloom.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return readers.parquet(self.spark, self.folder, name)
+
+
+def register(sql: str | None) -> Callable:
+    """Registers a function of Tables under its name."""
+
+    def add(f: Callable[[Tables], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+ORDER_PAGE = query.Spec(equals={"o_orderstatus": "F", "o_orderpriority": None}, at_least={"o_totalprice": 1000.0}, order=(("o_totalprice", True), ("o_orderkey", False)), limit=100, offset=100)
+
+
+@register("SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 1000 ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET 100")
+def faceted_page(t: Tables) -> DataFrame:
+    return query.page(t.orders, ORDER_PAGE, "o_orderkey")
+
+
+@register("SELECT count(*) AS n, CAST(ceil(count(*) / 100.0) AS BIGINT) AS pages FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 1000")
+def faceted_count(t: Tables) -> DataFrame:
+    return query.count(t.orders, ORDER_PAGE)
+
+
+@register("SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%ri%' OR p_brand ILIKE '%ri%'")
+def contains_search(t: Tables) -> DataFrame:
+    return t.part.filter(query.predicate(query.Spec(contains={"ri": ["p_name", "p_brand"]}))).select("p_partkey", "p_name", "p_brand")
+
+
+@register("SELECT c_custkey, c_mktsegment FROM customer WHERE lower(c_mktsegment) = 'building'")
+def nocase_equality(t: Tables) -> DataFrame:
+    return t.customer.filter(query.predicate(query.Spec(nocase={"c_mktsegment": "building"}))).select("c_custkey", "c_mktsegment")
+
+
+@register("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 12 AND l_linenumber <= 3")
+def range_bounds(t: Tables) -> DataFrame:
+    spec = query.Spec(at_least={"l_quantity": 10.0}, at_most={"l_quantity": 12.0, "l_linenumber": 3})
+    return t.lineitem.filter(query.predicate(spec)).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@register("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 77 LIMIT 1")
+def point_lookup(t: Tables) -> DataFrame:
+    return t.customer.filter("c_custkey = 77").select("c_custkey", "c_name").limit(1)
+
+
+@register("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_returnflag = 'R' AND nullif(l_linenumber, 7) IS NOT NULL) AND l_linestatus IN ('F')")
+def negated_conjunction(t: Tables) -> DataFrame:
+    relay, leg = F.col("l_returnflag") == "R", F.nullif("l_linenumber", F.lit(7))
+    return t.lineitem.filter(~(relay & leg.isNotNull()) & F.col("l_linestatus").isin("F")).select("l_orderkey", "l_linenumber")
+
+
+@register("SELECT a.l_orderkey, a.l_partkey FROM lineitem a JOIN (SELECT DISTINCT l_orderkey, nullif(l_linenumber, 7) AS p FROM lineitem WHERE l_linenumber >= 6) b ON a.l_orderkey = b.l_orderkey AND nullif(a.l_linenumber, 7) IS NOT DISTINCT FROM b.p")
+def null_safe_match(t: Tables) -> DataFrame:
+    rows = t.lineitem.withColumn("p", F.nullif("l_linenumber", F.lit(7)))
+    other = rows.filter("l_linenumber >= 6").select("l_orderkey", "p").distinct()
+    return joins.null_safe_match(rows, other, ["l_orderkey"], ["p"]).select("l_orderkey", "l_partkey")
+
+
+@register("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT coalesce(nullif(l_linenumber, 7) > 3 OR l_returnflag = 'R', false)")
+def topk_retention(t: Tables) -> DataFrame:
+    rows = t.lineitem.withColumn("place", F.nullif("l_linenumber", F.lit(7)))
+    return query.retain_top(rows, "place", 3, F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber")
+
+
+@register("""SELECT s_suppkey, s_name, n_name, count(*) AS n, count(DISTINCT year(l_shipdate)) AS n_years, CAST(min(year(l_shipdate)) AS INTEGER) AS first_year, CAST(max(year(l_shipdate)) AS INTEGER) AS last_year
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE s_name ILIKE '%1%' GROUP BY 1, 2, 3 ORDER BY n DESC, s_suppkey LIMIT 50""")
+def dim_search_rollup(t: Tables) -> DataFrame:
+    year = F.year("l_shipdate")
+    # suppliers are aggregated by their key first; the dimensions join the few rows that are left
+    rolled = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.count_distinct(year).alias("n_years"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
+    named = t.supplier.filter(F.col("s_name").ilike("%1%")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return rolled.join(named, "s_suppkey").select("s_suppkey", "s_name", "n_name", "n", "n_years", "first_year", "last_year").orderBy(F.desc("n"), "s_suppkey").limit(50)
+
+
+@register("SELECT o_orderkey, o_custkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def lookup_assign(t: Tables) -> DataFrame:
+    return joins.lookup(t.orders.select("o_orderkey", "o_custkey"), t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), ["o_custkey"]).select("o_orderkey", "o_custkey", "c_mktsegment")
+
+
+@register("""SELECT o_custkey, count(*) AS n, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities FROM orders
+WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1""")
+def semi_join_group(t: Tables) -> DataFrame:
+    urgent = t.orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return t.orders.join(urgent, "o_custkey", "left_semi").groupBy("o_custkey").agg(F.count("*").alias("n"), aggregates.joined_set("o_orderpriority").alias("priorities"))
+
+
+@register("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def orphan_check(t: Tables) -> DataFrame:
+    return joins.orphans(t.orders.select("o_orderkey"), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+
+
+RANGES = [("F", 1993, 1995, 1, "early"), ("F", 1995, 1997, 2, "middle"), ("O", 1996, None, 1, "open"), ("O", 1990, 1999, 2, "closed"), ("P", 1998, 1997, 1, "never")]
+
+
+@register("""WITH ranges(s, a, b, ordinal, label) AS (VALUES ('F', 1993, 1995, 1, 'early'), ('F', 1995, 1997, 2, 'middle'), ('O', 1996, NULL, 1, 'open'), ('O', 1990, 1999, 2, 'closed'), ('P', 1998, 1997, 1, 'never'))
+SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, (SELECT arg_min(label, ordinal) FROM ranges WHERE s = o_orderstatus AND year(o_orderdate) >= a AND (b IS NULL OR year(o_orderdate) <= b)) AS label FROM orders""")
+def interval_lookup_first(t: Tables) -> DataFrame:
+    ranges = t.spark.createDataFrame(RANGES, "o_orderstatus string, start int, end int, ordinal int, label string")
+    rows = t.orders.select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("year"))
+    return joins.interval_lookup(rows, ranges, "year", ["o_orderstatus"], "label", 1980, 2030).select("o_orderkey", "year", "label")
+
+
+@register("""SELECT a.c_nationkey AS nation, a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey
+WHERE substr(a.c_name, 1, 1) = substr(b.c_name, 1, 1) AND levenshtein(a.c_name, b.c_name) <= 1""")
+def blocked_fuzzy_pairs(t: Tables) -> DataFrame:
+    rows = t.customer.select(F.col("c_nationkey").alias("nation"), F.substring("c_name", 1, 1).alias("initial"), "c_custkey", "c_name")
+    match = entity.close(F.col("a_c_name"), F.col("b_c_name"))
+    return entity.blocked_pairs(rows, "c_custkey", ["nation", "initial"], match).select("nation", F.col("a_c_custkey").alias("a"), F.col("b_c_custkey").alias("b"))
+
+
+@register("""SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS members FROM lineitem GROUP BY 1 HAVING count(*) <> 4""")
+def team_members(t: Tables) -> DataFrame:
+    return joins.teams(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey"]).filter("n <> 4")
+
+
+@register("SELECT o_custkey, count(*) AS n, CAST(min(year(o_orderdate)) AS INTEGER) AS first_year, CAST(max(year(o_orderdate)) AS INTEGER) AS last_year FROM orders GROUP BY 1")
+def group_span(t: Tables) -> DataFrame:
+    return aggregates.spans(t.orders, ["o_custkey"], F.year("o_orderdate"))
+
+
+@register("""SELECT l_orderkey, l_suppkey, count(DISTINCT l_linenumber) AS n_values, string_agg(DISTINCT l_linenumber, ',' ORDER BY l_linenumber) AS value_list FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_linenumber) > 1""")
+def multi_place_conflict(t: Tables) -> DataFrame:
+    return aggregates.conflicts(t.lineitem, ["l_orderkey", "l_suppkey"], "l_linenumber")
+
+
+@register("""SELECT l_orderkey, l_returnflag, CAST(unnest(range(n + 1, 9)) AS INTEGER) AS slot FROM
+(SELECT l_orderkey, l_returnflag, CASE WHEN l_returnflag = 'R' THEN count(DISTINCT l_linenumber) ELSE count(*) END AS n FROM lineitem GROUP BY 1, 2) WHERE n < 8""")
+def missing_slots(t: Tables) -> DataFrame:
+    n = F.when(F.col("l_returnflag") == "R", F.count_distinct("l_linenumber")).otherwise(F.count("*"))
+    return aggregates.missing_slots(t.lineitem, ["l_orderkey", "l_returnflag"], n)
+
+
+@register("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) = 4")
+def exact_cardinality(t: Tables) -> DataFrame:
+    return aggregates.exact_groups(t.lineitem, ["l_orderkey"], 4)
+
+
+@register("SELECT DISTINCT 'priority' AS facet, o_orderpriority AS value FROM orders UNION ALL SELECT DISTINCT 'year', CAST(year(o_orderdate) AS VARCHAR) FROM orders")
+def distinct_facets(t: Tables) -> DataFrame:
+    pair = F.array(F.struct(F.lit("priority").alias("facet"), F.col("o_orderpriority").alias("value")), F.struct(F.lit("year").alias("facet"), F.year("o_orderdate").cast("string").alias("value")))
+    return t.orders.select(F.inline(pair)).distinct()
+
+
+BEST = "SELECT {key}, l_extendedprice, l_orderkey, l_linenumber, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY CASE WHEN asc_ THEN l_extendedprice ELSE -l_extendedprice END, l_orderkey, l_linenumber, l_suppkey, l_quantity) AS r FROM ({rows})) WHERE r = 1"
+BEST_COLUMNS = ["l_partkey", "l_extendedprice", "l_orderkey", "l_linenumber", "l_suppkey"]
+BEST_TIES = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"]
+
+
+@register(BEST.format(key="l_partkey", rows="SELECT *, l_partkey % 2 = 0 AS asc_ FROM lineitem"))
+def best_by_direction(t: Tables) -> DataFrame:
+    return aggregates.best(t.lineitem, ["l_partkey"], "l_extendedprice", BEST_TIES, F.col("l_partkey") % 2 == 0).select(*BEST_COLUMNS)
+
+
+@register(BEST.format(key="l_partkey", rows="SELECT *, first_value(l_extendedprice) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) < 30000 AS asc_ FROM lineitem"))
+def best_by_threshold(t: Tables) -> DataFrame:
+    rows = aggregates.by_first_mark(t.lineitem, ["l_partkey"], "l_extendedprice", BEST_TIES, 30_000)
+    return aggregates.best(rows, ["l_partkey"], "l_extendedprice", BEST_TIES, F.col("ascending")).select(*BEST_COLUMNS)
+
+
+@register("""SELECT l_suppkey, count(*) FILTER (l_linenumber = 1) AS gold, count(*) FILTER (l_linenumber = 2) AS silver, count(*) FILTER (l_linenumber = 3) AS bronze, count(*) FILTER (l_linenumber <= 5) AS top, count(*) AS total FROM lineitem GROUP BY 1""")
+def placing_summary(t: Tables) -> DataFrame:
+    return aggregates.placings(t.lineitem, ["l_suppkey"], "l_linenumber", 5)
+
+
+@register("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 20")
+def notable_top20(t: Tables) -> DataFrame:
+    return aggregates.notable(t.orders, "o_custkey")
+
+
+@register("SELECT l_partkey, l_returnflag AS mode, n FROM (SELECT l_partkey, l_returnflag, count(*) AS n, row_number() OVER (PARTITION BY l_partkey ORDER BY count(*) DESC, l_returnflag) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1")
+def mode_with_ties(t: Tables) -> DataFrame:
+    return aggregates.modes(t.lineitem, ["l_partkey"], "l_returnflag")
+
+
+@register("""SELECT l_orderkey, CAST(min(e) AS INTEGER) AS expected, CAST(arg_min(l_linenumber, e) AS INTEGER) AS got FROM
+(SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS e, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE e <> l_linenumber AND n > 1 GROUP BY 1""")
+def rank_gap(t: Tables) -> DataFrame:
+    return windows.rank_gaps(t.lineitem, ["l_orderkey"], "l_linenumber")
+
+
+@register("""SELECT l_orderkey, l_linenumber, l_quantity, previous FROM (SELECT *, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS previous FROM lineitem) WHERE l_quantity < previous""")
+def lag_monotonic(t: Tables) -> DataFrame:
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    return windows.out_of_order(t.lineitem, ["l_orderkey"], order, "l_quantity").select("l_orderkey", "l_linenumber", "l_quantity", "previous")
+
+
+@register("""WITH days AS (SELECT DISTINCT user_id, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS BIGINT) AS day FROM events WHERE event_type = 'purchase'),
+marked AS (SELECT *, CASE WHEN day - lag(day) OVER w > 5 OR lag(day) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM days WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+numbered AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY day) AS BIGINT) AS cluster FROM marked)
+SELECT user_id, cluster, min(day) AS first, max(day) AS last, count(*) AS n FROM numbered GROUP BY 1, 2""")
+def gap_clusters(t: Tables) -> DataFrame:
+    days = t.events.filter("event_type = 'purchase'").select("user_id", F.unix_date(F.to_date("ts")).cast("long").alias("day"))
+    return windows.gap_clusters(days, ["user_id"], "day", 5)
+
+
+@register("""WITH have AS (SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS INTEGER) AS day FROM orders),
+missing AS (SELECT CAST(d AS INTEGER) AS day FROM (SELECT unnest(range((SELECT min(day) FROM have), (SELECT max(day) FROM have) + 1)) AS d) WHERE d NOT IN (SELECT day FROM have)),
+keyed AS (SELECT day, day - row_number() OVER (ORDER BY day) AS island FROM missing)
+SELECT min(day) AS first, max(day) AS last FROM keyed GROUP BY island""")
+def missing_islands(t: Tables) -> DataFrame:
+    have = t.orders.select(F.unix_date(F.to_date("o_orderdate")).alias("day")).distinct()
+    all_days = have.agg(F.min("day").alias("a"), F.max("day").alias("b")).filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
+    return windows.islands(all_days.join(have, "day", "left_anti"), "day")
+
+
+@register("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events""")
+def carry_forward(t: Tables) -> DataFrame:
+    return windows.carried(t.events, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("value")), "carried").select("event_id", "carried")
+
+
+@register("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def exact_duplicates(t: Tables) -> DataFrame:
+    return quality.duplicates(t.lineitem, ["l_orderkey", "l_linenumber"])
+
+
+@register("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1")
+def first_wins(t: Tables) -> DataFrame:
+    return windows.first_wins(t.lineitem, ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey")]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@register("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS row_id FROM orders")
+def stable_row_ids(t: Tables) -> DataFrame:
+    return windows.numbered(t.orders.select("o_orderkey"), ["o_orderkey"]).select("o_orderkey", F.col("row_id").cast("long").alias("row_id"))
+
+
+@register("SELECT p_partkey FROM part WHERE p_size < 5 UNION SELECT l_partkey FROM lineitem WHERE l_quantity > 49")
+def set_ops_union(t: Tables) -> DataFrame:
+    return t.part.filter("p_size < 5").select("p_partkey").union(t.lineitem.filter("l_quantity > 49").select("l_partkey")).distinct()
+
+
+@register("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 40")
+def set_ops_except(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey").subtract(t.lineitem.filter("l_quantity > 40").select("l_partkey"))
+
+
+@register("SELECT p_partkey FROM part WHERE p_size > 25 INTERSECT SELECT l_partkey FROM lineitem WHERE l_discount > 0.05")
+def set_ops_intersect(t: Tables) -> DataFrame:
+    return t.part.filter("p_size > 25").select("p_partkey").intersect(t.lineitem.filter("l_discount > 0.05").select("l_partkey"))
+
+
+@register("SELECT n_nationkey, CAST(unnest(range(n_regionkey, least(n_nationkey, 9) + 1)) AS INTEGER) AS year FROM nation WHERE n_regionkey <= least(n_nationkey, 9)")
+def range_expansion(t: Tables) -> DataFrame:
+    end = F.least(F.col("n_nationkey"), F.lit(9))
+    return t.nation.filter(F.col("n_regionkey") <= end).select("n_nationkey", F.explode(F.sequence("n_regionkey", end)).alias("year"))
+
+
+@register("""SELECT p_partkey, round(CASE p_partkey % 4 WHEN 0 THEN p_size * 0.3048 + (p_partkey % 12) * 0.0254 WHEN 1 THEN (p_size % 10) * 60 + (p_partkey % 60) + 0.25 WHEN 2 THEN p_size + 0.5 END, 6) AS num, p_partkey % 4 = 2 AS wind_aided FROM part""")
+def parse_marks(t: Tables) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = F.when(k % 4 == 0, F.concat_ws("-", size, (k % 12).cast("string"))).when(k % 4 == 1, F.concat((F.col("p_size") % 10).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit("¼"))).when(k % 4 == 2, F.concat(size, F.lit("½w/"), size)).otherwise("nt")
+    mark = marks.parse_mark(text)
+    return t.part.select("p_partkey", F.round(mark["num"], 6).alias("num"), mark["wind_aided"].alias("wind_aided"))
+
+
+@register("SELECT l_orderkey, l_linenumber, l_partkey, secs FROM (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN (l_orderkey % 50) * 60.0 + l_linenumber + 0.5 ELSE l_orderkey % 60 + 0.25 END AS secs FROM lineitem) ORDER BY secs, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 100")
+def duration_sort(t: Tables) -> DataFrame:
+    minutes = F.concat((F.col("l_orderkey") % 50).cast("string"), F.lit(":0"), F.col("l_linenumber").cast("string"), F.lit(".5"))
+    text = F.when(F.col("l_partkey") % 2 == 0, minutes).otherwise(F.concat((F.col("l_orderkey") % 60).cast("string"), F.lit(".25")))
+    rows = t.lineitem.withColumn("secs", marks.duration_key(text))
+    return rows.orderBy(F.col("secs").asc_nulls_last(), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").limit(100).select("l_orderkey", "l_linenumber", "l_partkey", "secs")
+
+
+@register("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'Construction' WHEN 'AUTOMOBILE' THEN 'Cars' ELSE c_mktsegment END AS segment FROM customer")
+def alias_map(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", names.mapped(F.col("c_mktsegment"), {"BUILDING": "Construction", "AUTOMOBILE": "Cars"}).alias("segment"))
+
+
+@register("SELECT doc_id, strip_accents(text) AS bare FROM documents WHERE regexp_full_match(text, '[\\x{09}-\\x{7E}À-ÿ]*')")
+def strip_diacritics(t: Tables) -> DataFrame:
+    rows = t.documents.filter(F.col("text").rlike("\\A[\\x{09}-\\x{7E}À-ÿ]*\\z"))
+    return rows.select("doc_id", names.strip_diacritics("text").alias("bare"))
+
+
+@register("SELECT page_id, nullif(trim(regexp_extract(html, '(?s)<title[^>]*>([^<]*)</title>', 1)), '') AS title, CAST(len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS INTEGER) AS n_links FROM pages")
+def html_extract(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", readers.between_tags(F.col("html"), "title").alias("title"), F.size(readers.links(F.col("html"))).alias("n_links"))
+
+
+@register("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, count(*) FILTER (regexp_matches(line, '[0-9]')) AS n_with_digits, CAST(max(length(line)) AS INTEGER) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
+def line_scan(t: Tables) -> DataFrame:
+    return readers.lines(t.documents, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("line").rlike("[0-9]")).alias("n_with_digits"), F.max(F.length("line")).alias("longest"))
+
+
+@register("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+ORDER_KEY = "o_orderkey long, o_orderpriority string, ordinal int"
+
+
+@register("""SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey IN (3, 7) THEN 'fixed' WHEN o_orderkey = 5 THEN 'last' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE NOT (o_orderkey % 10 = 1 AND o_orderstatus = 'F')
+UNION ALL SELECT -1, 'O', 'added'""")
+def apply_patches(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority").withColumn("m", F.col("o_orderkey") % 10)
+    rows = patches.remove_rows(rows, t.spark.createDataFrame([(1, "F")], "m long, o_orderstatus string"), ["m"], ["o_orderstatus"]).drop("m")
+    fixes = t.spark.createDataFrame([(3, "fixed", 1), (5, "first", 2), (7, "fixed", 3), (5, "last", 4)], ORDER_KEY)
+    rows = patches.update_rows(rows, fixes, ["o_orderkey"], {"o_orderpriority": "o_orderpriority"})
+    return patches.insert_missing(rows, t.spark.createDataFrame([(-1, "O", "added"), (3, "X", "not added")], "o_orderkey long, o_orderstatus string, o_orderpriority string"), ["o_orderkey"])
+
+
+@register("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (1, 2) UNION ALL SELECT 1, 1, 11 UNION ALL SELECT 1, 2, 12 UNION ALL SELECT 2, 1, 21""")
+def apply_patches_groups(t: Tables) -> DataFrame:
+    members = t.spark.createDataFrame([(1, 1, 11), (1, 2, 12), (2, 1, 21)], "l_orderkey long, l_linenumber int, l_partkey long")
+    return patches.replace_groups(t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_partkey"), members, ["l_orderkey"])
+
+
+@register("SELECT c_custkey, CASE WHEN c_custkey = 3 THEN NULL ELSE c_name END AS c_name, CASE WHEN c_custkey = 2 THEN 12.5 ELSE c_acctbal END AS c_acctbal FROM customer")
+def dynamic_corrections(t: Tables) -> DataFrame:
+    fixes = t.spark.createDataFrame([(2, {"c_acctbal": "12.5"}, 1), (3, {"c_name": None}, 2)], "c_custkey long, corrections map<string,string>, ordinal int")
+    return patches.correct(t.customer.select("c_custkey", "c_name", "c_acctbal"), fixes, ["c_custkey"])
+
+
+@register("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT ((l_orderkey = 1 AND l_linenumber <> 1) OR l_orderkey = 3)")
+def near_duplicate_places(t: Tables) -> DataFrame:
+    cases = t.spark.createDataFrame([(1, "1"), (2, "both"), (3, "neither"), (4, None)], "l_orderkey long, keep string")
+    return patches.keep_places(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), cases, ["l_orderkey"], "l_linenumber")
+
+
+@register("SELECT 'deleted' AS action, count(*) AS n FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'updated', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'kept', count(*) FROM orders WHERE o_orderstatus = 'O'")
+def patch_audit(t: Tables) -> DataFrame:
+    before = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    after = before.filter("o_orderstatus <> 'P'").withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return patches.audit(before, after, ["o_orderkey"])
+
+
+@register("""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_size = b.p_size THEN 'same_high' WHEN abs(a.p_size - b.p_size) <= 5 AND a.p_type = b.p_type THEN 'likely_same' WHEN abs(a.p_size - b.p_size) <= 8 AND a.p_type = b.p_type THEN 'review' WHEN a.p_type <> b.p_type AND abs(a.p_size - b.p_size) > 8 THEN 'different' ELSE 'unclear' END AS recommendation
+FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
+def decision_table(t: Tables) -> DataFrame:
+    pairs = entity.blocked_pairs(t.part.select("p_name", "p_brand", "p_partkey", "p_size", "p_type"), "p_partkey", ["p_name", "p_brand"])
+    gap = F.abs(F.col("a_p_size") - F.col("b_p_size"))
+    verdict = entity.recommend(F.lit(True), gap == 0, gap, F.col("a_p_type") == F.col("b_p_type"))
+    return pairs.select(F.col("a_p_partkey").alias("a"), F.col("b_p_partkey").alias("b"), verdict.alias("recommendation"))
+
+
+def part_edges(t: Tables) -> DataFrame:
+    pairs = entity.blocked_pairs(t.part.select("p_name", "p_brand", "p_partkey", "p_size"), "p_partkey", ["p_name", "p_brand"])
+    return pairs.filter(F.abs(F.col("a_p_size") - F.col("b_p_size")) <= 5).select(F.col("a_p_partkey").alias("a"), F.col("b_p_partkey").alias("b"))
+
+
+EDGES_SQL = """edges AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 5),
+reach AS (SELECT a AS node, a AS other FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY 1)"""
+
+
+@register(f"WITH RECURSIVE {EDGES_SQL} SELECT node, root FROM roots")
+def components(t: Tables) -> DataFrame:
+    return entity.components(part_edges(t))
+
+
+@register(f"""WITH RECURSIVE {EDGES_SQL}, known AS (SELECT p_partkey AS node, 20000 + p_partkey AS id FROM part WHERE p_partkey % 3 = 0),
+hits AS (SELECT root, count(DISTINCT id) AS n, min(id) AS id FROM roots LEFT JOIN known USING (node) GROUP BY 1)
+SELECT root, CAST(CASE WHEN n = 0 THEN (SELECT max(id) FROM known) + row_number() OVER (PARTITION BY n = 0 ORDER BY root) WHEN n = 1 THEN id END AS BIGINT) AS id, CASE WHEN n = 0 THEN 'new' WHEN n = 1 THEN 'reused' ELSE 'merged' END AS status FROM hits""")
+def stable_ids(t: Tables) -> DataFrame:
+    known = t.part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") + 20000).alias("id"))
+    return entity.stable_ids(entity.components(part_edges(t)), known)
+
+
+@register(f"WITH RECURSIVE {EDGES_SQL} SELECT x.node AS a, y.node AS b, x.root FROM roots x JOIN roots y ON y.node = x.node + 1 AND x.root = y.root")
+def contradictions(t: Tables) -> DataFrame:
+    different = t.part.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
+    return entity.contradictions(entity.components(part_edges(t)), different)
+
+
+@register("SELECT user_id, min(event_type) AS event_type FROM events WHERE value > 95 GROUP BY 1 HAVING count(DISTINCT event_type) = 1")
+def unambiguous_match(t: Tables) -> DataFrame:
+    return entity.unambiguous(t.events.filter("value > 95"), "user_id", "event_type")
+
+
+@register("""SELECT rule, CAST(c_custkey AS VARCHAR) AS key, c_name AS detail FROM (SELECT 'single_word' AS rule, * FROM customer WHERE c_name NOT LIKE '% %' UNION ALL SELECT 'odd_characters', * FROM customer WHERE regexp_matches(c_name, '[0-9:?*]|—|--') UNION ALL SELECT 'long', * FROM customer WHERE length(c_name) > 50
+UNION ALL SELECT 'parentheses', * FROM customer WHERE c_name LIKE '%(%' OR c_name LIKE '%)%' UNION ALL SELECT 'empty', * FROM customer WHERE c_name IS NULL OR trim(c_name) = '')""")
+def suspicious_text(t: Tables) -> DataFrame:
+    return quality.name_issues(t.customer, "c_custkey", "c_name")
+
+
+@register("SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1995 AND 1998)")
+def coverage_gaps(t: Tables) -> DataFrame:
+    coverage = t.spark.createDataFrame([("F", y) for y in range(1995, 1999)], "o_orderstatus string, year int")
+    return quality.uncovered(t.orders.withColumn("year", F.year("o_orderdate")), coverage, ["year", "o_orderstatus"])
+
+
+@register("""SELECT 'duplicates' AS rule, count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'orphans', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def quality_summary(t: Tables) -> DataFrame:
+    return quality.summary([("duplicates", exact_duplicates(t)), ("orphans", orphan_check(t))])
+
+
+@register("""WITH marked AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR OR ts = lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM marked)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts))) AS BIGINT) + 21600 AS end_s, count(*) AS n FROM numbered GROUP BY user_id, s""")
+def event_sessions(t: Tables) -> DataFrame:
+    found = sessions.sessions(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "6 hours", "1 hour")
+    return found.select("user_id", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"), "n")
