@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import slices
+from tallyloom.llm.shared import held_by_worker, slices, small_batches
 
 #: White space as the split pattern knows it: Python's, less the four separators that are punctuation there.
 STRETCH = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
 #: Stretches kept by a worker, and their longest length; beyond, the cache begins anew.
-CACHE_ENTRIES, CACHE_LENGTH = 1_000_000, 64
+CACHE_ENTRIES, CACHE_LENGTH = 500_000, 64
 
 
 class StretchEncoder(dict):
@@ -57,19 +57,16 @@ def rank_table(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
-_loaded: dict = {}
+def _encoding(data: bytes, pattern: str) -> tuple:
+    """The worker's encoding and stretch encoder for a rank file."""
 
-
-def _encoding(data: bytes, pattern: str):
-    """The worker's encoding and stretch encoder for a rank file; kept for its later tasks."""
-    key = hashlib.sha256(data + pattern.encode()).digest()
-    if key not in _loaded:
+    def load() -> tuple:
         import tiktoken
 
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=rank_table(data), special_tokens={})
-        _loaded.clear()
-        _loaded[key] = encoding, StretchEncoder(encoding.encode_ordinary)
-    return _loaded[key]
+        return encoding, StretchEncoder(encoding.encode_ordinary)
+
+    return held_by_worker("ranks", hashlib.sha256(data + pattern.encode()).digest(), load)
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = (), max_bytes: int = 4 << 20) -> DataFrame:
@@ -78,6 +75,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", keep
     rank_file is read on the driver and travels as a broadcast variable. A null text counts as empty; an empty one
     has no ids; repeated rows are encoded each. Other columns of df, whatever their names, are not read.
     """
+    small_batches(df.sparkSession)
     ranks = df.sparkSession.sparkContext.broadcast(Path(rank_file).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +94,7 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", keep:
 
     Null ids give null. An id that the rank file lacks raises, as does a number of bytes that four doesn't divide.
     """
+    small_batches(df.sparkSession)
     ranks = df.sparkSession.sparkContext.broadcast(Path(rank_file).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +112,7 @@ def encode_and_decode(df: DataFrame, rank_file: str, pattern: str, text: str = "
 
     ids_sha256 is the lower-case hex SHA-256 of the decimal ids joined by commas. Nulls and empty texts as there.
     """
+    small_batches(df.sparkSession)
     ranks = df.sparkSession.sparkContext.broadcast(Path(rank_file).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

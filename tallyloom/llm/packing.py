@@ -19,24 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.byte_bpe import StretchEncoder
-from tallyloom.llm.shared import slices, written
+from tallyloom.llm.shared import held_by_worker, slices, small_batches, written
 
 #: Pieces in a shard, about. Its open bins at the end are what sharding costs: a few in tens of thousands.
 SHARD = 60_000
-_loaded: dict = {}
 
 
 def _stretches(data: str) -> StretchEncoder:
-    """The worker's encoder for a tokenizer file; kept for its later tasks."""
-    key = hash(data)
-    if key not in _loaded:
+    """The worker's encoder for a tokenizer file."""
+
+    def load() -> StretchEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(data)
         tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
-        _loaded.clear()
-        _loaded[key] = StretchEncoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
-    return _loaded[key]
+        return StretchEncoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
+
+    return held_by_worker("tokenizer", hash(data), load)
 
 
 def byte_level(data: str) -> bool:
@@ -55,6 +54,7 @@ def pieces(df: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int
     data = Path(tokenizer_file).read_text()
     if not byte_level(data):
         raise ValueError(f"{tokenizer_file} isn't a plain byte-level BPE")
+    small_batches(df.sparkSession)
     shared, kind = df.sparkSession.sparkContext.broadcast(data), df.schema[identifier].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

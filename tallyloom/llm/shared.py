@@ -3,11 +3,9 @@ that stay even when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from operator import and_
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,6 +58,24 @@ def collect_garbage(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Rows, and bytes where Spark knows that setting, that go to a Python worker at a time.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, as rows here hold whole texts.
+
+    Batches are held on both sides of the pipe and by two tasks at a time; the default of 10,000 rows is meant for
+    rows of a few numbers. A session that has smaller ones keeps them.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        number = int(now) if now and now.lstrip("-").isdigit() else None
+        if now is None or (number is not None and 0 < number <= most):
+            continue
+        spark.conf.set(key, str(most))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int, max_rows: int = 5000) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the values of a string or binary column come to max_bytes or to one row."""
     for batch in batches:
@@ -117,9 +133,15 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+_held: dict = {}
 
 
-def all_of(conditions: list) -> object:
-    return functools.reduce(and_, conditions, F.lit(True))
+def held_by_worker(name: str, key: object, make: Callable[[], object]) -> object:
+    """What make() gives, kept by the Python worker for later tasks until another name or key is asked for.
+
+    A worker serves all operators of a job one after another; with one place for all, their caches never add up.
+    """
+    if _held.get("name") != (name, key):
+        _held.clear()
+        _held.update(name=(name, key), value=make())
+    return _held["value"]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import as_bytes, components, slices, spread_join, written
+from tallyloom.llm.shared import as_bytes, components, slices, small_batches, spread_join, written
 
 BITS, SEED = 64, 42
 #: A-Z in lower case, byte by byte.
@@ -76,9 +76,10 @@ def simhash(df: DataFrame, identifier: str = "doc_id", text: str = "text", width
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text", 4 << 20):
+        for part in slices(batches, "_text", 2 << 20):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(as_bytes(part.column(1)), width).view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[identifier].dataType.simpleString()
     return df.select(F.col(identifier).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, fp long")
 

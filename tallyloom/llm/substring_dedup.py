@@ -26,16 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.shared import as_bytes, collect_garbage, remove, written
+from tallyloom.llm.shared import as_bytes, collect_garbage, small_batches, written
 
 #: Words of an anchor's gram.
 GRAM = 8
 #: Text of a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Text whose bytes are hashed at a time.
+BLOCK_BYTES = 1 << 19
 #: Hashes in a range, about.
 RANGE = 1_500_000
 #: Chunks that a task of a later pass takes, about.
-CHUNKS_A_TASK = 4
+CHUNKS_A_TASK = 8
 RECORDS = "chunk long, kind int, part int, data binary"
 BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -58,7 +60,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tables(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = powers(int(base), 1 << max(16, (n - 1).bit_length()))
+    up, down = powers(int(base), 1 << max(20, (n - 1).bit_length()))
     return up[:n], down[:n]
 
 
@@ -81,15 +83,26 @@ class Chunk:
         self.begin, self.end = begins[full], parted[full]
         #: words before each document, and after the last
         self.first = np.append(0, np.cumsum(full)[ends_document]).astype(np.int64)
-        up, down = tables(BASE, len(raw) + 1)
-        sums = np.append(np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64))
-        self.word = mix((sums[self.end] - sums[self.begin]) * down[self.begin] + (self.end - self.begin).astype(np.uint64))
+        self.word = self.word_hashes(raw)
         n = len(self.word)
         document = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         #: starts of the windows that lie in one document
         self.starts = np.flatnonzero(document[: n - width + 1] == document[width - 1 :]) if n >= width else np.empty(0, np.int64)
         self.document = document
 
+    def word_hashes(self, raw: np.ndarray) -> np.ndarray:
+        """A hash of each word, BLOCK_BYTES of text at a time, so that the wide sums stay small beside the text."""
+        out, i = np.empty(len(self.begin), np.uint64), 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.end, self.begin[i] + BLOCK_BYTES)))
+            low, begin, end = self.begin[i], self.begin[i:j] - self.begin[i], self.end[i:j] - self.begin[i]
+            part = raw[low : self.end[j - 1]].astype(np.uint64) + np.uint64(1)
+            up, down = tables(BASE, len(part) + 1)
+            sums = np.append(np.uint64(0), np.cumsum(part * up[: len(part)], dtype=np.uint64))
+            out[i:j] = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+            i = j
+        return out
+
     def grams(self, width: int) -> np.ndarray:
         n = len(self.word)
         if n < width:
@@ -149,6 +162,7 @@ ANCHOR_BITS, WINDOW_BITS, COLUMNS, TEXT, HASHES = range(5)
 
 def packed(df: DataFrame, identifier: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, T.StructType]:
     """df as chunk records, and the schema of the columns that travel beside the text."""
+    small_batches(df.sparkSession)
     names = [c for c in df.columns if c != text]
     beside = T.StructType([T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(names)])
     key = names.index(identifier)
@@ -373,6 +387,3 @@ def without_repeats(df: DataFrame, identifier: str = "doc_id", text: str = "text
     schema = ", ".join(f"b{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     out = removal(source, f"b{names.index(identifier)}", "words", width, finish, schema)
     return out.select(*[F.col(f"b{i}").alias(c) for i, c in enumerate(names)])
-
-
-__all__ = ["remove", "substring_dedup", "without_repeats"]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import slices
+from tallyloom.llm.shared import held_by_worker, slices, small_batches
 
 SPAN, DECAY, CODES = 6, 0.85, 32
 TRIPLES = [(i, j, DECAY ** (j - 2)) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
@@ -40,7 +40,7 @@ POWER, FLOOR = 2, 0.5
 #: Landmarks that are compared together at first.
 GROUP = 6
 #: Scored words that a worker keeps.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 
 
 @dataclass(frozen=True)
@@ -245,14 +245,11 @@ def fit(documents: list[tuple[str, int]] | list[tuple[list[str], int]]) -> Model
     return replace(model, slope=max(slope, 0.0), shift=shift)
 
 
-_cache: dict = {}
-
-
 def scores(texts: list[str], model: Model) -> np.ndarray:
     """The score of each text; margins of words are kept by the worker as long as the model is the same."""
-    if _cache.get("model") != model or len(_cache["words"]) > CACHE_ENTRIES:
-        _cache.update(model=model, words={})
-    known, split = _cache["words"], [words_of(t) for t in texts]
+    known, split = held_by_worker("toxicity", model, dict), [words_of(t) for t in texts]
+    if len(known) > CACHE_ENTRIES:
+        known.clear()
     if new := list(set().union(*split).difference(known)):
         bare = [letters(w) for w in new]
         distinct = list(set(bare))
@@ -267,6 +264,7 @@ def is_held_out(identifier: str) -> Column:
 
 def sample(documents: DataFrame, labels: DataFrame, identifier: str, text: str, label: str, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> list[tuple[list[str], int]]:
     """The words of the labelled documents that training takes: a bounded number of rows, and of words in each."""
+    small_batches(labels.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(identifier).isNotNull()).groupBy(F.col(identifier).cast("long").alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_label"))
     known = known.filter(~is_held_out("_id"))
     # labels of documents that are at hand, a few more than wanted, ordered by hash
@@ -276,7 +274,7 @@ def sample(documents: DataFrame, labels: DataFrame, identifier: str, text: str,
     chosen = known.filter("_label = 1").orderBy(*order).limit(toxic).unionByName(known.filter("_label = 0").orderBy(*order).limit(clean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text", 4 << 20):
+        for part in slices(batches, "_text", 2 << 20):
             words = [sorted(words_of(t or ""))[:WORDS_A_DOCUMENT] for t in part.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), pa.array(words, pa.list_(pa.string()))], ["_id", "_label", "words"])
 
@@ -295,17 +293,18 @@ def train(documents: DataFrame, labels: DataFrame, identifier: str = "doc_id", t
 
 def scored(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """df's columns and the score of each row's whole text; null and empty texts score as ones without evidence."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    names = df.columns
+    names, own = df.columns, df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in slices(batches, "_text", 4 << 20):
-            out = scores([t or "" for t in part.column("_text").to_pylist()], model)
+        for part in slices(batches, f"c{own}", 2 << 20):
+            out = scores([t or "" for t in part.column(own).to_pylist()], model)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(out)], [*(f"c{i}" for i in range(len(names))), "score"])
 
     schema = ", ".join([*(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(names)), "score double"])
-    rows = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text).alias("_text"))
+    rows = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     return rows.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("score").alias(column))
 
 

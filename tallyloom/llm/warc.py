@@ -18,7 +18,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import new_path, spread_join, written
+from tallyloom.llm.shared import new_path, small_batches, spread_join, written
 
 #: Bytes that are read or compressed at a time, and payload bytes of a chunk row.
 BLOCK, CHUNK = 1 << 18, 1 << 18
@@ -67,6 +67,7 @@ def plan(df: DataFrame, identifier: str = "page_id", body: str = "html", url: st
 
 def write_archives(records: DataFrame, folder: str, created: str | None = None) -> DataFrame:
     """Writes the rows of plan() as gzip archives below folder; returns the written manifest (path, records, bytes)."""
+    small_batches(records.sparkSession)
     date = created or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +194,7 @@ def read_chunks(manifest: DataFrame, folder: str, chunk: int = CHUNK) -> DataFra
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     schema = "record_id string, chunk_no int, payload binary, so_far long, digest_so_far string, last boolean, record_type string, refers_to string, payload_length long, payload_digest string"
+    small_batches(manifest.sparkSession)
     files = max(1, manifest.count())
     return manifest.select("path").repartition(files).mapInArrow(run, schema)
 
