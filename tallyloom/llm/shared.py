@@ -35,19 +35,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Intermediate tables of this session that are still there.
+_tables: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _tables.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables of written(). Only for when every result that reads them has been written elsewhere."""
+    for path in list(_tables):
+        remove(path, spark)
+
+
 def remove(df_or_path: DataFrame | str, spark: SparkSession) -> None:
     """Deletes a table of written() once nothing reads it any more."""
     paths = [df_or_path] if isinstance(df_or_path, str) else {f.rpartition("/")[0] for f in df_or_path.inputFiles()}
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _tables.discard(path)
 
 
 def collect_garbage(spark: SparkSession) -> None:

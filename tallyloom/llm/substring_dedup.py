@@ -24,7 +24,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyloom.llm.shared import as_bytes, collect_garbage, small_batches, written
 
@@ -156,15 +155,15 @@ def record(chunk: int, kind: int, part: int, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["chunk", "kind", "part", "data"])
 
 
-#: Kinds of records, in the order in which a pass meets them: bits from the passes, the other columns, the text.
-ANCHOR_BITS, WINDOW_BITS, COLUMNS, TEXT, HASHES = range(5)
+#: Kinds of records, in the order in which a pass meets them: bits from the passes, the other columns, the identifiers
+#: as order keys, the text; and what passes count.
+ANCHOR_BITS, WINDOW_BITS, COLUMNS, IDS, TEXT, HASHES = range(6)
 
 
-def packed(df: DataFrame, identifier: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, T.StructType]:
-    """df as chunk records, and the schema of the columns that travel beside the text."""
+def packed(df: DataFrame, identifier: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """df as chunk records."""
     small_batches(df.sparkSession)
     names = [c for c in df.columns if c != text]
-    beside = T.StructType([T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(names)])
     key = names.index(identifier)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +177,10 @@ def packed(df: DataFrame, identifier: str, text: str, chunk_bytes: int = CHUNK_B
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0))
             sink = pa.BufferOutputStream()
             table = table.take(pa.array(order, pa.int64())).combine_chunks()
-            with pa.ipc.new_stream(sink, table.schema) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
             yield record(number, COLUMNS, 0, sink.getvalue().to_pybytes())
+            yield record(number, IDS, 0, order_keys(table.column(key).combine_chunks()).tobytes())
             yield record(number, TEXT, 0, zstandard.compress(b"".join(x for i in order for x in (texts[i], b"\n")), 3))
 
         texts, rows, size = [], [], 0
@@ -199,7 +199,7 @@ def packed(df: DataFrame, identifier: str, text: str, chunk_bytes: int = CHUNK_B
             yield from chunk(texts, rows)
 
     chosen = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text).alias("text"))
-    return written(chosen.mapInArrow(pack, RECORDS), "chunks"), beside
+    return written(chosen.mapInArrow(pack, RECORDS), "chunks")
 
 
 def by_chunk(records: DataFrame, chunks: int, function) -> DataFrame:
@@ -283,9 +283,8 @@ def removal(df: DataFrame, identifier: str, text: str, width: int, finish, schem
     """The three passes; finish(columns, documents) makes the result's batches of a chunk's other columns and, for each
     document, its words, its kept text and its removed intervals."""
     spark = df.sparkSession
-    records, beside = packed(df, identifier, text, chunk_bytes)
+    records = packed(df, identifier, text, chunk_bytes)
     texts = records.filter(F.col("kind") == TEXT)
-    key = [c for c in df.columns if c != text].index(identifier)
     sizes = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("data")), F.lit(0))).first()
     chunks, ranges = max(1, sizes[0]), max(1, int(sizes[1] * 3 / 6) // 5 // RANGE + 1)
 
@@ -307,7 +306,7 @@ def removal(df: DataFrame, identifier: str, text: str, width: int, finish, schem
 
     def send_windows(number: int, have: dict) -> Iterator[pa.RecordBatch]:
         chunk = Chunk(zstandard.decompress(have[TEXT][0]), width)
-        ids = order_keys(pa.ipc.open_stream(have[COLUMNS][0]).read_all().column(key).combine_chunks())
+        ids = np.frombuffer(have[IDS][0], np.int64)
         at, _, own, first = known(chunk, have)
         whose = ids[chunk.document[chunk.starts[at[first]]]] if len(own) else np.empty(0, np.int64)
         cuts = ranges_of(own, ranges)
@@ -315,7 +314,7 @@ def removal(df: DataFrame, identifier: str, text: str, width: int, finish, schem
             if b > a:
                 yield record(number, HASHES, part, own[a:b].astype("<u8").tobytes() + whose[a:b].astype("<i8").tobytes())
 
-    dealt, run = by_chunk(records.unionByName(shared), chunks, send_windows)
+    dealt, run = by_chunk(records.filter(F.col("kind") != COLUMNS).unionByName(shared), chunks, send_windows)
     later = written(counted(dealt.mapInArrow(run, RECORDS), ranges, WINDOW_BITS, not_first), "window-bits")
     collect_garbage(spark)
 
@@ -344,7 +343,7 @@ def removal(df: DataFrame, identifier: str, text: str, width: int, finish, schem
         table = pa.ipc.open_stream(have[COLUMNS][0]).read_all().combine_chunks()
         yield from finish(table, documents)
 
-    dealt, run = by_chunk(records.unionByName(shared).unionByName(later), chunks, cut_out)
+    dealt, run = by_chunk(records.filter(F.col("kind") != IDS).unionByName(shared).unionByName(later), chunks, cut_out)
     return dealt.mapInArrow(run, schema)
 
 
