@@ -131,14 +131,14 @@ def ranges_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def anchor_set(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The anchor of each window, the distinct anchors, and which of these two stretches of windows have."""
+    """The anchor of each window, the distinct anchors, and which of these occur as grams twice in the chunk.
+
+    Equal windows have their anchor at equal distance, so at two places; a run of one word counts too."""
     anchors = chunk.anchors()
     if not len(anchors):
         return anchors, anchors, np.empty(0, bool)
-    # a gram's stretch of windows ends where the anchor changes or the windows aren't neighbours
-    new = np.append(True, (anchors[1:] != anchors[:-1]) | (np.diff(chunk.starts) > 1))
-    distinct, counts = np.unique(anchors[new], return_counts=True)
-    return anchors, distinct, counts > 1
+    distinct, grams = np.unique(anchors), np.sort(chunk.grams(min(GRAM, chunk.width)))
+    return anchors, distinct, np.searchsorted(grams, distinct, "right") - np.searchsorted(grams, distinct, "left") > 1
 
 
 def candidates(chunk: Chunk, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -154,6 +154,14 @@ def small_chunks(df, width, chunk):
         substring_dedup.removal = real
 
 
+def test_substring_dedup_of_periodic_texts(spark):
+    """A document may repeat its own windows word by word, with nothing else between them."""
+    rows = [(1, "And " * 21), (2, "x " * 70 + "end"), (3, "a b c " * 30), (4, " ".join(f"{w} " * 60 for w in "pqr"))]
+    want = {rows[i][0]: v for i, v in brute_substrings(rows, 20).items()}
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == want
+
+
 def test_substring_dedup_keeps_rows_and_columns(docs, rows, empty):
     out = substring_dedup.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
