@@ -46,8 +46,8 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def fingerprints(texts: list[bytes | None], width: int = 4) -> np.ndarray:
-    """The unsigned 64-bit fingerprint of each text; see simhash()."""
+def shingle_hashes(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The XXH64 of every shingle of the texts, one text after another, and how many each text has; see simhash()."""
     digest, hashes, counts = xxhash.xxh64_intdigest, [], []
     for text in texts:
         words = (text or b"").translate(LOWER).split()
@@ -59,14 +59,23 @@ def fingerprints(texts: list[bytes | None], width: int = 4) -> np.ndarray:
         begins = [0, *[e + 1 for e in ends[: len(ends) - width]]]
         hashes += [digest(joined[i:j], SEED) for i, j in zip(begins, ends[width - 1 :], strict=True)]
         counts.append(len(begins))
-    n, out = np.array(counts, np.int64), np.zeros(len(texts), np.uint64)
+    return np.array(hashes, np.uint64), np.array(counts, np.int64)
+
+
+def majorities(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text whose n hashes lie one after another."""
+    out = np.zeros(len(n), np.uint64)
     if full := np.flatnonzero(n).tolist():
-        starts = (np.cumsum(n) - n)[full]
-        more = 2 * bit_counts(np.array(hashes, np.uint64), starts) > n[full][:, None]
+        more = 2 * bit_counts(hashes, (np.cumsum(n) - n)[full]) > n[full][:, None]
         out[full] = np.packbits(more, axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
+def fingerprints(texts: list[bytes | None], width: int = 4) -> np.ndarray:
+    """The unsigned 64-bit fingerprint of each text; see simhash()."""
+    return majorities(*shingle_hashes(texts, width))
+
+
 def simhash(df: DataFrame, identifier: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long for every row of df.
 
@@ -289,18 +298,3 @@ def near_duplicates(df: DataFrame, identifier: str = "doc_id", text: str = "text
     named = linked.join(names, "root").select("fp", "n", "component_id", "component_size")
     out = spread_join(rows, named, ["fp"], "n", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
-
-
-def one_of_each(df: DataFrame, identifier: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """df with one row of each component of near_duplicates(): its smallest identifier, the first row if that repeats.
-
-    Rows of a null identifier stay only where their whole component has none, one of them.
-    """
-    names = df.columns
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
-    rows = written(rows, "rows")
-    column = {c: f"_c{i}" for i, c in enumerate(names)}
-    # the row number takes the place of the identifier, ranked by identifier and then as read
-    groups = near_duplicates(rows.select(F.struct(F.col(column[identifier]).isNull().alias("none"), F.col(column[identifier]).alias("id"), "_row").alias("key"), F.col(column[text]).alias("text")), "key", "text", width, radius)
-    kept = groups.filter(F.col("doc_id._row") == F.col("component_id._row")).select(F.col("doc_id._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])

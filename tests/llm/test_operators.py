@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm import byte_bpe, chat_format, exact_dedup, licenses, packing, shared, simhash, substring_dedup, topk_search, toxicity, warc
+from tallyloom.llm import byte_bpe, chat_format, exact_dedup, licenses, near_copies, packing, shared, simhash, substring_dedup, topk_search, toxicity, warc
 
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -184,6 +184,28 @@ def brute_fingerprint(text, width=4):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
+def brute_survivors(rows, width=5, similarity=0.8):
+    """The smallest identifier of each group that links of that Jaccard similarity make of {identifier: text}."""
+    sets, holders, label = {}, defaultdict(list), {i: i for i in rows}
+    for i, text in rows.items():
+        words = [w for w in SPACE.split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+        sets[i] = {" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+        for s in sets[i]:
+            holders[s].append(i)
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in {(a, b) for h in holders.values() for a in h for b in h if a < b}:
+        common = len(sets[a] & sets[b])
+        if common >= similarity * (len(sets[a]) + len(sets[b]) - common) - 1e-9:
+            one, two = sorted((find(a), find(b)))
+            label[two] = one
+    return {find(i) for i in rows}
+
+
 def brute_components(fps, radius):
     label = list(range(len(fps)))
 
@@ -210,9 +232,34 @@ def test_simhash(docs, rows, empty):
     got = simhash.near_duplicates(docs).collect()
     assert sorted((repr(r.doc_id), r.fingerprint, repr(r.component_id)) for r in got) == want
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(roots))
-    assert simhash.one_of_each(empty).count() == 0
+
+
+def test_near_copies_with_nulls_and_repeated_identifiers(docs, rows, empty):
+    kept = near_copies.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == len(brute_survivors({i: t for i, (_, t) in enumerate(rows)}))
+    assert near_copies.one_of_each(empty).count() == 0
+
+
+def test_near_copies_match_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abdefgiklmnop", k=5)) for _ in range(2000)]
+    rows, bases = {0: None, 1: "", 2: " \n", 3: "one two", 4: "ONE  two", 5: "one two three"}, [rng.choices(words, k=n) for n in (8, 40, 200, 3000)]
+    for i in range(6, 150):
+        text = list(rng.choice(bases[:3] if i % 20 else bases))
+        for _ in range(rng.choice([0, 1, 1, 2, 4, 8])):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        rows[i] = " ".join(text)
+    hot = [rng.choices(words, k=120)]
+    for i in range(150, 260):  # one large group, each of its rows a change away from another
+        hot.append(list(hot[rng.randrange(len(hot))]))
+        hot[-1][rng.randrange(120)] = rng.choice(words)
+        rows[i] = " ".join(hot[-1])
+    monkeypatch.setattr(near_copies, "FAN", 7)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows.items()], "doc_id long, text string, fp string")
+    assert docs.count() == len(rows)
+    kept = near_copies.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(brute_survivors(rows))
 
 
 @pytest.mark.parametrize("block", [4096, 40])
