@@ -80,7 +80,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, stretches = _encoding(ranks.value, pattern)
-        for part in slices(batches, "_text", max_bytes):
+        for part in slices(batches, "_text", max_bytes, keeps="ranks"):
             ids = stretches([t or "" for t in part.column("_text").to_pylist()])
             columns = [*(part.column(i) for i in range(len(keep))), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "n_tokens"])
@@ -99,7 +99,7 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, _ = _encoding(ranks.value, pattern)
-        for part in slices(batches, "_ids", max_bytes):
+        for part in slices(batches, "_ids", max_bytes, keeps="ranks"):
             raw = [None if x is None else encoding.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in part.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(raw, pa.binary())], [*keep, "decoded"])
 
@@ -118,7 +118,7 @@ def encode_and_decode(df: DataFrame, rank_file: str, pattern: str, text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, stretches = _encoding(ranks.value, pattern)
         decimal = [str(i).encode() for i in range(encoding.max_token_value + 1)]
-        for part in slices(batches, "_text", max_bytes):
+        for part in slices(batches, "_text", max_bytes, keeps="ranks"):
             ids = stretches([t or "" for t in part.column("_text").to_pylist()])
             lists = [np.frombuffer(x, "<u4").tolist() for x in ids]
             digests = [hashlib.sha256(b",".join(map(decimal.__getitem__, x))).hexdigest() for x in lists]

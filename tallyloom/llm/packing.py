@@ -59,7 +59,7 @@ def pieces(df: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretches, end = _stretches(shared.value), np.array([end_id], "<u4").tobytes()
-        for part in slices(batches, "_text", 2 << 20):
+        for part in slices(batches, "_text", 2 << 20, keeps="tokenizer"):
             row, number, start, length, crc, out = [], [], [], [], [], []
             for i, ids in enumerate(stretches([t or "" for t in part.column("_text").to_pylist()])):
                 ids += end

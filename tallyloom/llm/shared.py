@@ -3,6 +3,7 @@ that stay even when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -88,8 +89,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(most))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int, max_rows: int = 5000) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that the values of a string or binary column come to max_bytes or to one row."""
+def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int, max_rows: int = 5000, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that the values of a string or binary column come to max_bytes or to one row.
+
+    As a task begins, the worker lets go of what it holds for other names than ``keeps``; as it ends, memory that is
+    free goes back to the system.
+    """
+    if _held and _held["name"][0] != keeps:
+        let_go()
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         begin = size = 0
@@ -100,6 +107,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int, max_r
             size += int(n)
         if batch.num_rows > begin:
             yield batch.slice(begin)
+    give_back()
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -146,6 +154,26 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
 
 
 _held: dict = {}
+#: Further dictionaries of this worker that are emptied with it.
+_with_held: list[dict] = []
+
+
+def emptied_with_held(cache: dict) -> dict:
+    _with_held.append(cache)
+    return cache
+
+
+def let_go() -> None:
+    for cache in (_held, *_with_held):
+        cache.clear()
+
+
+def give_back() -> None:
+    """Returns free memory of Arrow and of the C library to the system; workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library alone has it
+    if trim is not None:
+        trim(0)
 
 
 def held_by_worker(name: str, key: object, make: Callable[[], object]) -> object:
@@ -154,6 +182,6 @@ def held_by_worker(name: str, key: object, make: Callable[[], object]) -> object
     A worker serves all operators of a job one after another; with one place for all, their caches never add up.
     """
     if _held.get("name") != (name, key):
-        _held.clear()
+        let_go()
         _held.update(name=(name, key), value=make())
     return _held["value"]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import held_by_worker, slices, small_batches
+from tallyloom.llm.shared import emptied_with_held, held_by_worker, slices, small_batches
 
 SPAN, DECAY, CODES = 6, 0.85, 32
 TRIPLES = [(i, j, DECAY ** (j - 2)) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
@@ -129,7 +129,7 @@ def kernel(words: list[str], by_triple: np.ndarray) -> np.ndarray:
     return np.where(out < FLOOR, 0, out) ** POWER
 
 
-_tables: dict = {}
+_tables: dict = emptied_with_held({})
 
 
 def margins(words: list[str], model: Model) -> np.ndarray:
@@ -299,7 +299,7 @@ def scored(df: DataFrame, model: Model, text: str = "text", column: str = "score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in slices(batches, f"c{own}", 2 << 20):
+        for part in slices(batches, f"c{own}", 2 << 20, keeps="toxicity"):
             out = scores([t or "" for t in part.column(own).to_pylist()], model)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(out)], [*(f"c{i}" for i in range(len(names))), "score"])
 
