@@ -52,6 +52,9 @@ def release(spark: SparkSession) -> None:
     """Deletes all tables of written(). Only for when every result that reads them has been written elsewhere."""
     for path in list(_tables):
         remove(path, spark)
+    let_go()
+    collect_garbage(spark)
+    give_back()
 
 
 def remove(df_or_path: DataFrame | str, spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import emptied_with_held, held_by_worker, slices, small_batches
+from tallyloom.llm.shared import emptied_with_held, give_back, held_by_worker, let_go, slices, small_batches
 
 SPAN, DECAY, CODES = 6, 0.85, 32
 TRIPLES = [(i, j, DECAY ** (j - 2)) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
@@ -288,7 +288,10 @@ def sample(documents: DataFrame, labels: DataFrame, identifier: str, text: str,
 
 def train(documents: DataFrame, labels: DataFrame, identifier: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fits the machine on labelled documents outside the held-out fifth; see sample() for the bound."""
-    return fit(sample(documents, labels, identifier, text, label))
+    model = fit(sample(documents, labels, identifier, text, label))
+    let_go()
+    give_back()
+    return model
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
