@@ -2,7 +2,8 @@
 
 Candidates are the links of the SimHash operator (generalised pigeonhole) and, since two texts of that similarity often
 differ in 10 or more of 64 bits, those of bands of minimal hashes of the same shingles. Each candidate is verified on
-the whole shingle sets; verified links make the groups.
+the whole shingle sets; verified links make the groups. At first each row of a bucket meets its first and its last row
+only, which connects most of a large group; then all rows of a bucket meet that are not connected yet.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from tallyloom.llm.simhash import links, majorities, shingle_hashes
 BANDS, DEPTH = 24, 5
 #: Candidates of one hub that meet a copy of its set; a hub of more candidates is dealt out.
 FAN = 500
+#: Rows of a bucket that are compared in a task's stream; a larger bucket is dealt out as pairs of blocks of this size.
+BLOCK = 1024
+#: Words of 64 bits that hold the parities of a text's distinct shingles, to rule pairs out.
+PARITIES = 16
 _odd = np.random.default_rng(11).integers(0, 1 << 63, (BANDS, DEPTH, 2), dtype=np.uint64)
 MASKS, FACTORS = _odd[..., 0], _odd[..., 1] | np.uint64(1)
 
@@ -72,13 +77,15 @@ def looked_up(pairs: DataFrame, column: str, table: DataFrame, key: str) -> Data
 
 
 def candidates(found: DataFrame, radius: int) -> DataFrame:
-    """(row, hub): distinct pairs to verify; within a bucket of any size, each row is paired with its first and its last row."""
+    """(row, hub): distinct pairs to verify first; within a bucket of any size, each row is paired with its first and its last row."""
     total = found.count()
+    found = found.withColumn("empty", F.size("keys") == 0)
     keyed = found.select("row", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("n")).filter("n > 1")
     by_band = spread_join(keyed, written(buckets, "buckets"), ["key"], "n", total * BANDS).select("row", F.explode(F.array("first", "last")).alias("hub"))
     fps = written(found.groupBy("fp").agg(F.min("row").alias("least"), F.count("*").alias("n")), "distinct")
-    alike = spread_join(found.select("row", "fp"), fps, ["fp"], "n", total).select("row", F.col("least").alias("hub"))
+    same = written(found.groupBy("fp", "empty").agg(F.min("row").alias("hub"), F.count("*").alias("n")), "same")
+    alike = spread_join(found.select("row", "fp", "empty"), same, ["fp", "empty"], "n", total).select("row", "hub")
     near = written(links(fps, radius), "near")
     least = fps.select("fp", "least")
     near = looked_up(near, "a", least, "fp").select("b", F.col("least").alias("row"))
@@ -87,6 +94,79 @@ def candidates(found: DataFrame, radius: int) -> DataFrame:
     return both.select(F.greatest("row", "hub").alias("row"), F.least("row", "hub").alias("hub")).distinct()
 
 
+def features(rows: DataFrame, width: int) -> DataFrame:
+    """(row, size, parities) of every (row, text): how many distinct shingles, and how many of them fall in each bit, modulo 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 2 << 20):
+            hashes, n = shingle_hashes(as_bytes(part.column("text")), width)
+            sizes, parities = [], []
+            for h in np.split(hashes, np.cumsum(n)[:-1]):
+                distinct = np.unique(h)
+                odd = np.bincount((distinct >> np.uint64(20)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
+                sizes.append(len(distinct))
+                parities.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary())], ["row", "size", "parities"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, size long, parities binary")
+
+
+def open_pairs(found: DataFrame, roots: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(row, hub): all pairs of a bucket that ``roots`` doesn't connect yet and whose sets may be that similar.
+
+    Ruled out are pairs of too different sizes, and those of more odd parities that differ than their sets' difference
+    may have elements; neither loses a link. A pair is given by the first of its buckets alone.
+    """
+    nodes = found.filter(F.size("keys") > 0).join(roots.withColumnRenamed("node", "row"), "row", "left")
+    nodes = nodes.select("row", F.coalesce("root", "row").alias("root"), F.concat("keys", F.array("fp")).alias("keys"))
+    nodes = written(nodes, "nodes")
+    keyed = nodes.select("row", "root", F.posexplode("keys").alias("band", "key"))
+    buckets = keyed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    buckets = written(buckets.select("band", "key", "n"), "open")
+    members = written(spread_join(keyed.select("row", "band", "key"), buckets, ["band", "key"], "n", nodes.count() * (BANDS + 1)), "members")
+    involved = members.select("row").distinct()
+    known = written(features(texts.join(involved, "row", "left_semi"), width), "features").join(nodes, "row")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("row", "band", "key", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    least = (1 - similarity) / (1 + similarity)
+
+    def pairs(part: pa.Table) -> pa.RecordBatch:
+        row, root, own, size = (part.column(c).to_numpy() for c in ("row", "root", "own", "size"))
+        band, p, q = (part.column(c)[0].as_py() for c in ("band", "p", "q"))
+        odd = np.frombuffer(b"".join(part.column("parities").to_pylist()), np.uint64).reshape(len(row), PARITIES)
+        keys = part.column("keys").combine_chunks().flatten().to_numpy().reshape(len(row), -1)[:, :band]
+        left, right = [], []
+        for k in range(len(row) - 1):
+            j = np.arange(k + 1, len(row))
+            j = j[(root[j] != root[k]) & (np.minimum(size[j], size[k]) >= similarity * np.maximum(size[j], size[k]) - 1e-9)]
+            j = j[own[j] != own[k]] if p != q else j
+            j = j[np.bitwise_count(odd[j] ^ odd[k]).sum(axis=1, dtype=np.int64) <= least * (size[j] + size[k]) + 1e-6]
+            j = j[~(keys[j] == keys[k]).any(axis=1)]
+            left.append(np.full(len(j), row[k]))
+            right.append(row[j])
+        a, b = (np.concatenate(x) if x else row[:0] for x in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["row", "hub"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            keys = np.stack([rest.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "p", "q")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for begin, end in zip([0, *cuts[:-1]], cuts, strict=False):
+                yield pairs(rest.slice(begin, end - begin))
+            rest = rest.slice(cuts[-1]) if len(cuts) else rest
+        if rest is not None:
+            yield pairs(rest)
+
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    by_bucket = dealt.join(known, "row").repartition(parts, "band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q")
+    return by_bucket.mapInArrow(run, "row long, hub long").distinct()
+
+
 def verified(pairs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (row, hub) whose shingle sets are that similar; two sets without shingles are equal.
 
@@ -116,8 +196,10 @@ def one_of_each(df: DataFrame, identifier: str = "doc_id", text: str = "text", w
     names = df.columns
     rows = written(df.select(F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)]), "rows")
     texts = rows.select("row", F.col(f"_c{names.index(text)}").alias("text"))
-    pairs = written(candidates(written(sketches(texts, width), "sketches"), radius), "pairs")
-    roots = components(verified(pairs, texts, width, similarity), "links")
+    found = written(sketches(texts, width), "sketches")
+    first = written(verified(written(candidates(found, radius), "pairs"), texts, width, similarity), "first")
+    rest = written(open_pairs(found, written(components(first, "links"), "roots"), texts, width, similarity), "rest")
+    roots = components(first.unionByName(verified(rest, texts, width, similarity)), "links")
     own = F.col(f"_c{names.index(identifier)}")
     order = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("row"))
     grouped = written(rows.select("row", order.alias("rank")).join(roots.withColumnRenamed("node", "row"), "row"), "grouped")

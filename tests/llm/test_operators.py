@@ -262,6 +262,21 @@ def test_near_copies_match_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(brute_survivors(rows))
 
 
+def test_near_copies_among_texts_of_one_template(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abdefgiklmnop", k=7))
+    template, rows = [word() for _ in range(300)], {}
+    for i in range(0, 240, 2):  # strangers have a similarity of 0.7; x and y, far apart in the order, one of 0.8
+        shared = [word() for _ in range(25)]
+        for k in (i // 2, 239 - i // 2):
+            rows[k] = " ".join([*template, *shared, *(word() for _ in range(40))])
+    monkeypatch.setattr(near_copies, "BLOCK", 50, raising=False)
+    kept = near_copies.one_of_each(spark.createDataFrame(sorted(rows.items()), "doc_id long, text string"))
+    want = brute_survivors(rows)
+    assert len(want) == 120
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("block", [4096, 40])
 def test_links_connect_all_within_the_radius(spark, block):
     rng = random.Random(5)
