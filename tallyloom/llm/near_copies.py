@@ -111,9 +111,11 @@ def features(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, size long, parities binary")
 
 
-def open_pairs(found: DataFrame, roots: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def open_pairs(found: DataFrame, roots: DataFrame, texts: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
     """(row, hub): all pairs of a bucket that ``roots`` doesn't connect yet and whose sets may be that similar.
 
+    Buckets are the bands', those of equal fingerprints, and one for each two fingerprints within radius.
+
     Ruled out are pairs of too different sizes, and those of more odd parities that differ than their sets' difference
     may have elements; neither loses a link. A pair is given by the first of its buckets alone.
     """
@@ -121,9 +123,18 @@ def open_pairs(found: DataFrame, roots: DataFrame, texts: DataFrame, width: int,
     nodes = nodes.select("row", F.coalesce("root", "row").alias("root"), F.concat("keys", F.array("fp")).alias("keys"))
     nodes = written(nodes, "nodes")
     keyed = nodes.select("row", "root", F.posexplode("keys").alias("band", "key"))
+    own_fp = nodes.select("row", "root", F.element_at("keys", BANDS + 1).alias("fp"))
+    # a fingerprint whose rows are all connected needs no pair with another of the same root; one of several roots needs all
+    fps = own_fp.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("row").alias("least"), F.count("*").alias("n"))
+    fps = written(fps.select("fp", "n", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("least")).alias("label")), "fps")
+    near = written(links(fps, radius, label="label").distinct(), "close")
+    near = near.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("key"))
+    near = near.groupBy("fp").agg(F.collect_list("key").alias("near")).join(fps.select("fp", "n"), "fp")
+    near = spread_join(own_fp, near, ["fp"], "n", nodes.count()).select("row", "root", F.lit(BANDS + 1).alias("band"), F.explode("near").alias("key"))
+    keyed = keyed.unionByName(near)
     buckets = keyed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high")
     buckets = written(buckets.select("band", "key", "n"), "open")
-    members = written(spread_join(keyed.select("row", "band", "key"), buckets, ["band", "key"], "n", nodes.count() * (BANDS + 1)), "members")
+    members = written(spread_join(keyed.select("row", "band", "key"), buckets, ["band", "key"], "n", keyed.count()), "members")
     involved = members.select("row").distinct()
     known = written(features(texts.join(involved, "row", "left_semi"), width), "features").join(nodes, "row")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -198,7 +209,7 @@ def one_of_each(df: DataFrame, identifier: str = "doc_id", text: str = "text", w
     texts = rows.select("row", F.col(f"_c{names.index(text)}").alias("text"))
     found = written(sketches(texts, width), "sketches")
     first = written(verified(written(candidates(found, radius), "pairs"), texts, width, similarity), "first")
-    rest = written(open_pairs(found, written(components(first, "links"), "roots"), texts, width, similarity), "rest")
+    rest = written(open_pairs(found, written(components(first, "links"), "roots"), texts, width, similarity, radius), "rest")
     roots = components(first.unionByName(verified(rest, texts, width, similarity)), "links")
     own = F.col(f"_c{names.index(identifier)}")
     order = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("row"))

@@ -226,24 +226,48 @@ def forest(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray,
     return fp[np.concatenate(left)], fp[np.concatenate(right)]
 
 
-def links(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b): enough links between the distinct fingerprints ``fp`` to connect all that are within radius."""
+def close_pairs(fp: np.ndarray, group: np.ndarray, label: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (a, b) within radius in the same group and not of the same label; group is sorted."""
+    edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    ends = np.append(edges[1:], len(group))
+    last = np.repeat(ends, ends - edges)
+    left, right, n = [fp[:0]], [fp[:0]], 0
+    for k in np.flatnonzero(last - np.arange(len(fp)) > 1).tolist():
+        j = np.arange(k + 1, last[k])
+        j = j[(np.bitwise_count(fp[j] ^ fp[k]) <= radius) & (label[j] != label[k])]
+        left.append(np.full(len(j), fp[k]))
+        right.append(fp[j])
+        n += len(j)
+        if n > 100_000:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, n = [fp[:0]], [fp[:0]], 0
+    yield np.concatenate(left), np.concatenate(right)
+
+
+def links(fps: DataFrame, radius: int = 4, block: int = BLOCK, label: str | None = None) -> DataFrame:
+    """(a, b): enough links between the distinct fingerprints ``fp`` to connect all that are within radius.
+
+    With a label, a column of longs without nulls, these are instead all pairs within radius whose labels differ.
+    """
+    names = ["fp"] if label is None else ["fp", "label"]
+    fps = fps.select("fp") if label is None else fps.select("fp", F.col(label).alias("label"))
     spark, n = fps.sparkSession, fps.count()
     groups, thresholds = partition_plan(fps, n, radius)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 20_000):
-                fp = batch.column(0).to_numpy()[k : k + 20_000].view(np.uint64)
+                part = [batch.column(c).to_numpy()[k : k + 20_000] for c in names]
+                fp = part[0].view(np.uint64)
                 for i, (group, threshold) in enumerate(zip(groups, thresholds, strict=True)):
                     own = values(fp, group)
                     for flips in (x for t in range(threshold + 1) for x in combinations(range(len(group)), t)):
                         mask = np.uint64(sum(1 << x for x in flips))
                         # one of two values that differ meets the other: the one that has the highest bit in which they differ
                         some = own >> np.uint64(flips[-1]) & np.uint64(1) == 1 if flips else np.ones(len(fp), bool)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), i)), pa.array((own[some] ^ mask).view(np.int64)), pa.array(fp[some].view(np.int64))], ["i", "v", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), i)), pa.array((own[some] ^ mask).view(np.int64)), *(pa.array(x[some]) for x in part)], ["i", "v", *names])
 
-    probes = written(fps.select("fp").mapInArrow(probe, "i long, v long, fp long"), "probes")
+    probes = written(fps.mapInArrow(probe, ", ".join(f"{c} long" for c in ["i", "v", *names])), "probes")
     large = written(probes.groupBy("i", "v").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * block), "large")
     many = large.count()
     if many:
@@ -253,29 +277,30 @@ def links(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
         own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
         dealt = probes.join(side, ["i", "v"], "left").withColumn("blocks", F.coalesce(blocks, F.lit(1))).withColumn("own", F.coalesce(own, F.lit(0)))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        probes = dealt.select("i", "v", "fp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+        probes = dealt.select("i", "v", *names, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     else:
-        probes = probes.select("i", "v", "fp", F.lit(0).alias("p"), F.lit(0).alias("q"))
+        probes = probes.select("i", "v", *names, F.lit(0).alias("p"), F.lit(0).alias("q"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(keys: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def found(keys: np.ndarray, fp: np.ndarray, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
             group = np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
-            a, b = forest(fp, group, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            for a, b in [forest(fp, group, radius)] if label is None else close_pairs(fp, group, labels, radius):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        keys, fps_ = np.empty((0, 4), np.int64), np.empty(0, np.uint64)
+        keys, fps_, labels = np.empty((0, 4), np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.concatenate([keys, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("i", "v", "p", "q")], axis=1)])
             fps_ = np.concatenate([fps_, batch.column("fp").to_numpy().view(np.uint64)])
+            labels = np.concatenate([labels, batch.column(names[-1]).to_numpy()])
             changes = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
             if len(changes):
                 cut = changes[-1] + 1
-                yield found(keys[:cut], fps_[:cut])
-                keys, fps_ = keys[cut:], fps_[cut:]
+                yield from found(keys[:cut], fps_[:cut], labels[:cut])
+                keys, fps_, labels = keys[cut:], fps_[cut:], labels[cut:]
         if len(keys):
-            yield found(keys, fps_)
+            yield from found(keys, fps_, labels)
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     return probes.repartition(parts, "i", "v", "p", "q").sortWithinPartitions("i", "v", "p", "q").mapInArrow(verify, "a long, b long")

@@ -305,6 +305,20 @@ def test_links_connect_all_within_the_radius(spark, block):
     assert pairs([find(i) for i in range(len(fps))]) == pairs(want)
 
 
+@pytest.mark.parametrize("block", [4096, 20])
+def test_links_with_labels_are_all_pairs_within_the_radius(spark, block):
+    rng = random.Random(6)
+    center = rng.getrandbits(64)
+    fps = {rng.getrandbits(64) for _ in range(50)}
+    for _ in range(120):  # many of these are over 4 bits from the first, but within 4 of each other
+        fps.add(center ^ sum(1 << b for b in rng.sample(range(12), rng.randint(0, 5))))
+    fps = [x - (1 << 64) if x >> 63 else x for x in sorted(fps)]
+    df = spark.createDataFrame([(x, k % 40) for k, x in enumerate(fps)], "fp long, label long")
+    found = simhash.links(df, 4, block, label="label").collect()
+    want = {(a, b) for k, a in enumerate(fps) for m, b in enumerate(fps) if a < b and k % 40 != m % 40 and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    assert {(min(r), max(r)) for r in found} == want and len(want) > 1000
+
+
 def test_partition_thresholds():
     assert simhash.allocate([[0, 1, 9], [0, 1, 9], [0, 5, 9]], 0) in ([0, 0, 0], [1, 0, -1], [0, 1, -1])
     assert sum(simhash.allocate([[0.0, *[float(simhash.ball(16, t)) for t in range(5)]]] * 4, 1)) == 1
