@@ -294,8 +294,7 @@ def alias_map(t: Tables) -> DataFrame:
 
 @register("SELECT doc_id, strip_accents(text) AS bare FROM documents WHERE regexp_full_match(text, '[\\x{09}-\\x{7E}À-ÿ]*')")
 def strip_diacritics(t: Tables) -> DataFrame:
-    rows = t.documents.filter(F.col("text").rlike("\\A[\\x{09}-\\x{7E}À-ÿ]*\\z"))
-    return rows.select("doc_id", names.strip_diacritics("text").alias("bare"))
+    return t.documents.select("doc_id", names.strip_diacritics("text").alias("bare"))
 
 
 @register("SELECT page_id, nullif(trim(regexp_extract(html, '(?s)<title[^>]*>([^<]*)</title>', 1)), '') AS title, CAST(len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS INTEGER) AS n_links FROM pages")
