@@ -31,8 +31,8 @@ SPACED = re.compile(r"(?<!\S)\w(?:[ \t.,*_-]{1,2}\w){2,}(?!\S)")
 #: Signs that stand for a letter between two letters.
 SIGNS = str.maketrans("013457@$!|", "oieastasil")
 BETWEEN = re.compile(r"(?<=[^\W\d_])[013457@$!|](?=[^\W\d_])")
-#: Documents of each label that training takes, by hash of their identifiers, and distinct words of each of them.
-TOXIC_SAMPLE, CLEAN_SAMPLE, WORDS_A_DOCUMENT = 3000, 3000, 3000
+#: Documents of each label that training takes, by hash of their identifiers.
+TOXIC_SAMPLE, CLEAN_SAMPLE = 3000, 3000
 #: Landmarks, two thirds of them telling words at most, and clean words near to these that the machine is trained on.
 LANDMARKS, NEAR_WORDS = 192, 6000
 #: The kernel's power, and below what it counts as zero before that.
@@ -263,7 +263,7 @@ def is_held_out(identifier: str) -> Column:
 
 
 def sample(documents: DataFrame, labels: DataFrame, identifier: str, text: str, label: str, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> list[tuple[list[str], int]]:
-    """The words of the labelled documents that training takes: a bounded number of rows, and of words in each."""
+    """All distinct words of the labelled documents that training takes, which are a bounded number of rows."""
     small_batches(labels.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(identifier).isNotNull()).groupBy(F.col(identifier).cast("long").alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_label"))
     known = known.filter(~is_held_out("_id"))
@@ -275,14 +275,16 @@ def sample(documents: DataFrame, labels: DataFrame, identifier: str, text: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", 2 << 20):
-            words = [sorted(words_of(t or ""))[:WORDS_A_DOCUMENT] for t in part.column("_text").to_pylist()]
+            words = [sorted(words_of(t or "")) for t in part.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), pa.array(words, pa.list_(pa.string()))], ["_id", "_label", "words"])
 
     rows = documents.select(F.col(identifier).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     found = rows.mapInArrow(run, "_id long, _label int, words array<string>").toArrow()  # toxic + clean rows at most, unless identifiers repeat
     first: dict = {}
-    for i, y, w in zip(*(found.column(c).to_pylist() for c in ("_id", "_label", "words")), strict=True):
-        first.setdefault(i, (w, y))
+    one: dict = {}  # a word that many documents hold is one object
+    for i, y, w in zip(found.column("_id").to_pylist(), found.column("_label").to_pylist(), found.column("words"), strict=True):
+        if i not in first:
+            first[i] = [one.setdefault(x, x) for x in w.as_py()], y
     return [first[i] for i in sorted(first)]
 
 

@@ -465,6 +465,14 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.toxicity(docs, known.filter("false")).count() == len(rows)
 
 
+def test_toxicity_takes_all_words_of_a_document(spark):
+    many = " ".join(f"a{i}" for i in range(5000))
+    docs = spark.createDataFrame([(i, f"{many} zworst") for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    found = toxicity.sample(docs, labels, "doc_id", "text", "toxic")
+    assert len(found) > 4 and all(len(w) == 5001 and "zworst" in w for w, _ in found)
+
+
 def test_preference_pairs(spark):
     chosen = [(1, 0, "user", "hi", 9), (1, 1, "assistant", "yes", 9), (1, 2, "user", "more", 9), (1, 3, "assistant", "good", 9), (2, 0, "user", "q", 9), (3, 5, None, None, 9), (None, 0, "user", "x", 9), (5, 0, "user", "same", 9)]
     rejected = [(1, 0, "user", "hi", 9), (1, 1, "assistant", "yes", 9), (1, 2, "user", "more", 9), (1, 3, "assistant", "bad one", 9), (3, 0, "", "", 9), (4, 0, "assistant", "alone", 9), (5, 0, "user", "same", 9)]
