@@ -89,10 +89,14 @@ def license_scan(df: DataFrame, identifier: str = "doc_id", text: str = "text",
     spark, empty = df.sparkSession, hashlib.sha256(b"").hexdigest()
     digests.pop(empty, None)
     table = F.broadcast(spark.createDataFrame(list(digests.items()), "canonical_sha256 string, license string"))
-    longest = max([0, *(len(t) for texts in (KNOWN if known is None else known).values() for t in texts)])
+    forms = [canonical_text(t) for texts in (KNOWN if known is None else known).values() for t in texts]
+    # equivalent spellings shorten no word by more than a third
+    longest = 2 * max([0, *map(len, forms)])
     by_digest = F.create_map(*[F.lit(x) for item in digests.items() for x in item]) if digests else F.create_map().cast("map<string,string>")
-    # a line much longer than any known text can't be one; a line without its words needs no digest
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: (F.length(x) <= 4 * longest) & F.translate(x, UPPER, LOWER).rlike("licen[cs]e|permission|software"))
+    # a line is measured without its signs; where all known texts hold one of these words, other lines can't be one
+    words = "licen[cs]e|permission|software"
+    wanted = (lambda x: F.translate(x, UPPER, LOWER).rlike(words)) if all(re.search(words, t) for t in forms) else lambda x: F.lit(True)
+    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: wanted(x) & (F.length(F.regexp_replace(F.translate(x, UPPER, LOWER), "[^a-z0-9\\x{80}-\\x{10FFFF}]+", " ")) <= longest + 2))
     names = F.transform(lines, lambda x: F.try_element_at(by_digest, F.sha2(canonical(x).cast("binary"), 256)))
     notices = F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull())))
     rows = df.select(F.col(identifier).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))

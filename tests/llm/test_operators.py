@@ -499,6 +499,13 @@ def test_license_scan(spark):
     assert licenses.license_scan(df.filter("false")).count() == 0
 
 
+def test_license_lines_of_any_padding_and_wording(spark):
+    padded = "|" + " " * 9000 + "Released under the MIT License." + "=" * 9000
+    df = spark.createDataFrame([(1, f"x\n{padded}\ny"), (2, "x\nUse it as you like!")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.notices) for r in licenses.license_scan(df).collect()) == [(1, "MIT"), (2, None)]
+    assert sorted((r.doc_id, r.notices) for r in licenses.license_scan(df, known={"Free": ["Use it as you like."]}).collect()) == [(1, None), (2, "Free")]
+
+
 def test_native_operators_run_no_python(spark, docs):
     turns = spark.createDataFrame([(1, 0, "user", "x")], "pair_id long, turn long, role string, text string")
     for df in (exact_dedup.exact_dedup(docs), licenses.license_scan(docs), chat_format.preference_pairs(turns, turns)):
