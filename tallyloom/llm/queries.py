@@ -19,8 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = byte_bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id",))
-    return out.select("doc_id", "n_tokens", "ids_sha256", byte_bpe.digest("decoded").alias("decoded_sha256"))
+    return byte_bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id",))
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
