@@ -1,19 +1,19 @@
-"""Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
-
-The kernel compares two words by the subsequences of three characters that they share within a span of SPAN, each
-weighing DECAY per skipped character, with a mark before the first character; it thus tolerates gaps and inserted
-characters. It is normalised, raised to POWER, and taken as zero below FLOOR, so that words unlike all landmarks carry
-no evidence. A sentence is as toxic as its most toxic word, and so is a document; spelled-out words ("i d i o t") and
-words with signs in between count as whole ones. Training finds the words that more toxic sentences hold than chance
-allows, takes them and the clean words nearest to them as landmarks, maps words by the kernel with the landmarks
-(Nyström) and trains a squared-hinge machine there, each word weighing as often as the labelled documents have it.
+"""Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks, trained on sentences.
+
+Words are compared by the gapped subsequences of four characters that they share within SPAN characters, each weighing
+DECAY per skipped character, with marks before and after the word; a word thus stays alike if characters are inserted or
+gaps opened. The word kernel is normalised by its own norm and raised to POWER; the kernel of two sentences sums it over
+their pairs of distinct words. It is a sum of powers of inner products, hence positive semidefinite.
+
+Labels are known by document, so that training picks sentences: in each round the machine learns from one sentence of
+each toxic document, the one with the highest margin so far, and its others beyond what clean ones reach, against all
+sentences of clean documents. Landmarks are stretches of one word of these sentences. A document is as toxic as its most toxic sentence.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from zlib import crc32
@@ -23,29 +23,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import emptied_with_held, give_back, held_by_worker, let_go, slices, small_batches
+from tallyloom.llm.shared import give_back, held_by_worker, let_go, slices, small_batches
 
-SPAN, DECAY, CODES = 6, 0.85, 32
-TRIPLES = [(i, j, DECAY ** (j - 2)) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
-SPACED = re.compile(r"(?<!\S)\w(?:[ \t.,*_-]{1,2}\w){2,}(?!\S)")
+SPAN, DECAY, POWER = 6, 0.6, 2
+STEPS = [(i, j, k, DECAY ** (k - 3)) for i in range(1, SPAN - 2) for j in range(i + 1, SPAN - 1) for k in range(j + 1, SPAN)]
+#: Subsequences are told apart by a hash of so many bits.
+BITS = 18
+SPACED = re.compile(r"(?<!\S)\w(?:[ \t.*_-]{1,2}\w){2,}(?![^\s.,!?;:])")
 #: Signs that stand for a letter between two letters.
 SIGNS = str.maketrans("013457@$!|", "oieastasil")
 BETWEEN = re.compile(r"(?<=[^\W\d_])[013457@$!|](?=[^\W\d_])")
+#: A sentence ends after so many words, if no sign ends it before.
+SENTENCE = 12
 #: Documents of each label that training takes, by hash of their identifiers.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 3000, 3000
-#: Landmarks, two thirds of them telling words at most, and clean words near to these that the machine is trained on.
-LANDMARKS, NEAR_WORDS = 192, 6000
-#: The kernel's power, and below what it counts as zero before that.
-POWER, FLOOR = 2, 0.5
-#: Landmarks that are compared together at first.
-GROUP = 6
-#: Scored words that a worker keeps.
-CACHE_ENTRIES = 500_000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1200, 1200
+#: Landmarks, two thirds of them from toxic sentences at most, and rounds of training.
+LANDMARKS, ROUNDS = 144, 4
+#: How much more frequent in toxic documents a subsequence must be to tell something before the first round.
+TELLING = 4
+#: Weight of landmarks with inserted characters, against 1 for the sentences of toxic documents.
+ALTERED = 0.05
+#: Words, or sentences, that training takes at a time.
+BLOCK = 4000
+#: Words that a worker keeps.
+CACHE_ENTRIES = 150_000
 
 
 @dataclass(frozen=True)
 class Model:
-    """Landmark words with their weights, the machine's bias, and the logistic that makes scores of margins."""
+    """Landmarks with their weights, the machine's bias, and the logistic that makes scores of margins."""
 
     landmarks: tuple[str, ...]
     weights: tuple[float, ...]
@@ -57,134 +63,126 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
-def words_of(text: str) -> set[str]:
-    """The distinct tokens of a text in lower case, and the words that are spelled out by single characters."""
-    text = text.lower()
-    out = set(text.split())
-    if sum(len(w) == 1 for w in out) > 2:
-        out.update(m[0] for m in SPACED.finditer(text))
-    return out
-
-
 def letters(token: str) -> str:
     """A token's letters; a sign that often stands for one counts as that one, if letters surround it."""
     return token if token.isalpha() else "".join(filter(str.isalpha, BETWEEN.sub(lambda m: m[0].translate(SIGNS), token)))
 
 
-def triples(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(word index, triple, weight) of all occurrences, a pair of gaps at a time."""
-    raw = np.frombuffer("".join("\n" + w for w in words).encode("utf-32-le"), "<u4")
-    code = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where(raw == 10, 0, 27 + raw % 5)).astype(np.int64)
-    word = np.cumsum(raw == 10) - 1
-    for i, j, weight in TRIPLES:
-        if len(code) > j:
-            inside = np.flatnonzero(word[: len(word) - j] == word[j:])
-            yield word[inside], (code[inside] * CODES + code[inside + i]) * CODES + code[inside + j], weight
-
-
-def norms(words: list[str]) -> np.ndarray:
-    """The length of a word's features, each occurrence on its own axis; it follows from the number of characters."""
-    n = np.array([len(w) + 1 for w in words], np.float64)
-    return np.sqrt(np.maximum(sum(np.maximum(n - j, 0) * weight**2 for _, j, weight in TRIPLES), 1e-9))
-
-
-def table(words: list[str]) -> np.ndarray:
-    """The normalised features of each word, a column each."""
-    out = np.zeros((CODES**3, len(words)), np.float32)
-    for word, triple, weight in triples(words):
-        np.add.at(out, (triple, word), np.float32(weight))
-    return out / norms(words).astype(np.float32)
-
-
-def products(words: list[str], by_triple: np.ndarray) -> np.ndarray:
-    """The normalised features of each word times a table by triple."""
-    out = np.zeros((len(words), by_triple.shape[1]), np.float32)
-    for begin in range(0, len(words), 512):
-        part = words[begin : begin + 512]
-        for word, triple, weight in triples(part):
-            if len(word):
-                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                out[begin + word[first]] += np.float32(weight) * np.add.reduceat(by_triple[triple], first)
-        out[begin : begin + len(part)] /= norms(part)[:, None].astype(np.float32)
-    return out
-
-
-def near(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Indices of the words whose kernel with some landmark may reach the floor.
-
-    Landmarks are taken GROUP at a time, alike ones together; the largest share that any of a group has in a triple
-    bounds the products with all of them.
-    """
-    ordered = sorted(landmarks)
-    groups = [table(ordered[i : i + GROUP]).max(axis=1) for i in range(0, len(ordered), GROUP)]
-    return reached(words, np.stack(groups, axis=1))
-
+class Words(dict):
+    """The letters of each token and whether it ends a sentence."""
 
-def reached(words: list[str], groups: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(products(words, groups).max(axis=1, initial=0) >= FLOOR - 1e-4)
+    def __missing__(self, token: str) -> tuple[str, bool]:
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        self[token] = out = letters(token), token[-1] in ".!?"
+        return out
 
 
-def kernel(words: list[str], by_triple: np.ndarray) -> np.ndarray:
-    out = products(words, by_triple)
-    return np.where(out < FLOOR, 0, out) ** POWER
+def sentences(text: str, words: Words) -> list[list[str]]:
+    """The distinct words of each sentence, in lower case; characters parted by spaces or signs are one word."""
+    text = text.lower()
+    out, now, n = [], {}, 0
+    for token in SPACED.sub(lambda m: "".join(filter(str.isalnum, m[0])), text).split():
+        word, ends = words[token]
+        if word:
+            now[word] = None
+            n += 1
+        if n and (ends or n >= SENTENCE):
+            out.append(list(now))
+            now, n = {}, 0
+    if n:
+        out.append(list(now))
+    return out
 
 
-_tables: dict = emptied_with_held({})
+def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, subsequence, weight) of the distinct subsequences of each word, in order; weights are normalised."""
+    raw = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le"), "<u4").astype(np.uint64)
+    mark = raw == 10
+    begins, odd = np.cumsum(mark) - 1, [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+    ends = np.where(mark, begins - 1, begins)  # a mark ends one word and begins the next
+    one, two, three, four = (raw * m for m in odd)
+    keys, weights = [], []
+    for i, j, k, weight in STEPS:
+        if len(raw) > k:
+            inside = np.flatnonzero(begins[:-k] == ends[k:])
+            h = one[inside] + two[inside + i] + three[inside + j] + four[inside + k]
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            keys.append((begins[inside] << BITS) + (h >> np.uint64(64 - BITS)).astype(np.int64))
+            weights.append(np.full(len(inside), weight))
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    weight = np.bincount(inverse, weights=np.concatenate(weights))
+    word = key >> BITS
+    return word, key & ((1 << BITS) - 1), weight / np.sqrt(np.bincount(word, weights=weight * weight, minlength=len(words)))[word]
+
+
+class Landmarks:
+    """The landmarks' subsequences as a table, a column each, of which only rows are held that some landmark has."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        word, own, weight = subsequences(words)
+        rows = np.unique(own)
+        self.table = np.zeros((len(rows), len(words)), np.float32)
+        self.table[np.searchsorted(rows, own), word] = weight
+        self.row = np.full(1 << BITS, -1, np.int32)
+        self.row[rows] = np.arange(len(rows))
+
+    def kernel(self, n: int, word: np.ndarray, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The word kernel of n words, given by their subsequences, with each landmark."""
+        out = np.zeros((n, len(self.words)), np.float32)
+        row = self.row[own]
+        hit = np.flatnonzero(row >= 0)
+        row, word, weight = row[hit], word[hit], weight[hit].astype(np.float32)[:, None]
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(hit) else hit
+        for a in range(0, len(first), 500):
+            some = first[a : a + 500]
+            end = first[a + 500] if a + 500 < len(first) else len(hit)
+            out[word[some]] = np.add.reduceat(self.table[row[some[0] : end]] * weight[some[0] : end], some - some[0], axis=0)
+        return out**POWER
 
 
-def margins(words: list[str], model: Model) -> np.ndarray:
-    """The machine's margin of each word of letters; a word near no landmark of positive weight has its bias."""
-    out = np.full(len(words), model.bias)
-    for_toxic = sorted(x for x, w in zip(model.landmarks, model.weights, strict=True) if w > 0)
-    if not for_toxic:
-        return out
-    if _tables.get("model") != model:
-        groups = np.stack([table(for_toxic[i : i + GROUP]).max(axis=1) for i in range(0, len(for_toxic), GROUP)], axis=1)
-        _tables.update(model=model, all=table(list(model.landmarks)), groups=groups)
-    some = reached(words, _tables["groups"])
-    out[some] += kernel([words[i] for i in some.tolist()], _tables["all"]) @ np.array(model.weights)
-    return out
+def altered(word: str, rng: random.Random) -> list[str]:
+    """The word with an inserted character, at any place, and with a repeated one."""
+    if len(word) < 4:
+        return []
+    inserted = [word[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[i:] for i in range(1, len(word))]
+    return inserted + [word[:i] + word[i - 1] + word[i:] for i in range(1, len(word), 2)]
 
 
-def apart(documents: list[set[str]]) -> list[set[str]]:
-    """The documents without near copies of earlier ones: those that share two of their least hashes, in any of six ways."""
+def apart(documents: list[set[str]]) -> list[int]:
+    """Which documents are no near copies of earlier ones: those share two of their least hashes, in any of six ways."""
     seen, out = set(), []
-    for d in documents:
+    for k, d in enumerate(documents):
         codes = np.array([crc32(w.encode()) for w in d] or [0], np.uint64)
         least = [int((codes * np.uint64(odd) & np.uint64(0xFFFFFFFF)).min()) for odd in range(0x9E3779B1, 0x9E3779B1 + 24, 2)]
         keys = set(zip(range(6), least[::2], least[1::2], strict=True))
         if not keys & seen:
-            out.append(d)
+            out.append(k)
         seen |= keys
     return out
 
 
-def telling_words(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """Words of more toxic documents than chance would give any word that hardly any clean document has."""
-    inside, outside = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
-    rate = len(toxic) / max(1, len(toxic) + len(clean))
-    sizes = Counter(min(n + outside[w], 60) for w, n in inside.items())
-    least = next((g for g in range(2, 60) if rate**g * sum(n for s, n in sizes.items() if s >= g) < 0.3), 60)
-    found = [(-n, w) for w, n in inside.items() if n >= least and outside[w] * len(toxic) <= 0.02 * n * len(clean) and len(w) > 2]
-    return [w for _, w in sorted(found)[: LANDMARKS * 2 // 3]]
-
+def squared_hinge(samples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
+    """Newton's method on ridge |w|^2 / 2 + mean of the squared hinge losses; the last weight is the bias.
 
-def altered(word: str, rng: random.Random) -> list[str]:
-    """The word with an inserted character, at any place, and with a repeated one."""
-    if len(word) < 4:
-        return []
-    inserted = [word[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[i:] for i in range(1, len(word))]
-    return inserted + [word[:i] + word[i - 1] + word[i:] for i in range(1, len(word), 2)]
-
-
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
-    """Newton's method on ridge |w|^2 / 2 + mean of the squared hinge losses; the last weight is the bias."""
-    x = np.append(x, np.ones((len(x), 1)), axis=1)
-    w, weight = np.zeros(x.shape[1]), weight / weight.sum()
+    samples are (features, labels of 1 and -1, weights), of which rows of weight 0 are left out; sums are made in double
+    precision over BLOCK rows at a time.
+    """
+    total = sum(weight.sum() for _, _, weight in samples)
+    w = np.zeros(samples[0][0].shape[1] + 1)
+    blocks = [(x, y, weight, rows[a : a + BLOCK]) for x, y, weight in samples for rows in [np.flatnonzero(weight)] for a in range(0, len(rows), BLOCK)]
     for _ in range(steps):
-        on = y * (x @ w) < 1
-        gradient = ridge * w - 2 * x[on].T @ (weight[on] * (y[on] - x[on] @ w))
-        hessian = ridge * np.eye(len(w)) + 2 * (x[on] * weight[on][:, None]).T @ x[on]
+        gradient, hessian = ridge * w, ridge * np.eye(len(w))
+        for x, y, weight, rows in blocks:
+            part = np.append(x[rows].astype(np.float64), np.ones((len(rows), 1)), axis=1)
+            margin, own = part @ w, y[rows]
+            on = own * margin < 1
+            part, own_weight = part[on], weight[rows][on] / total
+            gradient -= 2 * part.T @ (own_weight * (own[on] - margin[on]))
+            hessian += 2 * (part * own_weight[:, None]).T @ part
         step = np.linalg.solve(hessian, gradient)
         w = w - step
         if np.abs(step).max() < 1e-7:
@@ -207,85 +205,192 @@ def logistic(margin: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[fl
     return float(w[0]), float(w[1])
 
 
-def fit(documents: list[tuple[str, int]] | list[tuple[list[str], int]]) -> Model:
-    """Learns from (text or list of its words, label) pairs. Without telling words every score is the labels' rate."""
-    rng = random.Random(0)
-    split = [({letters(w) for w in (words_of(d) if isinstance(d, str) else d)} - {""}, label) for d, label in documents]
-    toxic, clean = apart([w for w, label in split if label]), [w for w, label in split if not label]
-    telling = telling_words(toxic, clean) if toxic and clean else []
-    if not telling:
-        rate = (sum(label for _, label in split) + 0.5) / (len(split) + 1)
-        return Model((), (), 0.0, 0.0, float(np.log(rate / (1 - rate))))
-    inside, outside = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
-    variants = sorted({a for w in telling for a in altered(w, rng)} - set(inside) - set(outside))
-    vocabulary = sorted(set(outside) | set(inside))
-    vocabulary = [vocabulary[i] for i in near(vocabulary, telling).tolist()]
-    vocabulary += [w for w in telling if w not in set(vocabulary)]
-    closest = kernel(vocabulary, table(telling)).max(axis=1)
-    order = sorted(range(len(vocabulary)), key=lambda i: (vocabulary[i] not in set(telling), -closest[i] * np.log1p(outside[vocabulary[i]]), vocabulary[i]))
-    vocabulary = [vocabulary[i] for i in order if closest[i] > 0][:NEAR_WORDS]
-    landmarks = tuple(dict.fromkeys([*telling, *vocabulary]))[:LANDMARKS]
-    by_triple = table(list(landmarks))
-    value, vector = np.linalg.eigh(kernel(list(landmarks), by_triple).astype(np.float64))
-    nystroem = vector[:, value > 1e-3] / np.sqrt(value[value > 1e-3])  # words map to kernel(word) @ nystroem
-    # each word on either side, as often as documents of that side have it; then altered words, and a word like no landmark
-    words = [*vocabulary, *vocabulary, *variants, ""]
-    y = np.concatenate([np.ones(len(vocabulary)), -np.ones(len(vocabulary)), np.ones(len(variants)), [-1.0]])
-    told = set(telling)
-    positive = np.array([inside[w] / len(toxic) if w in told else 0.0 for w in vocabulary])
-    negative = np.array([outside[w] / len(clean) for w in vocabulary])
-    weight = np.concatenate([positive / positive.sum(), 10 * negative, np.full(len(variants), 0.5 / max(1, len(variants))), [0.5]])
-    mapped = np.concatenate([kernel(vocabulary, by_triple)] * 2 + [kernel(variants, by_triple), np.zeros((1, len(landmarks)))]).astype(np.float64) @ nystroem
-    w = squared_hinge(mapped, y, weight)
-    model = Model(landmarks, tuple((nystroem @ w[:-1]).tolist()), float(w[-1]), 1.0, 0.0)
-    seen = sorted(set().union(*(d for d, _ in split)))
-    margin = dict(zip(seen, margins(seen, model).tolist(), strict=True))
-    highest = np.array([max((margin[w] for w in d), default=model.bias) for d, _ in split])
-    slope, shift = logistic(highest, np.array([label for _, label in split], np.float64))
-    return replace(model, slope=max(slope, 0.0), shift=shift)
-
-
-def scores(texts: list[str], model: Model) -> np.ndarray:
-    """The score of each text; margins of words are kept by the worker as long as the model is the same."""
-    known, split = held_by_worker("toxicity", model, dict), [words_of(t) for t in texts]
-    if len(known) > CACHE_ENTRIES:
-        known.clear()
-    if new := list(set().union(*split).difference(known)):
-        bare = [letters(w) for w in new]
-        distinct = list(set(bare))
-        margin = dict(zip(distinct, margins(distinct, model).tolist(), strict=True))
-        known.update(zip(new, map(margin.__getitem__, bare), strict=True))
-    return model.score(np.array([max(map(known.__getitem__, s), default=model.bias) for s in split]))
+class Sentences:
+    """The sentences of labelled documents: the document and the words (as numbers) of each."""
+
+    def __init__(self, documents: list[tuple[str, int]]) -> None:
+        known = Words()
+        split = [(sentences(text, known), label) for text, label in documents]
+        split = [x for x in split if x[0]]
+        split = [split[k] for k in apart([set().union(*s) for s, _ in split])]
+        self.label = np.array([y for _, y in split], np.int64)
+        lists = [s for d, _ in split for s in d]
+        self.document = np.repeat(np.arange(len(split)), [len(d) for d, _ in split])
+        self.toxic = self.label[self.document] == 1
+        self.vocabulary = sorted({w for s in lists for w in s})
+        number = {w: i for i, w in enumerate(self.vocabulary)}
+        self.word = np.array([number[w] for s in lists for w in s], np.int64)
+        self.first = np.cumsum([0, *map(len, lists)])
+        parts = [subsequences(self.vocabulary[a : a + BLOCK]) for a in range(0, len(self.vocabulary), BLOCK)]
+        self.features = [(w.astype(np.int32), own.astype(np.int32), weight.astype(np.float32)) for w, own, weight in parts]
+
+    def by_word(self, marks: Landmarks, of) -> np.ndarray:
+        """of(kernel with the landmarks) for all words, a block of them at a time."""
+        sizes = [min(BLOCK, len(self.vocabulary) - a) for a in range(0, len(self.vocabulary), BLOCK)]
+        return np.concatenate([of(marks.kernel(n, *part)) for n, part in zip(sizes, self.features, strict=True)])
+
+    def sums(self, by_word: np.ndarray) -> np.ndarray:
+        """by_word summed over the words of each sentence, some thousand sentences at a time."""
+        out = np.empty((len(self.document), by_word.shape[1]), by_word.dtype)
+        for a in range(0, len(out), BLOCK):
+            first = self.first[a : a + BLOCK + 1]
+            n = min(BLOCK, len(out) - a)
+            out[a : a + n] = np.add.reduceat(by_word[self.word[first[0] : first[n]]], first[:n] - first[0], axis=0)
+        return out
+
+    def highest(self, margin: np.ndarray) -> np.ndarray:
+        """The highest margin of each document's sentences."""
+        out = np.full(len(self.label), -np.inf)
+        np.maximum.at(out, self.document, margin)
+        return out
+
+    def telling(self) -> np.ndarray:
+        """How much each word's subsequences are more frequent in toxic documents than chance gives, to begin with."""
+        held, document = np.zeros((2, 1 << BITS)), np.repeat(self.document, np.diff(self.first))
+        cuts = [np.searchsorted(word, np.arange(BLOCK + 1)) for word, _, _ in self.features]
+        for k, y in enumerate(self.label.tolist()):
+            a, b = np.searchsorted(document, [k, k + 1])
+            words = np.unique(self.word[a:b]).tolist()
+            held[y, np.unique(np.concatenate([self.features[w // BLOCK][1][cuts[w // BLOCK][w % BLOCK] : cuts[w // BLOCK][w % BLOCK + 1]] for w in words]))] += 1
+        toxic, clean = (self.label == 1).sum(), (self.label == 0).sum()
+        share = (held.sum(axis=0) + 1) / (toxic + clean + 2)
+        z = (held[1] / toxic - held[0] / clean) / np.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
+        # a language or a source that is somewhat more frequent among toxic documents tells nothing
+        z = np.where((z > 3) & (held[1] / toxic > TELLING * held[0] / clean), z, 0)
+        return np.concatenate([np.bincount(word, weights=weight * z[own], minlength=BLOCK) for word, own, weight in self.features])[: len(self.vocabulary)]
+
+    def stretches(self, by_word: np.ndarray, some: np.ndarray) -> list[int]:
+        """The word of each given sentence that tells most, those first that most others, but no chosen one, are like.
+
+        Words that are like no other sentence's are left out, unless all are.
+        """
+        found: dict[int, int] = {}
+        for i in some.tolist():
+            words = self.word[self.first[i] : self.first[i + 1]]
+            best = int(words[np.argmax(by_word[words])])
+            if by_word[best] > 0:
+                found[best] = found.get(best, 0) + 1
+        if not found:
+            return []
+        words = sorted(found, key=lambda w: (-found[w], -by_word[w], w))[: 4 * LANDMARKS]
+        marks = Landmarks([self.vocabulary[w] for w in words])
+        kernel = marks.kernel(len(words), *subsequences(marks.words))
+        alike = kernel @ np.array([found[w] for w in words], np.float32)
+        free = alike >= 1.2 if (alike >= 1.2).any() else alike > 0
+        new, out = np.ones(len(words), np.float32), []  # how much of each word no chosen one is like
+        for _ in range(min(int(free.sum()), LANDMARKS)):
+            k = int(np.argmax(np.where(free, np.round(alike * new, 4), -1)))
+            out.append(words[k])
+            free[k] = False
+            new = np.minimum(new, np.maximum(1 - kernel[:, k], 1e-3))
+        return out
+
+
+def fit(documents: list[tuple[str, int]]) -> Model:
+    """Learns from (text, label) pairs. Without documents of both labels every score is the labels' rate."""
+    data = Sentences(documents)
+    rate = (sum(y for _, y in documents) + 0.5) / (len(documents) + 1)
+    none = Model((), (), 0.0, 0.0, float(np.log(rate / (1 - rate))))
+    if not (data.label == 1).any() or not (data.label == 0).any():
+        return none
+    clean, y = ~data.toxic, np.where(data.toxic, 1.0, -1.0)
+    in_clean = np.zeros(len(data.vocabulary))
+    held = np.unique(np.repeat(data.document, np.diff(data.first)) * len(data.vocabulary) + data.word)  # documents' distinct words
+    np.add.at(in_clean, (held % len(data.vocabulary))[data.label[held // len(data.vocabulary)] == 0], 1)
+
+    def chosen(margin: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The telling sentences of toxic documents, whether their margin is beyond all but a share of the clean
+        documents', and all weights: each document's best sentence, and all that are beyond."""
+        highest = data.highest(margin)
+        order = np.lexsort((np.arange(len(margin)), -margin, data.document))
+        best = np.zeros(len(margin), bool)
+        best[order[np.append(True, data.document[order][1:] != data.document[order][:-1])]] = True
+        over = margin > np.quantile(highest[data.label == 0], 1 - share)
+        witness = np.flatnonzero(data.toxic & (best | over))
+        weight = np.where(clean, 10 / clean.sum(), 0)
+        # labelled documents without a toxic sentence have little say
+        own = np.where(over[witness], 1.0, 0.02) / np.bincount(data.document[witness], minlength=len(highest))[data.document[witness]]
+        weight[witness] = own / own.sum()
+        return witness, over[witness], weight
+
+    rng, by_word = random.Random(0), data.telling()
+    margin = np.maximum.reduceat(by_word[data.word], data.first[:-1])
+    witness, beyond, weight = chosen(margin, 0.1)
+    toxic = data.stretches(by_word, witness[beyond])[: LANDMARKS * 2 // 3]
+    for _ in range(ROUNDS):
+        if not toxic:
+            return none
+        near = data.by_word(Landmarks([data.vocabulary[w] for w in toxic]), lambda k: k.max(axis=1))
+        others = np.setdiff1d(np.flatnonzero(in_clean), toxic)
+        others = others[np.argsort(-near[others] * np.log1p(in_clean[others]), kind="stable")][: LANDMARKS - len(toxic)]
+        words = [data.vocabulary[w] for w in [*toxic, *others.tolist()]]
+        marks = Landmarks(words)
+        variants = sorted({a for w in toxic for a in altered(data.vocabulary[w], rng)}.difference(data.vocabulary))
+        like = marks.kernel(len(variants), *subsequences(variants)) if variants else np.zeros((0, len(words)))
+        # those that are nearly as much like a clean word would blur the border
+        clear = np.flatnonzero(like[:, : len(toxic)].max(axis=1, initial=0) > 3 * like[:, len(toxic) :].max(axis=1, initial=0))
+        value, vector = np.linalg.eigh(marks.kernel(len(words), *subsequences(words)).astype(np.float64))
+        keep = value > 1e-3 * value.max()
+        nystroem = vector[:, keep] / np.sqrt(value[keep])  # sentences map to their kernel with the landmarks @ nystroem
+        mapped_words = data.by_word(marks, lambda k: (k @ nystroem).astype(np.float32))  # noqa: B023
+        mapped = data.sums(mapped_words)
+        more = like[clear].astype(np.float64) @ nystroem  # each a sentence of its own
+        w = squared_hinge([(mapped, y, weight), (more, np.ones(len(more)), np.full(len(more), ALTERED / max(1, len(more))))])
+        weights, margin = nystroem @ w[:-1], mapped @ w[:-1] + w[-1]
+        witness, beyond, weight = chosen(margin, 0.01)
+        new = data.stretches(mapped_words @ w[:-1], witness[beyond])
+        toxic = [*new, *(x for x in toxic if x not in set(new))][: LANDMARKS * 2 // 3]
+    highest = data.highest(margin)
+    # documents whose label no sentence bears out are left out of the scale
+    low = np.quantile(highest[data.label == 0], 0.995)
+    sure = (data.label == 0) | (highest > low)
+    slope, _ = logistic(highest[sure], data.label[sure].astype(np.float64))
+    slope = max(slope, 1.0)
+    # an altered insult has a lower margin than those learned from: half is 0.3 of the way from clean ones to the margin of 1
+    shift = float(-slope * (0.7 * low + 0.3))
+    return Model(tuple(words), tuple(weights.tolist()), float(w[-1]), slope, shift)
+
+
+class Scorer:
+    """Scores texts by a model; what it knows of tokens and words stays with the worker."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.landmarks, self.tokens, self.known = model, Landmarks(list(model.landmarks)), Words(), {}
+        self.weights = np.array(model.weights, np.float32)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        split = [sentences(t, self.tokens) for t in texts]
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        new = sorted({w for d in split for s in d for w in s}.difference(self.known)) if self.model.landmarks else []
+        for a in range(0, len(new), BLOCK):
+            part = new[a : a + BLOCK]
+            kernel = self.landmarks.kernel(len(part), *subsequences(part))
+            self.known.update(zip(part, (kernel @ self.weights).tolist(), strict=True))
+        value = self.known.__getitem__ if self.model.landmarks else lambda w: 0.0
+        return self.model.score(np.array([max((sum(map(value, s)) for s in d), default=0.0) for d in split]) + self.model.bias)
 
 
 def is_held_out(identifier: str) -> Column:
     return F.coalesce(F.crc32(F.col(identifier).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(documents: DataFrame, labels: DataFrame, identifier: str, text: str, label: str, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> list[tuple[list[str], int]]:
-    """All distinct words of the labelled documents that training takes, which are a bounded number of rows."""
-    small_batches(labels.sparkSession)
+def sample(documents: DataFrame, labels: DataFrame, identifier: str, text: str, label: str, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> list[tuple[str, int]]:
+    """The whole texts of the labelled documents that training takes: toxic + clean rows at most, whatever repeats.
+
+    Labels of null identifiers and null labels are left out; of several labels of a document the highest counts, of
+    several texts the least. A null text counts as empty.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col(identifier).isNotNull()).groupBy(F.col(identifier).cast("long").alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_label"))
     known = known.filter(~is_held_out("_id"))
-    # labels of documents that are at hand, a few more than wanted, ordered by hash
+    # labels of documents that are at hand, ordered by hash
     there = documents.select(F.col(identifier).cast("long").alias("_id")).filter("_id is not null").distinct()
     known = known.join(there, "_id", "left_semi")
     order = (F.xxhash64("_id"), F.col("_id"))
     chosen = known.filter("_label = 1").orderBy(*order).limit(toxic).unionByName(known.filter("_label = 0").orderBy(*order).limit(clean))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text", 2 << 20):
-            words = [sorted(words_of(t or "")) for t in part.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), pa.array(words, pa.list_(pa.string()))], ["_id", "_label", "words"])
-
-    rows = documents.select(F.col(identifier).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    found = rows.mapInArrow(run, "_id long, _label int, words array<string>").toArrow()  # toxic + clean rows at most, unless identifiers repeat
-    first: dict = {}
-    one: dict = {}  # a word that many documents hold is one object
-    for i, y, w in zip(found.column("_id").to_pylist(), found.column("_label").to_pylist(), found.column("words"), strict=True):
-        if i not in first:
-            first[i] = [one.setdefault(x, x) for x in w.as_py()], y
-    return [first[i] for i in sorted(first)]
+    rows = documents.select(F.col(identifier).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    found = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label")).collect()
+    return [(r["_text"], r["_label"]) for r in sorted(found)]
 
 
 def train(documents: DataFrame, labels: DataFrame, identifier: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -303,9 +408,9 @@ def scored(df: DataFrame, model: Model, text: str = "text", column: str = "score
     names, own = df.columns, df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for part in slices(batches, f"c{own}", 2 << 20, keeps="toxicity"):
-            out = scores([t or "" for t in part.column(own).to_pylist()], model)
+        scorer = held_by_worker("toxicity", shared.value, lambda: Scorer(shared.value))
+        for part in slices(batches, f"c{own}", 1 << 20, keeps="toxicity"):
+            out = scorer([t or "" for t in part.column(own).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(out)], [*(f"c{i}" for i in range(len(names))), "score"])
 
     schema = ", ".join([*(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(names)), "score double"])
@@ -314,7 +419,12 @@ def scored(df: DataFrame, model: Model, text: str = "text", column: str = "score
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, identifier: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of documents, by a model trained on the others' labels."""
+    """doc_id, held_out, score, predicted of every row of documents, by a model trained on the others' labels.
+
+    Null and empty texts score as ones without evidence; rows of null or repeated identifiers are scored each, a null
+    identifier is not held out. Scores that tie at 0.5 count as toxic. Long texts are scored whole, sentence by sentence.
+    Empty tables give empty results, and without labels of both kinds every score is the labels' rate.
+    """
     rows = documents.select(F.col(identifier).alias("doc_id"), F.col(text).alias("_t"))
     out = scored(rows, train(documents, labels, identifier, text, label), "_t").drop("_t")
     return out.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
