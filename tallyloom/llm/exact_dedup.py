@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import remove, spread_join, written
+from tallyloom.llm.shared import PLACE, back, named, placed, remove, spread_join, written
 
 FAN_IN = 8
 KEY = ["sha", "check", "n_bytes"]
@@ -35,45 +35,50 @@ def merge_round(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     )
 
 
-def decide(df: DataFrame, identifier: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(decisions, written table). Decisions: row, doc_id, keep_id, group_size, kept, text_sha256 for every row of df.
-
-    A null text counts as empty. Rows are equal if their texts are after SPACES became one space; the row with the
-    smallest identifier stays, nulls last. Of rows equal in both, one stays: the first as they were read. Empty
-    tables give empty results. The written table holds row (unique), identifier, digests, and the columns ``carry``.
-    """
-    table = (
-        df.select(F.col(identifier).alias("_id"), canonical(text).alias("_canonical"), *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)])
-        .select("_id", F.unhex(F.sha2(F.col("_canonical").cast("binary"), 256)).alias("sha"), F.xxhash64("_canonical").alias("check"), F.octet_length("_canonical").alias("n_bytes"),
-                F.spark_partition_id().cast("long").alias("run"), F.monotonically_increasing_id().alias("row"), *[f"_carry_{i}" for i in range(len(carry))])
-    )
-    table = written(table, "digests")
-    total, last = table.agg(F.count("*"), F.coalesce(F.max("run"), F.lit(0))).first()
-    leaves = table.groupBy("run", *KEY).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "row")).alias("best"), F.count("*").alias("copies"))
-    runs, n = leaves, last + 1
+def decide(table: DataFrame) -> DataFrame:
+    """(sha, check, n_bytes, keep_id, keep_row, group_size) of each distinct text of a written table of digests()."""
+    last = table.agg(F.coalesce(F.max("run"), F.lit(0))).first()[0]
+    runs = table.groupBy("run", *KEY).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "row")).alias("best"), F.count("*").alias("copies"))
+    n = last + 1
     while True:
         runs, n = merge_round(runs), -(-n // FAN_IN)
         if n == 1:
             break
-    roots = runs.select(*KEY, F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("copies").alias("group_size"))
-    rows = table.select("row", "_id", *KEY)
-    out = spread_join(rows, roots, KEY, "group_size", total).select(
-        "row", F.col("_id").alias("doc_id"), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
-    return out, table
+    return written(runs.select(*KEY, F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("copies").alias("group_size")), "roots")
+
+
+def digests(rows: DataFrame, identifier: str, text: str, *more: str) -> DataFrame:
+    """A written table of row (unique), _id, sha, check, n_bytes and run of every row, and the columns ``more``."""
+    table = rows.select(F.col(identifier).alias("_id"), canonical(text).alias("_canonical"), *more).select(
+        "_id", F.unhex(F.sha2(F.col("_canonical").cast("binary"), 256)).alias("sha"), F.xxhash64("_canonical").alias("check"), F.octet_length("_canonical").alias("n_bytes"),
+        F.spark_partition_id().cast("long").alias("run"), F.monotonically_increasing_id().alias("row"), *more)
+    return written(table, "digests")
 
 
 def exact_dedup(df: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row; see decide()."""
-    return decide(df, identifier, text)[0].drop("row")
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of df.
+
+    A null text counts as empty. Rows are equal if their texts are after SPACES became one space; the row with the
+    smallest identifier stays, nulls last. Of rows equal in both, one stays: the first as they were read. Empty
+    tables give empty results; other columns, whatever their names, are not read.
+    """
+    table = digests(df.select(F.col(identifier).alias("c0"), F.col(text).alias("c1")), "c0", "c1")
+    out = spread_join(table.select("row", "_id", *KEY), decide(table), KEY, "group_size", table.count())
+    return out.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def without_copies(df: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows that decide() drops, its columns unchanged, whatever they are called."""
+    """df without the rows that exact_dedup() drops, its columns unchanged, whatever they are called.
+
+    Decisions are made on digests; then the dropped rows' places in their files leave them out of a second scan.
+    """
     spark, names = df.sparkSession, df.columns
-    decisions, table = decide(df, identifier, text, tuple(names))
-    kept = decisions.filter("kept").select("row")
-    out = table.join(kept, "row", "left_semi").select(*[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(names)])
-    result = written(out, "kept")
+    rows = placed(df, "documents")
+    table = digests(rows, f"c{names.index(identifier)}", f"c{names.index(text)}", *PLACE)
+    roots = decide(table)
+    several = roots.filter("group_size > 1")
+    members = spread_join(table.select("row", *PLACE, *KEY), several.select(*KEY, "keep_row", "group_size"), KEY, "group_size", table.count())
+    dropped = written(members.filter("row <> keep_row").select(*PLACE), "dropped")
     remove(table, spark)
-    return result
+    remove(roots, spark)
+    return back(named(rows, dropped, "left_anti"), names)

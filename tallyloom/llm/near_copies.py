@@ -1,9 +1,10 @@
 """One document of each group of near copies, whose shingle sets have a similarity of 0.8 or more.
 
-Candidates are the links of the SimHash operator (generalised pigeonhole) and, since two texts of that similarity often
-differ in 10 or more of 64 bits, those of bands of minimal hashes of the same shingles. Each candidate is verified on
-the whole shingle sets; verified links make the groups. At first each row of a bucket meets its first and its last row
-only, which connects most of a large group; then all rows of a bucket meet that are not connected yet.
+Candidates are the pairs of fingerprints that the SimHash operator finds (generalised pigeonhole) and, since two texts of
+that similarity often differ in 10 or more of 64 bits, those of bands of minimal hashes of the same shingles. Each
+candidate is verified on the whole shingle sets; verified links make the groups. At first each row is compared with the
+first row of one of its buckets, which connects most of a large group; then all rows of a bucket meet that are not
+connected yet. Which pairs the first step takes thus changes the work, never the groups.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import as_bytes, components, slices, small_batches, spread_join, written
+from tallyloom.llm.shared import PLACE, as_bytes, back, components, named, placed, remove, slices, small_batches, spread_join, written
 from tallyloom.llm.simhash import links, majorities, shingle_hashes
 
 #: Two texts of similarity s meet in a band with probability s ** DEPTH: at 0.8 they miss all bands once in 10,000.
@@ -42,103 +43,84 @@ def bands(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(rows: DataFrame, width: int) -> DataFrame:
-    """(row, fp, keys) of every (row, text): fingerprint and band keys; a text without words has no keys."""
+def sketches(rows: DataFrame, identifier: str, text: str, width: int) -> DataFrame:
+    """row (unique), _file, _at, id, fp, keys, size and parities of every row of placed().
+
+    keys are those of the bands, the same for all texts without words; size is the number of distinct shingles, and
+    parities tell of how many of them fall in each bit, modulo 2.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
-            hashes, n = shingle_hashes(as_bytes(part.column("text")), width)
-            full = n > 0
-            keys = bands(hashes, n[full]).view(np.int64).ravel() if full.any() else np.empty(0, np.int64)
-            ends = np.append(0, np.cumsum(full * BANDS)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(majorities(hashes, n).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], ["row", "fp", "keys"])
+        for part in slices(batches, "_text", 2 << 20):
+            hashes, n = shingle_hashes(as_bytes(part.column("_text")), width)
+            keys, full = np.zeros((len(n), BANDS), np.uint64), n > 0
+            if full.any():
+                keys[full] = bands(hashes, n[full])
+            sizes, parities = [], []
+            for h in np.split(hashes, np.cumsum(n)[:-1]):
+                distinct = np.unique(h)
+                odd = np.bincount((distinct >> np.uint64(20)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
+                sizes.append(len(distinct))
+                parities.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            ends = pa.array(np.arange(0, BANDS * len(n) + 1, BANDS, dtype=np.int32))
+            columns = [*(part.column(c) for c in ("row", *PLACE, "id")), pa.array(majorities(hashes, n).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(parities, pa.binary())], ["row", *PLACE, "id", "fp", "keys", "size", "parities"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, fp long, keys array<long>")
+    kind = rows.schema[identifier].dataType.simpleString()
+    chosen = rows.select(F.monotonically_increasing_id().alias("row"), *PLACE, F.col(identifier).alias("id"), F.col(text).alias("_text"))
+    return chosen.mapInArrow(run, f"row long, _file string, _at long, id {kind}, fp long, keys array<long>, size long, parities binary")
 
 
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(row, shingles): the distinct shingles' hashes of every (row, text)."""
+def shingle_sets(rows: DataFrame, text: str, width: int) -> DataFrame:
+    """(row, shingles): the distinct shingles' hashes of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
-            hashes, n = shingle_hashes(as_bytes(part.column("text")), width)
+        for part in slices(batches, "_text", 2 << 20):
+            hashes, n = shingle_hashes(as_bytes(part.column("_text")), width)
             sets = [np.unique(h) for h in np.split(hashes, np.cumsum(n)[:-1])]
             ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["row", "shingles"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
-
-
-def looked_up(pairs: DataFrame, column: str, table: DataFrame, key: str) -> DataFrame:
-    """pairs joined with table's one row for each value of column, which may be the same in most pairs."""
-    sizes = pairs.groupBy(column).agg(F.count("*").alias("_n"))
-    weighed = sizes.join(table.withColumnRenamed(key, column), column)
-    return spread_join(pairs, weighed, [column], "_n", pairs.count()).drop("_n")
-
-
-def candidates(found: DataFrame, radius: int) -> DataFrame:
-    """(row, hub): distinct pairs to verify first; within a bucket of any size, each row is paired with its first and its last row."""
-    total = found.count()
-    found = found.withColumn("empty", F.size("keys") == 0)
-    keyed = found.select("row", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("n")).filter("n > 1")
-    by_band = spread_join(keyed, written(buckets, "buckets"), ["key"], "n", total * BANDS).select("row", F.explode(F.array("first", "last")).alias("hub"))
-    fps = written(found.groupBy("fp").agg(F.min("row").alias("least"), F.count("*").alias("n")), "distinct")
-    same = written(found.groupBy("fp", "empty").agg(F.min("row").alias("hub"), F.count("*").alias("n")), "same")
-    alike = spread_join(found.select("row", "fp", "empty"), same, ["fp", "empty"], "n", total).select("row", "hub")
-    near = written(links(fps, radius), "near")
-    least = fps.select("fp", "least")
-    near = looked_up(near, "a", least, "fp").select("b", F.col("least").alias("row"))
-    near = looked_up(near, "b", least, "fp").select("row", F.col("least").alias("hub"))
-    both = by_band.unionByName(alike).unionByName(near).filter("row <> hub")
-    return both.select(F.greatest("row", "hub").alias("row"), F.least("row", "hub").alias("hub")).distinct()
+    return rows.select("row", F.col(text).alias("_text")).mapInArrow(run, "row long, shingles array<long>")
 
 
-def features(rows: DataFrame, width: int) -> DataFrame:
-    """(row, size, parities) of every (row, text): how many distinct shingles, and how many of them fall in each bit, modulo 2."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
-            hashes, n = shingle_hashes(as_bytes(part.column("text")), width)
-            sizes, parities = [], []
-            for h in np.split(hashes, np.cumsum(n)[:-1]):
-                distinct = np.unique(h)
-                odd = np.bincount((distinct >> np.uint64(20)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
-                sizes.append(len(distinct))
-                parities.append(np.packbits(odd.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary())], ["row", "size", "parities"])
-
-    return rows.select("row", "text").mapInArrow(run, "row long, size long, parities binary")
+def bucket_members(found: DataFrame) -> DataFrame:
+    """A written table (row, band, key, first, n): the rows of each bucket of several; band BANDS is the fingerprint."""
+    keyed = found.select("row", F.posexplode(F.concat("keys", F.array("fp"))).alias("band", "key"))
+    buckets = keyed.groupBy("band", "key").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    buckets = written(buckets, "buckets")
+    out = written(spread_join(keyed, buckets, ["band", "key"], "n", found.count() * (BANDS + 1)), "members")
+    remove(buckets, found.sparkSession)
+    return out
 
 
-def open_pairs(found: DataFrame, roots: DataFrame, texts: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
-    """(row, hub): all pairs of a bucket that ``roots`` doesn't connect yet and whose sets may be that similar.
+def open_pairs(found: DataFrame, members: DataFrame, roots: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """(row, hub): a written table of all pairs of a bucket that ``roots`` doesn't connect yet and whose sets may be that similar.
 
     Buckets are the bands', those of equal fingerprints, and one for each two fingerprints within radius.
 
     Ruled out are pairs of too different sizes, and those of more odd parities that differ than their sets' difference
     may have elements; neither loses a link. A pair is given by the first of its buckets alone.
     """
-    nodes = found.filter(F.size("keys") > 0).join(roots.withColumnRenamed("node", "row"), "row", "left")
-    nodes = nodes.select("row", F.coalesce("root", "row").alias("root"), F.concat("keys", F.array("fp")).alias("keys"))
-    nodes = written(nodes, "nodes")
-    keyed = nodes.select("row", "root", F.posexplode("keys").alias("band", "key"))
-    own_fp = nodes.select("row", "root", F.element_at("keys", BANDS + 1).alias("fp"))
+    spark = found.sparkSession
+    nodes = found.select("row", "fp", "keys", "size", "parities").join(roots.withColumnRenamed("node", "row"), "row", "left")
+    nodes = written(nodes.select("row", F.coalesce("root", "row").alias("root"), "fp", F.concat("keys", F.array("fp")).alias("keys"), "size", "parities"), "nodes")
+    own = nodes.select("row", "root", "fp")
     # a fingerprint whose rows are all connected needs no pair with another of the same root; one of several roots needs all
-    fps = own_fp.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("row").alias("least"), F.count("*").alias("n"))
+    fps = own.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("row").alias("least"), F.count("*").alias("n"))
     fps = written(fps.select("fp", "n", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("least")).alias("label")), "fps")
-    near = written(links(fps, radius, label="label").distinct(), "close")
-    near = near.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("key"))
+    close = written(links(fps, radius, label="label").distinct(), "close")
+    near = close.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("key"))
     near = near.groupBy("fp").agg(F.collect_list("key").alias("near")).join(fps.select("fp", "n"), "fp")
-    near = spread_join(own_fp, near, ["fp"], "n", nodes.count()).select("row", "root", F.lit(BANDS + 1).alias("band"), F.explode("near").alias("key"))
-    keyed = keyed.unionByName(near)
+    near = spread_join(own, near, ["fp"], "n", nodes.count()).select("row", "root", F.lit(BANDS + 1).alias("band"), F.explode("near").alias("key"))
+    keyed = members.select("row", "band", "key").join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("root", "row").alias("root"), "band", "key")
+    keyed = written(keyed.unionByName(near), "keyed")
     buckets = keyed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high")
     buckets = written(buckets.select("band", "key", "n"), "open")
-    members = written(spread_join(keyed.select("row", "band", "key"), buckets, ["band", "key"], "n", keyed.count()), "members")
-    involved = members.select("row").distinct()
-    known = written(features(texts.join(involved, "row", "left_semi"), width), "features").join(nodes, "row")
+    still = written(spread_join(keyed.select("row", "band", "key"), buckets, ["band", "key"], "n", keyed.count()), "still")
+    known = written(nodes.drop("fp").join(still.select("row").distinct(), "row", "left_semi"), "known")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = still.withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("row", "band", "key", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     least = (1 - similarity) / (1 + similarity)
 
@@ -173,18 +155,23 @@ def open_pairs(found: DataFrame, roots: DataFrame, texts: DataFrame, width: int,
         if rest is not None:
             yield pairs(rest)
 
-    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     by_bucket = dealt.join(known, "row").repartition(parts, "band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q")
-    return by_bucket.mapInArrow(run, "row long, hub long").distinct()
+    out = written(by_bucket.mapInArrow(run, "row long, hub long").distinct(), "rest")
+    for table in (nodes, fps, close, keyed, buckets, still, known):
+        remove(table, spark)
+    return out
 
 
-def verified(pairs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (row, hub) whose shingle sets are that similar; two sets without shingles are equal.
+def verified(pairs: DataFrame, found: DataFrame, rows: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
+    """A written table of the pairs (row, hub) whose shingle sets are that similar; two sets without shingles are equal.
 
     The set of a hub of many pairs is copied once for each FAN of them, so that none meets all its pairs in one task.
     """
+    spark = found.sparkSession
     involved = pairs.select("row").unionByName(pairs.select(F.col("hub").alias("row"))).distinct()
-    sets = written(shingle_sets(rows.join(involved, "row", "left_semi"), width), "sets")
+    places = written(found.select("row", *PLACE).join(involved, "row", "left_semi"), "involved")
+    sets = written(shingle_sets(named(rows, places, "inner", "row"), text, width), "sets")
     hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / FAN).cast("int").alias("copies"), F.count("*").alias("n"))
     hubs = written(hubs, "hubs")
     dealt = spread_join(pairs, hubs, ["hub"], "n", pairs.count()).select("row", "hub", F.pmod(F.xxhash64("row"), "copies").cast("int").alias("copy"))
@@ -192,7 +179,10 @@ def verified(pairs: DataFrame, rows: DataFrame, width: int, similarity: float) -
     hub_sets = copied.join(sets.select(F.col("row").alias("hub"), F.col("shingles").alias("others")), "hub")
     both = dealt.join(sets, "row").join(hub_sets, ["hub", "copy"])
     common, one, two = F.size(F.array_intersect("shingles", "others")), F.size("shingles"), F.size("others")
-    return both.filter(common >= F.lit(similarity) * (one + two - common) - 1e-9).select(F.col("row").alias("a"), F.col("hub").alias("b"))
+    out = written(both.filter(common >= F.lit(similarity) * (one + two - common) - 1e-9).select(F.col("row").alias("a"), F.col("hub").alias("b")), "verified")
+    for table in (places, sets, hubs):
+        remove(table, spark)
+    return out
 
 
 def one_of_each(df: DataFrame, identifier: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
@@ -203,17 +193,21 @@ def one_of_each(df: DataFrame, identifier: str = "doc_id", text: str = "text", w
     Groups are what links connect. Rows of a null identifier stay only where their whole group has none, one of them.
     Empty tables give empty results; other columns, whatever their names, are carried along.
     """
-    small_batches(df.sparkSession)
-    names = df.columns
-    rows = written(df.select(F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)]), "rows")
-    texts = rows.select("row", F.col(f"_c{names.index(text)}").alias("text"))
-    found = written(sketches(texts, width), "sketches")
-    first = written(verified(written(candidates(found, radius), "pairs"), texts, width, similarity), "first")
-    rest = written(open_pairs(found, written(components(first, "links"), "roots"), texts, width, similarity, radius), "rest")
-    roots = components(first.unionByName(verified(rest, texts, width, similarity)), "links")
-    own = F.col(f"_c{names.index(identifier)}")
-    order = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("row"))
-    grouped = written(rows.select("row", order.alias("rank")).join(roots.withColumnRenamed("node", "row"), "row"), "grouped")
+    spark, names = df.sparkSession, df.columns
+    small_batches(spark)
+    rows, own_text = placed(df, "documents"), f"c{names.index(text)}"
+    found = written(sketches(rows, f"c{names.index(identifier)}", own_text, width), "sketches")
+    members = bucket_members(found)
+    pairs = written(members.filter("row <> first").groupBy("row").agg(F.min("first").alias("hub")), "pairs")
+    first = verified(pairs, found, rows, own_text, width, similarity)
+    connected = components(first, "links")
+    rest = open_pairs(found, members, connected, similarity, radius)
+    second = verified(rest, found, rows, own_text, width, similarity)
+    roots = components(connected.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second), "links")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    grouped = written(found.select("row", *PLACE, order.alias("rank")).join(roots.withColumnRenamed("node", "row"), "row"), "grouped")
     kept = grouped.groupBy("root").agg(F.min("rank").alias("rank")).select("rank.row")
-    dropped = grouped.select("row").join(kept, "row", "left_anti")
-    return rows.join(dropped, "row", "left_anti").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+    dropped = written(grouped.select("row", *PLACE).join(kept, "row", "left_anti").select(*PLACE), "dropped")
+    for table in (found, members, pairs, first, connected, rest, second, roots, grouped):
+        remove(table, spark)
+    return back(named(rows, dropped, "left_anti"), names)

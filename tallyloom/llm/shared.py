@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys holding more than 1/HOT_SHARE of all rows are joined by broadcast; there are fewer than HOT_SHARE of them.
@@ -36,42 +36,62 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Intermediate tables of this session that are still there.
-_tables: set[str] = set()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage."""
+    """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage. It belongs to its caller."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    _tables.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all tables of written(). Only for when every result that reads them has been written elsewhere."""
-    for path in list(_tables):
-        remove(path, spark)
-    let_go()
-    collect_garbage(spark)
-    give_back()
-
-
 def remove(df_or_path: DataFrame | str, spark: SparkSession) -> None:
     """Deletes a table of written() once nothing reads it any more."""
     paths = [df_or_path] if isinstance(df_or_path, str) else {f.rpartition("/")[0] for f in df_or_path.inputFiles()}
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _tables.discard(path)
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs whose results have been written."""
-    import gc
+#: Rows that are named to all tasks by broadcast; more of them meet the table in a shuffle.
+MOST_NAMED = 50_000
+PLACE = ["_file", "_at"]
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is one Parquet scan with projections and fixed filters only, so that file and row number name a row."""
+    node, has_scan = df._jdf.queryExecution().analyzed(), False
+    while not has_scan:
+        kind = node.getClass().getSimpleName()
+        if kind not in ("Project", "Filter", "SubqueryAlias", "LogicalRelation") or not node.deterministic():
+            return False
+        if kind == "LogicalRelation":
+            return "parquet" in node.relation().toString().lower()
+        node = node.children().head()
+    return False
+
+
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """df's columns as c0, c1, ... and _file, _at, which name each row whenever the result is read.
+
+    A table of Parquet files is read where it is; anything else is written first.
+    """
+    if "_metadata" in df.columns or not _is_scan(df):
+        df = written(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), name)
+    names = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+
+
+def named(rows: DataFrame, places: DataFrame, how: str, *more: str) -> DataFrame:
+    """The rows of placed() that ``places`` names ("left_semi", or "inner" with its columns ``more``) or doesn't ("left_anti").
+
+    places is a written table without repeated places.
+    """
+    side = places.select(*PLACE, *more)
+    return rows.join(F.broadcast(side) if places.count() <= MOST_NAMED else side.hint("merge"), PLACE, how)
+
 
-    gc.collect()
-    spark._jvm.System.gc()
+def back(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of placed() under their own names again."""
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 #: Rows, and bytes where Spark knows that setting, that go to a Python worker at a time.
@@ -131,24 +151,34 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return heated.unionByName(cooled)
 
 
+def with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """edges (a, b) with the m of their a in least (a, m, n), n being its share of total edges; hubs are met by broadcast."""
+    is_hot = F.col("n") * F.lit(HOT_SHARE) > F.lit(total)
+    hot, cold = least.filter(is_hot).select("a", "m"), least.filter(~is_hot).select("a", "m")
+    return edges.join(F.broadcast(hot), "a").unionByName(edges.join(F.broadcast(hot.select("a")), "a", "left_anti").join(cold, "a"))
+
+
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), root being the smallest node it is connected with.
 
-    Alternates large-star and small-star steps; each round is written to the shared folder, so that a lost executor
-    never costs more than one round. Nothing but two counters reaches the driver.
+    Alternates large-star and small-star steps; each step is written to the shared folder, so that a lost executor
+    never costs more than one. A node of one smaller neighbour alone needs no join in the second. Nothing but counters
+    reaches the driver. The table that the result reads stays.
     """
     spark = edges.sparkSession
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = None
     for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("b", "a")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        after = written(small, name)
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = written(now.unionByName(up).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), name)
+        total = 2 * now.count()
+        large = written(with_least(up, least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        own = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
+        several = with_least(large, own.filter("n > 1"), large.count()).select(F.explode(F.array("b", "a")).alias("a"), F.col("m").alias("b"))
+        after = written(own.filter("n = 1").select("a", F.col("m").alias("b")).unionByName(several).filter("a <> b").distinct(), name)
         sums = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
-        remove(now, spark)
+        for table in (now, least, large, own):
+            remove(table, spark)
         now = after
         if sums == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -157,18 +187,8 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
 
 
 _held: dict = {}
-#: Further dictionaries of this worker that are emptied with it.
-_with_held: list[dict] = []
-
-
-def emptied_with_held(cache: dict) -> dict:
-    _with_held.append(cache)
-    return cache
-
-
 def let_go() -> None:
-    for cache in (_held, *_with_held):
-        cache.clear()
+    _held.clear()
 
 
 def give_back() -> None:

@@ -66,27 +66,56 @@ def test_bpe_is_the_library_s(docs, rows, empty):
     assert len(got) == len(rows)
     for r in got:
         ids = library.encode_ordinary(r.text or "")
-        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
-        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-        assert bytes(r.decoded) == (r.text or "").encode()
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert byte_bpe.encode_and_decode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
-    ids = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep=("text",))
+    ids = shared.written(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep=("text",)), "ids")
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(r.text or "") for r in ids.collect())
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in byte_bpe.decode(ids, RANKS, public_tokenizers.PATTERN, keep=("text",)).collect())
 
 
-def test_stretches_are_safe_for_any_characters():
+def test_parts_are_safe_for_any_characters(monkeypatch):
     rng = random.Random(3)
-    data = open(RANKS, "rb").read()
-    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.rank_table(data), special_tokens={})
-    stretches = byte_bpe.StretchEncoder(library.encode_ordinary)
+    library, ids_of = byte_bpe.encoder(byte_bpe.rank_table(open(RANKS, "rb").read()), public_tokenizers.PATTERN)
     hf = Tokenizer.from_file(TOKENIZER)
     hf.encode_special_tokens = True
-    hf_stretches = packing._stretches(open(TOKENIZER).read())
-    signs = list("ab1'. \n\t\r\x0b\x0c\x1c\x1f\x85   　é日’s") + ["'re", "  ", "ing"]
+    data = open(TOKENIZER).read()
+    by_ranks = packing._encoder(data, packing.ranks_of(data))
+    monkeypatch.setattr(byte_bpe, "LONG", 3)
+    monkeypatch.setattr(byte_bpe.safe_parts, "__defaults__", (3,))
+    signs = list("ab1'. \n\t\r\x0b\x0c\x1c\x1f\x85 \u2003\u3000\xa0é日’s") + ["'re", "  ", "ing", "<|endoftext|>"]
     for _ in range(3000):
         text = "".join(rng.choices(signs, k=rng.randint(1, 14)))
-        assert np.frombuffer(stretches([text])[0], "<u4").tolist() == library.encode_ordinary(text), repr(text)
-        assert np.frombuffer(hf_stretches([text])[0], "<u4").tolist() == hf.encode(text, add_special_tokens=False).ids, repr(text)
+        assert ids_of(text).tolist() == library.encode_ordinary(text), repr(text)
+        assert by_ranks(text).tolist() == hf.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_ranks_give_the_ids_of_the_tokenizer():
+    """Each character that PLAIN admits, in several surroundings, and texts of vocabulary entries one after another."""
+    hf = Tokenizer.from_file(TOKENIZER)
+    hf.encode_special_tokens = True
+    data = open(TOKENIZER).read()
+    ranks = packing.ranks_of(data)
+    by_ranks = byte_bpe.encoder(ranks, packing.PATTERN)[1]
+    plain = [c for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff" and packing.PLAIN.fullmatch(c)]
+    assert len(plain) > 20_000 and not packing.PLAIN.fullmatch("\x1c")
+    texts = [f"a{c}1{c}.{c} {c}b {c}{c}1\n{c}'s" for c in plain]
+    assert all(by_ranks(t).tolist() == e.ids for t, e in zip(texts, hf.encode_batch(texts, add_special_tokens=False), strict=True))
+    rng, tokens = random.Random(4), [t.decode() for t in ranks if t.decode("utf-8", "ignore").encode() == t]
+    for _ in range(3000):
+        text = "".join(rng.choices(tokens, k=rng.randint(1, 12)))
+        if packing.PLAIN.fullmatch(text):
+            assert by_ranks(text).tolist() == hf.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_long_texts_of_one_stretch_are_encoded(spark):
+    rows = [(1, "ab" * 300_000), (2, " " * 3_000_000), (3, "a b\n" * 300_000), (4, "x" + "\n " * 100_000 + "y\n")]
+    library, ids_of = byte_bpe.encoder(byte_bpe.rank_table(open(RANKS, "rb").read()), public_tokenizers.PATTERN)
+    assert all(ids_of(t).tolist() == library.encode_ordinary(t) for i, t in rows if i != 2)
+    spaces = "  \n " * 20_000
+    assert ids_of(spaces).tolist() == library.encode_ordinary(spaces) and ids_of(f"a{spaces}b").tolist() == library.encode_ordinary(f"a{spaces}b")
+    got = byte_bpe.encode_and_decode(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, public_tokenizers.PATTERN, keep=("doc_id",)).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
 
 
 def test_exact_dedup(docs, rows, empty):
@@ -162,6 +191,15 @@ def test_substring_dedup_of_periodic_texts(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == want
 
 
+def test_substring_dedup_of_words_whose_polynomials_collide(spark):
+    """Thue-Morse words of 2048 letters collide in any polynomial modulo 2^64; no window of 20 words repeats here."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    rows = [(1, f"{one} " * 20), (2, f"{two} " * 20)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in got} == {(1, 20, 0), (2, 20, 0)}
+
+
 def test_substring_dedup_keeps_rows_and_columns(docs, rows, empty):
     out = substring_dedup.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
@@ -430,8 +468,20 @@ def test_sum_of_squares_places_where_the_sum_is_smallest():
         options = [b_ for b_, f in fill.items() if f + n <= 12] + [max(fill, default=-1) + 1]
         assert after(b) == min(map(after, options)) and at == fill.get(b, 0)
         fill[b] = fill.get(b, 0) + n
-    loose, _ = packing.pack_lengths(np.array(lengths), 12)
-    assert max(loose) + 1 <= sum(lengths) / 12 * 1.06 + 1
+    bins, offsets = packing.pack_lengths(np.array(lengths), 12)
+    assert max(bins) + 1 <= sum(lengths) / 12 * 1.06 + 1
+    for b in set(bins.tolist()):
+        at = 0
+        for k in sorted(np.flatnonzero(bins == b).tolist(), key=lambda k: offsets[k]):
+            assert offsets[k] == at
+            at += lengths[k]
+        assert at <= 12
+
+
+def test_equal_rows_are_dealt_over_shards(spark):
+    table = shared.written(spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(300).cast("long").alias("length")), "equal")
+    got = packing.packed(table, 1024, 500).select(F.shiftright("sequence_id", 40).alias("shard")).groupBy("shard").count().collect()
+    assert len(got) == 6 and max(r["count"] for r in got) < 700
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -465,12 +515,47 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.toxicity(docs, known.filter("false")).count() == len(rows)
 
 
-def test_toxicity_takes_all_words_of_a_document(spark):
+def brute_features(word):
+    """The gapped subsequences of four characters of a word between its marks, with their weights."""
+    marked, out = f"\n{word}\n", Counter()
+    for at in range(len(marked)):
+        for i, j, k, weight in toxicity.STEPS:
+            if at + k < len(marked):
+                out[marked[at], marked[at + i], marked[at + j], marked[at + k]] += weight
+    norm = math.sqrt(sum(v * v for v in out.values()))
+    return {f: v / norm for f, v in out.items()} if out else {}
+
+
+def test_the_sentence_kernel_is_the_sum_over_pairs_of_words():
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcé", k=rng.randint(1, 9))) for _ in range(60)] + ["a", "aaaaaaaa", "日本語"]
+    marks = ["idiot", "idiiot", "aaaa", "x", "abcabc"]
+    got = toxicity.Landmarks(marks).kernel(len(words), *toxicity.subsequences(words))
+    own, other = [brute_features(w) for w in words], [brute_features(w) for w in marks]
+    want = [[sum(v * b.get(f, 0) for f, v in a.items()) ** toxicity.POWER for b in other] for a in own]
+    assert np.allclose(got, want, atol=1e-5) and np.array(want).max() > 0.2
+    model = toxicity.Model(tuple(marks), (1.0, 0.5, -2.0, 0.3, 1.0), -0.2, 1.0, 0.0)
+    text = "idiot abc. " + " ".join(words) + " i d i o t x! "
+    margins = [sum(w * k for u in s for w, k in zip(model.weights, [sum(v * b.get(f, 0) for f, v in brute_features(u).items()) ** toxicity.POWER for b in other], strict=True)) for s in toxicity.sentences(text, toxicity.Words())]
+    assert len(margins) > 4 and np.allclose(toxicity.Scorer(model)([text, ""]), model.score(np.array([max(margins), 0]) + model.bias), atol=1e-5)
+    everything = toxicity.Landmarks(words)
+    values = np.linalg.eigvalsh(everything.kernel(len(words), *toxicity.subsequences(words)).astype(float))
+    assert values.min() > -1e-4  # the kernel is positive semidefinite
+
+
+def test_sentences_hold_spelled_out_words():
+    words = toxicity.Words()
+    assert toxicity.sentences("You b.l.o.c.k.h.e.a.d there! n i t w i t, an id1ot.\nnit-wit", words) == [["you", "blockhead", "there"], ["nitwit", "an", "idiot"], ["nitwit"]]
+    assert toxicity.sentences(" . !", words) == [] and [len(s) for s in toxicity.sentences("a1b " * 30, words)] == [1, 1, 1]
+
+
+def test_toxicity_sample_is_bounded_and_whole(spark):
     many = " ".join(f"a{i}" for i in range(5000))
-    docs = spark.createDataFrame([(i, f"{many} zworst") for i in range(12)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i % 12, f"{many} zworst") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 12, i % 2) for i in range(24)], "doc_id long, toxic int")
     found = toxicity.sample(docs, labels, "doc_id", "text", "toxic")
-    assert len(found) > 4 and all(len(w) == 5001 and "zworst" in w for w, _ in found)
+    assert 4 < len(found) <= 12 and all(t.endswith("zworst") for t, _ in found)
+    assert len(toxicity.sample(docs, labels, "doc_id", "text", "toxic", 2, 1)) == 3
 
 
 def test_preference_pairs(spark):
