@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -580,7 +581,7 @@ def test_license_scan(spark):
     got = [(r.doc_id, r.license, r.notices) for r in licenses.license_scan(df).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, [(1, "MIT", None), (2, None, None), (3, None, None), (4, None, None), (5, None, "Apache-2.0,MIT"), (5, None, None), (None, "CC-BY-NC-4.0", "CC-BY-NC-4.0")]))
     for text in [r[1] or "" for r in rows]:
-        assert df.sparkSession.range(1).select(licenses.canonical(F.lit(text))).first()[0] == licenses.canonical_text(text)
+        assert df.sparkSession.range(1).select(licenses.joined(licenses.canonical_lines(F.lit(text)))).first()[0] == licenses.canonical_text(text)
     assert licenses.license_scan(df.filter("false")).count() == 0
 
 
@@ -591,6 +592,20 @@ def test_license_lines_of_any_padding_and_wording(spark):
     assert sorted((r.doc_id, r.notices) for r in licenses.license_scan(df, known={"Free": ["Use it as you like."]}).collect()) == [(1, None), (2, "Free")]
 
 
+def test_license_of_whole_texts(spark):
+    title, body = licenses.TITLED["BSD-3-Clause"]
+    rows = [(1, f"{title}\n\nCopyright (c) 2001, A. Holder\nAll rights reserved.\n\n{body.upper()}\n"), (2, body[: len(body) // 2]), (3, "Licensed under the MIT License." + "-" * 5000), (4, "Copyright 2001 X\n(c) Y")]
+    found, folder = {1: "BSD-3-Clause", 2: None, 3: "MIT", 4: None}, "/usr/share/common-licenses"
+    if os.path.isdir(folder):
+        for i, (name, file) in enumerate([("GPL-3.0-only", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("LGPL-2.1-only", "LGPL-2.1")], 5):
+            rows.append((i, "  " + open(f"{folder}/{file}").read().replace(",", " ,")))
+            found[i] = name
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == found and {r.notices for r in got if r.doc_id == 3} == {"MIT"}
+    free = spark.createDataFrame([(1, "x\nAll of this is free to use.\ny")], "doc_id long, text string")
+    assert licenses.license_scan(free, known={"FREE": ["All of this is free to use"]}).first().notices == "FREE"
+
+
 def test_native_operators_run_no_python(spark, docs):
     turns = spark.createDataFrame([(1, 0, "user", "x")], "pair_id long, turn long, role string, text string")
     for df in (exact_dedup.exact_dedup(docs), licenses.license_scan(docs), chat_format.preference_pairs(turns, turns)):
