@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm import byte_bpe, chat_format, exact_dedup, licenses, packing, simhash, substring_dedup, topk_search, toxicity, warc
@@ -23,9 +23,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring conversations are a pair: the even number is the chosen one, the next odd number the rejected one."""
-    turns = table(spark, sf_dir, "conversations").withColumn("pair_id", F.floor(F.col("conv_id") / 2))
-    return chat_format.preference_pairs(turns.filter("conv_id % 2 = 0"), turns.filter("conv_id % 2 <> 0"))
+    """Conversations 2k and 2k + 1 are a pair: the first is the chosen one; the rejected one has its turns too, but for
+    the last, instead of which it has the last turn of the second."""
+    rows = table(spark, sf_dir, "conversations").filter("conv_id is not null").withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    own = Window.partitionBy("conv_id")
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy(F.col("turn").asc_nulls_last(), "role", "text"))).withColumn("n", F.count("*").over(own))
+    rows = rows.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("even"), F.col("place").alias("turn"), (F.col("place") == F.col("n")).alias("last"), "role", "text")
+    columns = ["pair_id", "turn", "role", "text"]
+    rejected = rows.filter(F.col("even") != F.col("last")).withColumn("turn", F.when(F.col("even"), F.col("turn")))  # the other's last turn comes last
+    return chat_format.preference_pairs(rows.filter("even").select(*columns), rejected.select(*columns))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 OP2_SQL = """
-WITH turns AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY CAST(floor(conv_id / 2) AS BIGINT), conv_id % 2 = 0 ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) AS place
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH numbered AS (
+  SELECT conv_id, CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS even, coalesce(role, '') AS role, coalesce(text, '') AS text, count(*) OVER (PARTITION BY conv_id) AS n,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT pair_id, true AS side, role, text, place FROM numbered WHERE even
+  UNION ALL SELECT pair_id, false, role, text, row_number() OVER (PARTITION BY pair_id ORDER BY even DESC, place) FROM numbered WHERE even <> (place = n)),
 both_sides AS (
   SELECT pair_id, place, c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text, c.place IS NOT NULL AS has_c, r.place IS NOT NULL AS has_r,
     NOT (c.place IS NOT NULL AND r.place IS NOT NULL AND c.role = r.role AND c.text = r.text) AS differs

@@ -20,6 +20,8 @@ from tallyloom.llm.shared import written
 
 #: Vectors and queries in a block; vectors come in at least FEWEST_BLOCKS blocks where there are enough of them.
 VECTORS, QUERIES, FEWEST_BLOCKS, SMALLEST = 65_536, 1024, 16, 1024
+#: Tasks that pairs of blocks are dealt to at most.
+MOST_TASKS = 20_000
 #: Coordinates of the partial sum.
 HEAD = 24
 #: Rounding of the turned coordinates is far below this.
@@ -119,8 +121,9 @@ def top_k(df: DataFrame, identifier: str = "vec_id", embedding: str = "embedding
     # a length class holds many vectors; within it the block follows from a hash
     over = Window.orderBy(F.desc("bucket"))
     per = lengths.withColumn("bucket", F.least(F.col("length"), F.lit(1_000_000))).groupBy("bucket").agg(F.sum("n").alias("n"))
-    place = per.withColumn("before", F.sum("n").over(over) - F.col("n"))  # at most a million rows of counts
-    placed = rows.withColumn("bucket", F.least(F.floor(F.sqrt("n2")), F.lit(1_000_000))).join(place, "bucket")
+    # at most a million rows of counts, a fixed bound
+    place = per.withColumn("before", F.sum("n").over(over) - F.col("n"))
+    placed = rows.withColumn("bucket", F.least(F.floor(F.sqrt("n2")), F.lit(1_000_000))).join(F.broadcast(place), "bucket")
     placed = placed.withColumn("block", F.floor((F.col("before") + F.pmod(F.xxhash64("id", "x"), F.col("n"))) / size).cast("long"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,25 +169,33 @@ def top_k(df: DataFrame, identifier: str = "vec_id", embedding: str = "embedding
                 a, b, s = block_search(qid, q, bound, vid, v, turn, k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), row["q"])), pa.array(a), pa.array(b), pa.array(s)], ["q", "query_id", "vec_id", "score"])
 
-    # each query block meets each vector block: a stated query set against all rows, in blocks
-    def meet(some: DataFrame, known: DataFrame | None, name: str) -> DataFrame:
-        asking = queries.withColumn("bounds", F.lit(None).cast("binary")) if known is None else queries.join(known, "q", "left")
-        pairs = asking.withColumn("_", F.lit(1)).join(some.withColumn("_", F.lit(1)), "_").drop("_")
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        return written(pairs.repartition(parts, F.col("q"), F.col("block"), F.xxhash64("ids")).mapInArrow(search, "q long, query_id long, vec_id long, score long"), name)
+    # a stated query set against all rows, in blocks: pairs of block numbers first, then the blocks of those that are left
+    def meet(pairs: DataFrame, known: DataFrame | None, name: str) -> DataFrame:
+        asking = queries.withColumn("bounds", F.lit(None).cast("binary")) if known is None else queries.join(known.select("q", "bounds"), "q", "left")
+        parts = max(1, min(pairs.count(), MOST_TASKS))
+        dealt = pairs.join(asking, "q").join(vectors, "block")
+        return written(dealt.repartition(parts, F.col("q"), F.col("block"), F.xxhash64("ids")).mapInArrow(search, "q long, query_id long, vec_id long, score long"), name)
 
     def bounds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's bound, and the length that a vector must have to matter for some query of the block."""
         for batch in batches:
             for row in batch.to_pylist():
                 kth = dict(zip(row["with_k"] or [], row["kth"] or [], strict=True))
-                bound = np.array([kth.get(i, -np.inf) for i in np.frombuffer(row["qids"], "<i8").tolist()], "<f8")
-                yield pa.RecordBatch.from_arrays([pa.array([row["q"]]), pa.array([bound.tobytes()], pa.binary())], ["q", "bounds"])
+                qid, q = np.frombuffer(row["qids"], "<i8"), np.frombuffer(row["qxs"], "<i4").reshape(-1, dims).astype(np.float64)
+                bound, norm = np.array([kth.get(i, -np.inf) for i in qid.tolist()], "<f8"), np.linalg.norm(q, axis=1)
+                # where |q| is 0 all scores are 0, which a bound of 0 doesn't rule out, as ties go by identifier
+                least = np.where(norm > 0, (bound - SLACK) / np.maximum(norm, 1e-300), np.where(bound <= 0, -np.inf, np.inf)).min()
+                yield pa.RecordBatch.from_arrays([pa.array([row["q"]]), pa.array([bound.tobytes()], pa.binary()), pa.array([float(least)])], ["q", "bounds", "least"])
 
-    first = meet(vectors.filter("block = 0"), None, "first")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # the longest vector of each block: a row for each VECTORS rows at most
+    longest = placed.groupBy("block").agg(F.max(F.sqrt("n2")).alias("longest"))
+    longest = written(longest, "longest")
+    first = meet(queries.select("q", F.lit(0).cast("long").alias("block")), None, "first")
     kth = first.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") == k)
     kth = kth.groupBy("q").agg(F.collect_list(F.struct("query_id", "score")).alias("s")).select("q", F.col("s.query_id").alias("with_k"), F.col("s.score").alias("kth"))
-    known = queries.select("q", "qids").join(kth, "q", "left").mapInArrow(bounds_of, "q long, bounds binary")
-    later = meet(vectors.filter("block > 0"), written(known, "bounds"), "later")
+    known = written(queries.select("q", "qids", "qxs").join(kth, "q", "left").mapInArrow(bounds_of, "q long, bounds binary, least double"), "bounds")
+    pairs = known.select("q", "least").join(longest.filter("block > 0"), F.col("longest") >= F.col("least")).select("q", "block")
+    later = meet(pairs, known, "later")
     both = first.unionByName(later).withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
     return both.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
