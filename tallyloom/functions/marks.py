@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 #: Metres of a foot and of an inch, and vulgar fractions.
 FOOT, INCH = 0.3048, 0.0254
 FRACTIONS = [("½", ".5"), ("¼", ".25"), ("¾", ".75")]
-NUMBER = r"^[0-9]+\.?[0-9]*$|^\.[0-9]+$"
-#: A mark that isn't one.
-NO_MARK = ("", "?", "nt", "n")
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
+#: Marks that are none, hyphens that count as plain ones, and signs and letters that annotate a mark.
+NO_MARK = ("nt", "n")
+HYPHENS = "[‐‑‒–—]"
+ANNOTATIONS = "[+*;?¶hHiIyY]"
 
 
 def to_number(text: Column) -> Column:
     """text as a double if it is a plain decimal number, else null."""
+    text = F.trim(text)
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
@@ -26,37 +29,57 @@ def seconds(text: Column) -> Column:
 
 
 def clean_mark(text: Column) -> Column:
-    """The part of a mark that counts: the first of two, without annotations, with hyphens and fractions made plain."""
-    text = F.trim(F.split(F.coalesce(text, F.lit("")), "/")[0])
-    text = F.regexp_replace(text, r"\(A\)", "")
-    text = F.regexp_replace(text, "[‐‑‒–—−]", "-")
+    """The part of a mark that counts: without wind, annotations and what follows a slash, hyphens and fractions plain."""
+    text = F.regexp_replace(text, "[wW]", "")
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, "^[cC]", ""), ANNOTATIONS, ""))
+    text = F.trim(F.regexp_replace(F.split(text, "/")[0], r"\([Aa]\)$", ""))
+    text = F.regexp_replace(text, HYPHENS, "-")
     for sign, decimal in FRACTIONS:
         text = F.replace(text, F.lit(sign), F.lit(decimal))
-    return F.trim(F.regexp_replace(text, r"[wc+*;?¶hiy]+", ""))
+    return text
 
 
 def metres(text: Column) -> Column:
-    """Metres of ``feet-inches`` or ``feet-inches-fraction``."""
-    part = lambda k: to_number(F.regexp_extract(text, r"^(\d+)-(\d+\.?\d*)(?:-(\.?\d+))?$", k))
-    return part(1) * F.lit(FOOT) + (part(2) + F.coalesce(part(3), F.lit(0.0))) * F.lit(INCH)
+    """Metres of ``feet-inches`` or ``feet-inches-fraction``, whose fraction may be empty."""
+    parts = F.split(text, "-")
+    fraction = F.when(F.size(parts) == 2, F.lit(0.0)).otherwise(F.when(F.get(parts, F.lit(2)) == "", F.lit(0.0)).otherwise(to_number(F.get(parts, F.lit(2)))))
+    return F.when(F.size(parts).isin(2, 3), to_number(F.get(parts, F.lit(0))) * F.lit(FOOT) + (to_number(F.get(parts, F.lit(1))) + fraction) * F.lit(INCH))
 
 
 def parse_mark(text: Column) -> Column:
-    """Struct (num, cleaned, wind_aided, converted) of an outdoor mark; nulls where there is none."""
-    first = F.trim(F.split(F.coalesce(text, F.lit("")), "/")[0])
+    """Struct (num, cleaned, wind_aided, converted) of an outdoor mark; nulls and false where there is none.
+
+    A time is minutes and seconds, a length feet and inches or metres; a mark is wind aided if it holds a w, and
+    converted if it ends with a plus sign.
+    """
+    none = text.isNull() | (text == "") | (F.trim(text) == "?") | F.lower(text).isin(*NO_MARK)
     cleaned = clean_mark(text)
-    none = F.lower(F.trim(F.coalesce(text, F.lit("")))).isin(*NO_MARK)
-    number = F.when(cleaned.contains(":"), seconds(cleaned)).when(cleaned.rlike(r"^\d+-"), metres(cleaned)).otherwise(to_number(cleaned))
-    return F.struct(F.when(~none, number).alias("num"), F.when(~none, cleaned).alias("cleaned"), (~none & first.contains("w")).alias("wind_aided"), (~none & first.contains("c")).alias("converted"))
+    time = F.when(F.size(F.split(cleaned, ":")) == 2, to_number(F.split(cleaned, ":")[0]) * F.lit(60.0) + to_number(F.split(cleaned, ":")[1]))
+    number = F.when(cleaned.contains(":"), time).when(cleaned.contains("-") & ~cleaned.startswith("-"), metres(cleaned)).otherwise(to_number(F.regexp_replace(cleaned, "[my]", "")))
+    return F.struct(
+        F.when(~none, number).alias("num"),
+        F.when(~none, cleaned).alias("cleaned"),
+        F.coalesce(~none & F.lower(text).contains("w"), F.lit(False)).alias("wind_aided"),
+        F.coalesce(~none & F.rtrim(text).endswith("+"), F.lit(False)).alias("converted"),
+    )
 
 
 def parse_indoor_mark(text: Column, kind: Column) -> Column:
-    """The number of an indoor mark by event kind: multi (points), track (time) or field (metres)."""
-    left = F.trim(F.split(F.coalesce(text, F.lit("")), "=")[0])
-    points = F.regexp_extract(F.replace(left, F.lit(","), F.lit("")), r"^(\d+)", 1).try_cast("double")
-    time = seconds(F.regexp_extract(left, r"^(\d+(?::\d+)*(?:\.\d+)?)", 1))
-    field = F.regexp_extract(left, r"^(\d+\.\d+)m", 1).try_cast("double")
-    return F.when(left.rlike("^-+"), F.lit(None).cast("double")).when(kind == "multi", points).when(kind == "track", time).otherwise(field)
+    """Struct (num, cleaned, converted) of an indoor mark by event kind: multi (points), track or relay (time), field (metres).
+
+    Dashes and zeros with letters at most are a placeholder, not a mark; what follows `` = `` is another form of it.
+    """
+    left = F.split(F.coalesce(text, F.lit("")), " = ")[0]
+    bare = F.regexp_replace(left, r"\s+", "")
+    none = bare.rlike("^[-0]+[A-Za-z]*$") | text.isNull()
+    points = F.regexp_extract(F.replace(bare, F.lit(",")), r"^(\d+)", 1)
+    time, clock = F.regexp_extract(F.trim(left), r"^([\d:.]+)", 1), F.regexp_extract(bare, r"^([\d:.]+)", 1)
+    length = F.regexp_extract(bare, r"^([\d.]+m)", 1)
+    by_kind = lambda multi, timed, field: F.when(kind == "multi", multi).when(kind.isin("track", "relay"), timed).when(kind == "field", field)
+    number = by_kind(points.try_cast("double"), seconds(time), to_number(F.regexp_extract(left, r"^([\d.]+)m", 1)))
+    cleaned = by_kind(points, clock, length)
+    cleaned = F.when(cleaned != "", cleaned).when(kind == "multi", F.replace(bare, F.lit(","))).otherwise(bare)
+    return F.struct(F.when(~none, number).alias("num"), F.when(~none, cleaned).alias("cleaned"), F.coalesce(~none & bare.endswith("c"), F.lit(False)).alias("converted"))
 
 
 def parse_wind(text: Column) -> Column:
@@ -64,14 +87,19 @@ def parse_wind(text: Column) -> Column:
 
 
 def parse_place(text: Column) -> Column:
-    """Struct (place, status): a leading (n) or n; zero is no place but DNF; a status word is kept."""
-    status = F.upper(F.regexp_extract(text, r"(?i)\b(DQ|DNF|DNS)\b", 1))
-    place = F.regexp_extract(text, r"^\(?(\d+)\)?", 1).try_cast("int")
-    return F.struct(F.when(place > 0, place).alias("place"), F.when(place == 0, F.lit("DNF")).otherwise(F.nullif(status, F.lit(""))).alias("status"))
+    """Struct (place, status) of a place in parentheses: ``(3)``, ``(DQ)``, ``(3 DNF)``; a place of zero is DNF."""
+    text = F.trim(text)
+    inner = F.upper(F.regexp_extract(text, r"^\(([^)]*)\)", 1))
+    status, digits = F.lit(None).cast("string"), F.regexp_extract(inner, r"(\d+)", 1).try_cast("int")
+    for word in ("DNS", "DNF", "DQ"):
+        status = F.when(inner.rlike(rf"\b{word}\b"), F.lit(word)).otherwise(status)
+    place = F.regexp_extract(text, r"^\((\d+)\)", 1).try_cast("int")
+    return F.struct(F.when(status.isNotNull(), digits).otherwise(F.nullif(place, F.lit(0))).alias("place"), F.when(status.isNotNull(), status).when(place == 0, F.lit("DNF")).alias("status"))
 
 
 def sentinel_status(place: Column, mark: Column, sentinel: int = 999) -> Column:
-    return F.when(place == sentinel, F.when(mark.isNotNull(), F.lit("DQ")).otherwise(F.lit("DNF")))
+    """DQ for the sentinel place with a mark, DNF without one; an empty mark is none."""
+    return F.when(place == sentinel, F.when(F.trim(mark) != "", F.lit("DQ")).otherwise(F.lit("DNF")))
 
 
 def span_gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

@@ -66,10 +66,10 @@ def last_name(name: Column) -> Column:
 
 
 def initials_match(a: Column, b: Column) -> Column:
-    """First names alike without dots and quotes, one of up to three capitals at least, and last names equal."""
+    """First names equal without dots and quotes, one of up to three capitals at least, and last names equal but for case."""
     bare = lambda n: F.regexp_replace(F.split(n, " ")[0], r"[.']", "")
     short = lambda n: bare(n).rlike("^[A-Z]{1,3}$")
-    return (F.lower(bare(a)) == F.lower(bare(b))) & (short(a) | short(b)) & (last_name(a) == last_name(b))
+    return (bare(a) == bare(b)) & (short(a) | short(b)) & (last_name(a) == last_name(b))
 
 
 def international(name: Column) -> Column:

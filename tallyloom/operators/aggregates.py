@@ -67,3 +67,15 @@ def exact_groups(df: DataFrame, key: list[str], n: int) -> DataFrame:
 
 def top_rows(df: DataFrame, key: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def entity_search(df: DataFrame, identifier: str, name: str, school: str, gender: str, year: str, text: str, limit: int = 50) -> DataFrame:
+    """The entities some row of which has a name with the text in it: all their rows, by entity and gender, by name.
+
+    Matching identifiers are found first, so that only their rows are grouped.
+    """
+    hits = df.filter(F.col(name).ilike(f"%{text}%")).select(identifier).distinct()
+    grouped = df.join(hits, identifier, "left_semi").groupBy(identifier, gender).agg(
+        F.min(name).alias("name"), F.array_sort(F.array_compact(F.collect_set(school))).alias("schools"), F.count("*").alias("performances"), F.min(year).alias("first_year"), F.max(year).alias("last_year")
+    )
+    return grouped.orderBy("name", identifier, gender).limit(limit)

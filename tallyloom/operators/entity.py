@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions import names
+from tallyloom.functions.marks import span_gap
+from tallyloom.operators.stages import kept, removed
+from tallyloom.operators.windows import numbered
+
 
 def blocked_pairs(df: DataFrame, identifier: str, block: list[str], match: Column | None = None) -> DataFrame:
     """Pairs (a, b) of rows in the same block, a's identifier the smaller; match sees columns a_x and b_x."""
@@ -22,6 +24,55 @@ def close(a: Column, b: Column, distance: int = 1, longer: int = 2) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= longer) & (F.levenshtein(a, b, distance) >= 0)
 
 
+def one_edit_pairs(df: DataFrame, identifier: str, block: list[str], text: str) -> DataFrame:
+    """Pairs (a_, b_) of the same block, a's identifier the smaller, whose texts are one edit apart at most.
+
+    Two such texts are equal or become so when one character goes from either, so that an equality join on the block
+    and these forms finds them; its size grows with the number of texts, not with the square of a block.
+    """
+    rows = df.select(*block, F.col(identifier).alias("_i"), F.col(text).alias("_t"))
+    less = F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i: F.concat(F.substring("_t", F.lit(1), i - 1), F.substring("_t", i + 1, F.length("_t"))))
+    forms = rows.withColumn("_form", F.explode(F.array_distinct(F.when(F.length("_t") > 0, F.array_append(less, F.col("_t"))).otherwise(F.array("_t")))))
+    a, b = (forms.select(*block, "_form", F.col("_i").alias(f"{x}_{identifier}"), F.col("_t").alias(f"{x}_{text}")) for x in "ab")
+    pairs = a.join(b, [*block, "_form"]).filter(F.col(f"a_{identifier}") < F.col(f"b_{identifier}")).drop("_form").distinct()
+    return pairs.filter(F.levenshtein(f"a_{text}", f"b_{text}", 1) >= 0)
+
+
+#: Disciplines by group, and the groups that one athlete may well combine.
+EVENT_GROUPS = {
+    "sprints": ["100m", "200m", "400m", "60m", "100m Hurdles", "110m Hurdles", "400m Hurdles", "60m Hurdles", "220y Hurdles", "500m"],
+    "relays": ["4x100m Relay", "4x400m Relay", "4x800m Relay", "DMR"],
+    "horizontal_jumps": ["Long Jump", "Triple Jump"],
+    "distance": ["800m", "1500m", "Mile", "3000m", "5000m", "10000m", "Steeplechase"],
+    "high_jump": ["High Jump"],
+    "pole_vault": ["Pole Vault"],
+    "multi_events": ["Decathlon", "Heptathlon", "Pentathlon"],
+    "throws": ["Shot Put", "Discus", "Hammer", "Javelin", "Weight Throw"],
+}
+COMBINED = {
+    "sprints": ["sprints", "relays", "horizontal_jumps", "multi_events"],
+    "relays": ["sprints", "relays", "multi_events"],
+    "horizontal_jumps": ["sprints", "horizontal_jumps", "multi_events"],
+    "distance": ["distance", "multi_events"],
+    "high_jump": ["high_jump", "multi_events"],
+    "pole_vault": ["pole_vault", "multi_events"],
+    "multi_events": ["sprints", "relays", "horizontal_jumps", "distance", "high_jump", "pole_vault", "multi_events", "throws"],
+    "throws": ["throws", "multi_events"],
+}
+
+
+def event_groups(disciplines: Column) -> Column:
+    """The groups of an array of disciplines; one of no group is left out."""
+    by_name = F.create_map(*[F.lit(x) for group, names in EVENT_GROUPS.items() for name in names for x in (name, group)])
+    return F.array_distinct(F.array_compact(F.transform(disciplines, lambda d: F.try_element_at(by_name, d))))
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """Whether some group of a combines with some of b; where either has none, anything goes."""
+    combined = F.create_map(*[x for group, others in COMBINED.items() for x in (F.lit(group), F.array(*map(F.lit, others)))])
+    return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(F.flatten(F.transform(a, lambda g: combined[g])), b)
+
+
 def by_priority(strategies: list[tuple[str, DataFrame]], key: list[str]) -> DataFrame:
     """The union of strategies' pairs, each pair once: by the first strategy that has it."""
     all_ = None
@@ -31,26 +82,41 @@ def by_priority(strategies: list[tuple[str, DataFrame]], key: list[str]) -> Data
     return all_.groupBy(*key).agg(F.min_by("strategy", "_k").alias("strategy"))
 
 
-def recommend(same_name: Column, same_school: Column, gap: Column, compatible: Column, near: int = 5, far: int = 8) -> Column:
-    """The decision table of candidate pairs."""
+def recommend(kind: Column, same_school: Column, gap: Column, combines: Column, far: int = 8) -> Column:
+    """The decision table of candidate pairs: by the strategy that found them, school, years between and event groups."""
     return (
-        F.when(same_name & same_school, "same_high")
-        .when((gap <= near) & compatible, "likely_same")
-        .when((gap <= far) & compatible, "review")
-        .when(~compatible & (gap > far), "different")
-        .otherwise("unclear")
+        F.when((kind == "exact") & same_school & (gap == 0), "same_high")
+        .when((gap > far) & combines & (kind == "fuzzy"), "different_likely")
+        .when(gap > far, "different")
+        .when(~combines & (kind == "fuzzy"), "different_likely")
+        .when(~combines, "different")
+        .otherwise("same")
     )
 
 
-def _folder(df: DataFrame) -> str:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def candidates(profiles: DataFrame, far: int = 8) -> DataFrame:
+    """(a, b, strategy, gap, combines, same_school, recommendation) of pairs of profiles that may be one athlete.
+
+    profiles: id, name, gender, school, first_year, last_year, groups. Within a gender and last name: equal names of
+    different schools, and names that match by initials or within one edit; across last names one edit apart, first
+    names within one edit; women of one school and first name, at most ``far`` years apart. Each pair comes once, by the
+    first strategy that finds it. Equality joins throughout.
+    """
+    keyed = profiles.withColumns({"last": names.last_name(F.col("name")), "given": names.first_name(F.col("name"))}).withColumn("initial", F.lower(F.left(F.regexp_replace("given", r"[.']", ""), F.lit(1))))
+    pick = lambda df: df.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    columns = ["id", "name", "school", "gender", "last", "given", "initial", "first_year", "last_year"]
+    exact = pick(blocked_pairs(keyed.select("id", "name", "gender", "school"), "id", ["gender", "name"], F.col("a_school") != F.col("b_school")))
+    initials = pick(blocked_pairs(keyed.select(*columns), "id", ["gender", "last", "initial"], names.initials_match(F.col("a_name"), F.col("b_name")) & (F.col("a_name") != F.col("b_name"))))
+    fuzzy = pick(one_edit_pairs(keyed.filter("length(given) > 2"), "id", ["gender", "last"], "given")).join(pick(blocked_pairs(keyed.select("id", "gender", "name"), "id", ["gender", "name"])), ["a", "b"], "left_anti")
+    across = pick(one_edit_pairs(keyed.filter("length(last) > 2").withColumn("letter", F.left("last", F.lit(1))), "id", ["gender", "letter", "given"], "last").filter("a_last <> b_last"))
+    married = pick(blocked_pairs(keyed.filter("gender = 'women'").select(*columns), "id", ["gender", "school", "given"], (F.col("a_name") != F.col("b_name")) & (span_gap(F.col("a_first_year"), F.col("a_last_year"), F.col("b_first_year"), F.col("b_last_year")) <= far)))
+    found = by_priority([("exact", exact), ("initials", initials), ("fuzzy", fuzzy), ("cross_fuzzy", across), ("maiden_married", married)], ["a", "b"])
+    side = lambda x: profiles.select(*[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in ("id", "school", "first_year", "last_year", "groups")])
+    both = found.join(side("a"), "a").join(side("b"), "b")
+    gap = span_gap(F.col("a_first_year"), F.col("a_last_year"), F.col("b_first_year"), F.col("b_last_year"))
+    both = both.select("a", "b", "strategy", gap.alias("gap"), compatible(F.col("a_groups"), F.col("b_groups")).alias("combines"), (F.col("a_school") == F.col("b_school")).alias("same_school"))
+    kind = F.when(F.col("strategy") == "cross_fuzzy", "fuzzy").otherwise(F.col("strategy"))
+    return both.withColumn("recommendation", recommend(kind, F.col("same_school"), F.col("gap"), F.col("combines"), far))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -58,20 +124,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps until nothing changes; each round is a table in the checkpoint folder.
     """
-    spark, folder = edges.sparkSession, _folder(edges)
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{folder}/components-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     now, before = kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        now = kept(large.join(least, "a").select(F.explode(F.array("b", "a")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = now.unionByName(up).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # AQE splits what a hub gathers in these joins
+        large = kept(up.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        own = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        several = large.join(own.filter("n > 1"), "a").select(F.explode(F.array("b", "a")).alias("a"), F.col("m").alias("b"))
+        after = kept(own.filter("n = 1").select("a", F.col("m").alias("b")).unionByName(several).filter("a <> b").distinct())
+        removed(now)
+        removed(large)
+        now = after
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if sums == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -85,16 +149,23 @@ def contradictions(roots: DataFrame, different: DataFrame) -> DataFrame:
     return different.join(a, "a").join(b, "b").filter("root_a = root_b").select("a", "b", F.col("root_a").alias("root"))
 
 
-def stable_ids(groups: DataFrame, known: DataFrame, first: int = 10001) -> DataFrame:
-    """(root, id, status) of each component: ``reused`` if one identifier is known among its nodes, ``merged`` (an
-    error for the caller, id null) if several are, else ``new``, numbered on from the largest known one by root."""
+def stable_ids(groups: DataFrame, known: DataFrame, first: int = 10001, abort: bool = False) -> DataFrame:
+    """(root, id, status) of each component: ``reused`` if one identifier is known among its nodes, else ``new``,
+    numbered on from the largest known one by root.
+
+    ``merged`` (several identifiers in a component) and ``split`` (one that several components claim) have no id; with
+    abort, they raise.
+    """
     hits = groups.join(known, "node", "left").groupBy("root").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    claims = hits.filter(F.size("ids") == 1).groupBy(F.col("ids")[0].alias("claimed")).agg(F.count("*").alias("claims"))
+    hits = hits.withColumn("claimed", F.get("ids", F.lit(0))).join(claims, "claimed", "left")
+    status = F.when(F.size("ids") == 0, "new").when(F.size("ids") > 1, "merged").when(F.col("claims") > 1, "split").otherwise("reused")
+    marked = hits.select("root", status.alias("status"), F.when(status == "reused", F.col("claimed")).alias("id"))
+    if abort and (wrong := marked.filter("status in ('merged', 'split')").limit(5).collect()):
+        raise ValueError(f"identifiers that components merge or split: {[(r.root, r.status) for r in wrong]}")
     start = known.agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(first - 1))).first()[0]
-    status = F.when(F.size("ids") == 0, "new").when(F.size("ids") == 1, "reused").otherwise("merged")
-    marked = hits.withColumn("status", status)
-    new = marked.filter("status = 'new'").withColumn("id", F.row_number().over(Window.partitionBy("status").orderBy("root")) + F.lit(start))
-    old = marked.filter("status <> 'new'").withColumn("id", F.when(F.col("status") == "reused", F.col("ids")[0]))
-    return new.unionByName(old).select("root", F.col("id").cast("long").alias("id"), "status")
+    new = numbered(marked.filter("status = 'new'").select("root", "status"), ["root"], int(start), "id")
+    return new.select("root", "id", "status").unionByName(marked.filter("status <> 'new'").select("root", F.col("id").cast("long"), "status"))
 
 
 def unambiguous(df: DataFrame, key: str, value: str) -> DataFrame:

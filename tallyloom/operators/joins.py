@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def lookup(df: DataFrame, dimension: DataFrame, key: list[str]) -> DataFrame:
-    """Left join to a dimension whose key is unique."""
-    return df.join(dimension, key, "left")
+    """Left join to a dimension; if its key repeats, the least row of it is taken, so that no row of df is multiplied."""
+    rest = [c for c in dimension.columns if c not in key]
+    one = dimension.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_one")) if rest else dimension.distinct()
+    return df.join(one.select(*key, *[F.col("_one")[c].alias(c) for c in rest]), key, "left")
 
 
 def orphans(df: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:

@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def matched(key: list[str]) -> Column:
+    """Rows whose key is that of the columns with an underscore before, nulls matching nulls."""
+    on: Column = F.lit(True)
+    for c in key:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return on
+
 
+def first_patch(patches: DataFrame, key: list[str], ordinal: str = "ordinal") -> DataFrame:
+    """One patch a key: the first in file order; without an ordinal any one of them, the least."""
+    order = F.col(ordinal) if ordinal in patches.columns else F.struct(*[c for c in patches.columns if c not in key])
+    return patches.withColumn("_first", F.row_number().over(Window.partitionBy(*key).orderBy(order))).filter("_first = 1").drop("_first")
 
-def last_patch(patches: DataFrame, key: list[str], ordinal: str = "ordinal") -> DataFrame:
-    """One patch a key: the last in file order."""
-    w = Window.partitionBy(*key).orderBy(F.desc(ordinal))
-    return patches.withColumn("_last", F.row_number().over(w)).filter("_last = 1").drop("_last")
+
+def fold(df: DataFrame, patches: DataFrame, key: list[str], state: list[str], step: Callable[[Column, Column], Column]) -> DataFrame:
+    """Applies each row's patches one after another, by ``ordinal``, to its columns ``state``.
+
+    Patches of a key (nulls match nulls) travel as one array; step(state, patch) gives the next state, a struct of the
+    same columns. A later patch thus sees what an earlier one has set, and nothing that it doesn't set is lost.
+    """
+    rest = [F.col(c) if not isinstance(patches.schema[c].dataType, T.MapType) else F.map_entries(c).alias(c) for c in patches.columns if c not in [*key, "ordinal"]]
+    own = patches.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.array_sort(F.collect_list(F.struct("ordinal", *rest))).alias("_patches"))
+    joined = df.join(own, matched(key), "left")
+    kind = joined.schema["_patches"].dataType.simpleString()
+    out = F.aggregate(F.coalesce("_patches", F.array().cast(kind)), F.struct(*[F.col(c) for c in state]), step)
+    return joined.withColumn("_state", out).select(*[F.col("_state")[c].alias(c) if c in state else F.col(c) for c in df.columns])
 
 
 def remove_rows(df: DataFrame, patches: DataFrame, key: list[str], optional: list[str] = ()) -> DataFrame:
@@ -23,48 +48,93 @@ def remove_rows(df: DataFrame, patches: DataFrame, key: list[str], optional: lis
     return df.join(p, on, "left_anti")
 
 
-def update_rows(df: DataFrame, patches: DataFrame, key: list[str], values: dict[str, str]) -> DataFrame:
-    """Sets columns from a patch's columns where these aren't null; keys match nulls to nulls; the last patch wins."""
-    p = last_patch(patches, key).select(*[F.col(c).alias(f"_{c}") for c in key], *[F.col(v).alias(f"_new_{c}") for c, v in values.items()])
-    on: Column = F.lit(True)
-    for c in key:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    joined = df.join(p, on, "left")
-    return joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).cast(df.schema[c].dataType).alias(c) if c in values else F.col(c) for c in df.columns])
+def update_rows(df: DataFrame, patches: DataFrame, key: list[str], values: dict[str, str], match: dict[str, str] | None = None, optional: dict[str, str] | None = None) -> DataFrame:
+    """Sets columns from a patch's columns where these aren't null, one patch after another.
 
+    A patch applies to rows of its key (nulls match nulls) whose columns in ``match`` are what its own columns say, nulls
+    included, as they are by then; in ``optional``, a null of the patch matches anything.
+    """
+    match, optional = match or {}, optional or {}
+    state = list(dict.fromkeys([*values, *match, *optional]))
 
-def correct(df: DataFrame, patches: DataFrame, key: list[str], corrections: str = "corrections") -> DataFrame:
-    """Sets arbitrary columns from a map of column to text; a key that is there with a null sets null."""
-    p = last_patch(patches, key).select(*[F.col(c).alias(f"_{c}") for c in key], F.col(corrections).alias("_set"))
-    on: Column = F.lit(True)
-    for c in key:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    has = lambda c: F.coalesce(F.map_contains_key("_set", F.lit(c)), F.lit(False))
-    joined = df.join(p, on, "left")
-    return joined.select(*[F.when(has(c), F.try_element_at("_set", F.lit(c)).try_cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in df.columns])
+    def step(now: Column, patch: Column) -> Column:
+        applies: Column = F.lit(True)
+        for c, of in match.items():
+            applies = applies & now[c].eqNullSafe(patch[of].cast(df.schema[c].dataType))
+        for c, of in optional.items():
+            applies = applies & (patch[of].isNull() | now[c].eqNullSafe(patch[of].cast(df.schema[c].dataType)))
+        return F.struct(*[(F.when(applies & patch[values[c]].isNotNull(), patch[values[c]].cast(df.schema[c].dataType)).otherwise(now[c]) if c in values else now[c]).alias(c) for c in state])
+
+    return fold(df, patches, key, state, step)
+
+
+def correct(df: DataFrame, patches: DataFrame, key: list[str], optional: list[str] = (), corrections: str = "corrections") -> DataFrame:
+    """Sets arbitrary columns from a map of column to text, one patch after another; a null in the map sets null.
+
+    Columns in ``optional`` are matched as they are by then; a null of the patch matches anything.
+    """
+    state = [c for c in df.columns if c not in key]
+
+    def step(now: Column, patch: Column) -> Column:
+        applies: Column = F.lit(True)
+        for c in optional:
+            applies = applies & (patch[c].isNull() | F.coalesce(now[c] == patch[c], F.lit(False)))
+        new = F.map_from_entries(patch[corrections])
+        has = lambda c: applies & F.coalesce(F.map_contains_key(new, F.lit(c)), F.lit(False))
+        return F.struct(*[F.when(has(c), F.try_element_at(new, F.lit(c)).try_cast(df.schema[c].dataType)).otherwise(now[c]).alias(c) for c in state])
+
+    return fold(df, patches, key, state, step)
 
 
 def upsert(df: DataFrame, patches: DataFrame, key: list[str]) -> DataFrame:
     """Rows of patches replace those of the same key; those of new keys are added. Both have df's columns."""
-    p = last_patch(patches, key)
+    p = patches.withColumn("_last", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ordinal")))).filter("_last = 1")
     return df.join(p, key, "left_anti").unionByName(p.select(*df.columns))
 
 
+def upsert_places(df: DataFrame, patches: DataFrame, key: list[str], identifier: str, place: str, name: str, flags: list[str], sentinel: int = 999, unresolved: tuple[str, ...] = ("skip", "tie"), whole_team: str = "Relay member unknown", legs: int = 4) -> DataFrame:
+    """Places for rows that lack one: of the rows of a patch's key (name among it), the one of the least identifier gets
+    the place, and its flags become 0, if its own is the sentinel; any other place stays. A key without rows is inserted.
+
+    Patches without a name, or of a name in ``unresolved``, do nothing; of several patches of a key the first counts,
+    as the others find its row. A patch of the whole team without ``leg_idx`` is inserted once for each leg.
+    """
+    p = first_patch(patches.filter(F.col(name).isNotNull() & ~F.col(name).isin(*unresolved)), key)
+    have = df.groupBy(*key).agg(F.min(identifier).alias("_row"))
+    hits = have.join(p.select(*key, F.col(place).alias("_place")), key).select("_row", "_place")
+    changed = df.join(hits, F.col(identifier) == F.col("_row"), "left").withColumn("_set", F.col("_row").isNotNull() & F.coalesce(F.col(place) == sentinel, F.lit(False)))
+    new = {place: F.col("_place").cast(df.schema[place].dataType)} | {c: F.lit(0).cast(df.schema[c].dataType) for c in flags}
+    kept = changed.select(*[F.when(F.col("_set"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns])
+    added = p.join(have, key, "left_anti")
+    team = (F.col(name) == whole_team) & F.coalesce(F.col("is_relay"), F.lit(False)) & F.col("leg_idx").isNull()
+    added = added.withColumn("leg_idx", F.explode(F.when(team, F.sequence(F.lit(1), F.lit(legs))).otherwise(F.array(F.col("leg_idx").cast("int")))))
+    fill = lambda c: F.lit(0) if c in flags else F.col(c) if c in added.columns else F.lit(None)
+    return kept.unionByName(added.select(*[fill(c).cast(df.schema[c].dataType).alias(c) for c in df.columns]))
+
+
 def insert_missing(df: DataFrame, patches: DataFrame, key: list[str]) -> DataFrame:
-    return df.unionByName(patches.join(df, key, "left_anti").select(*df.columns))
+    """Adds the patches whose key df lacks; of several of one key the first counts. Nulls of a key match nulls."""
+    have = df.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+    return df.unionByName(first_patch(patches, key).join(have, matched(key), "left_anti").select(*df.columns))
+
 
+def replace_groups(df: DataFrame, members: DataFrame, key: list[str], name: str | None = None, unresolved: str = "skip", unknown: str = "Unknown") -> DataFrame:
+    """Groups that members has (nulls of the key match nulls) are replaced by its rows.
 
-def replace_groups(df: DataFrame, members: DataFrame, key: list[str]) -> DataFrame:
-    """Groups that members has are replaced by its rows."""
-    return df.join(members.select(*key).distinct(), key, "left_anti").unionByName(members.select(*df.columns))
+    With a name column, a group of which some member has no name yet is left alone, and one that is ``unresolved`` is
+    called ``unknown``.
+    """
+    if name is not None:
+        open_ = members.filter(F.col(name).isNull()).select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+        members = members.join(open_, matched(key), "left_anti").withColumn(name, F.when(F.col(name) == unresolved, F.lit(unknown)).otherwise(F.col(name)))
+    groups = members.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+    return df.join(groups, matched(key), "left_anti").unionByName(members.select(*df.columns))
 
 
 def keep_places(df: DataFrame, cases: DataFrame, key: list[str], place: str) -> DataFrame:
     """Near duplicates: a case keeps one place (rows of others, and without one, go), "both", "neither", or is open."""
-    c = cases.select(*[F.col(k).alias(f"_{k}") for k in key], "keep")
-    on: Column = F.lit(True)
-    for k in key:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    c = first_patch(cases, key).select(*[F.col(k).alias(f"_{k}") for k in key], "keep")
+    on = matched(key)
     keep = F.col("keep")
     kept = keep.isNull() | (keep == "both") | ((keep != "neither") & F.coalesce(F.col(place).cast("string") == keep, F.lit(False)))
     return df.join(c, on, "left").filter(kept).select(*df.columns)

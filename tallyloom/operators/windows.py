@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.stages import kept
+
 
 def rank_gaps(df: DataFrame, group: list[str], place: str) -> DataFrame:
     """The first place of each group of two rows or more that doesn't follow from ties and order: expected and got."""
@@ -29,9 +31,12 @@ def gap_clusters(df: DataFrame, group: list[str], value: str, gap: int) -> DataF
 
 
 def islands(df: DataFrame, value: str, group: list[str] = ()) -> DataFrame:
-    """Runs of consecutive whole numbers: first, last."""
-    w = Window.partitionBy(*group).orderBy(value) if group else Window.partitionBy(F.lit(0)).orderBy(value)
-    keyed = df.select(*group, value).distinct().withColumn("island", F.col(value) - F.row_number().over(w))
+    """Runs of consecutive whole numbers: first, last. Without a group, rows are numbered by numbered(), not in one task."""
+    rows = df.select(*group, value).distinct()
+    if group:
+        keyed = rows.withColumn("island", F.col(value) - F.row_number().over(Window.partitionBy(*group).orderBy(value)))
+    else:
+        keyed = numbered(rows, [value], name="island").withColumn("island", F.col(value) - F.col("island"))
     return keyed.groupBy(*group, "island").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("island")
 
 
@@ -44,17 +49,25 @@ def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_place = 1").drop("_place")
 
 
-def numbered(df: DataFrame, order: list[str], base: int = 0, name: str = "row_id", buckets: int = 64) -> DataFrame:
-    """Row numbers from base + 1 over a total order, without bringing all rows into one task.
+def numbered(df: DataFrame, order: list[str], base: int = 0, name: str = "row_id") -> DataFrame:
+    """Row numbers from base + 1 over a total order (nulls first), without bringing all rows into one task.
 
-    The first column's range parts the rows into buckets; each is numbered on its own and shifted by the rows before
-    it. Only a count a bucket is summed up in one place.
+    Rows are dealt out by range and sorted; each partition's numbers are shifted by the rows before it. Only a count a
+    partition is summed up in one place. The dealt rows are written first, as another run could draw other ranges.
     """
-    low, high = df.agg(F.min(order[0]), F.max(order[0])).first()
-    if low is None:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) + F.lit(base))
-    width = max(1, (int(high) - int(low)) // buckets + 1)
-    keyed = df.withColumn("_b", F.floor((F.col(order[0]) - F.lit(int(low))) / width))
-    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return keyed.join(F.broadcast(sizes), "_b").withColumn(name, inner + F.col("_before") + F.lit(base)).drop("_b", "_n", "_before")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = kept(dealt.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return dealt.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_at") + F.col("_before") + F.lit(base + 1)).select(*df.columns, name)
+
+
+def sections(df: DataFrame, group: list[str], order: list[str], header: Column, name: str = "section") -> DataFrame:
+    """The number of headers up to and with each row of its group: 0 before the first."""
+    return df.withColumn(name, F.count(F.when(header, F.lit(1))).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def filled(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """The last value that isn't null of each expression, up to and with each row of its group."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({c: F.last(v, ignorenulls=True).over(w) for c, v in values.items()})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions import marks, names
+from tallyloom.functions import lines, marks, names
 from tallyloom.operators import aggregates, entity, joins, patches, quality, query, windows
 from tallyloom.sources import readers
 from tallyloom.streaming import sessions
@@ -16,6 +16,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Class codes.
+CLASSES = {"Fr": "freshman", "So": "sophomore", "Jr": "junior", "Sr": "senior", "Fr-Sr": "senior", "So-Jr": "junior", "Jr-Sr": "senior", "FR": "freshman", "SO": "sophomore", "JR": "junior", "SR": "senior", "fr": "freshman"}
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -93,9 +97,10 @@ def topk_retention(t: Tables) -> DataFrame:
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE s_name ILIKE '%1%' GROUP BY 1, 2, 3 ORDER BY n DESC, s_suppkey LIMIT 50""")
 def dim_search_rollup(t: Tables) -> DataFrame:
     year = F.year("l_shipdate")
-    # suppliers are aggregated by their key first; the dimensions join the few rows that are left
-    rolled = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.count_distinct(year).alias("n_years"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
+    # the dimension is searched first: only its matches' rows are aggregated, by key, before its columns join
     named = t.supplier.filter(F.col("s_name").ilike("%1%")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = t.lineitem.withColumnRenamed("l_suppkey", "s_suppkey").join(named.select("s_suppkey"), "s_suppkey", "left_semi")
+    rolled = rows.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.count_distinct(year).alias("n_years"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
     return rolled.join(named, "s_suppkey").select("s_suppkey", "s_name", "n_name", "n", "n_years", "first_year", "last_year").orderBy(F.desc("n"), "s_suppkey").limit(50)
 
 
@@ -131,8 +136,7 @@ def interval_lookup_first(t: Tables) -> DataFrame:
 WHERE substr(a.c_name, 1, 1) = substr(b.c_name, 1, 1) AND levenshtein(a.c_name, b.c_name) <= 1""")
 def blocked_fuzzy_pairs(t: Tables) -> DataFrame:
     rows = t.customer.select(F.col("c_nationkey").alias("nation"), F.substring("c_name", 1, 1).alias("initial"), "c_custkey", "c_name")
-    match = entity.close(F.col("a_c_name"), F.col("b_c_name"))
-    return entity.blocked_pairs(rows, "c_custkey", ["nation", "initial"], match).select("nation", F.col("a_c_custkey").alias("a"), F.col("b_c_custkey").alias("b"))
+    return entity.one_edit_pairs(rows, "c_custkey", ["nation", "initial"], "c_name").select("nation", F.col("a_c_custkey").alias("a"), F.col("b_c_custkey").alias("b"))
 
 
 @register("""SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS members FROM lineitem GROUP BY 1 HAVING count(*) <> 4""")
@@ -271,12 +275,54 @@ def range_expansion(t: Tables) -> DataFrame:
     return t.nation.filter(F.col("n_regionkey") <= end).select("n_nationkey", F.explode(F.sequence("n_regionkey", end)).alias("year"))
 
 
-@register("""SELECT p_partkey, round(CASE p_partkey % 4 WHEN 0 THEN p_size * 0.3048 + (p_partkey % 12) * 0.0254 WHEN 1 THEN (p_size % 10) * 60 + (p_partkey % 60) + 0.25 WHEN 2 THEN p_size + 0.5 END, 6) AS num, p_partkey % 4 = 2 AS wind_aided FROM part""")
+@register("""SELECT p_partkey, round(CASE p_partkey % 4 WHEN 0 THEN p_size * 0.3048 + (p_partkey % 12) * 0.0254 WHEN 1 THEN (p_size % 10) * 60 + (p_partkey % 60) + 0.25 WHEN 2 THEN p_size + 0.5 END, 6) AS num, p_partkey % 4 = 2 AS wind_aided, p_partkey % 8 = 5 AS converted FROM part""")
 def parse_marks(t: Tables) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
-    text = F.when(k % 4 == 0, F.concat_ws("-", size, (k % 12).cast("string"))).when(k % 4 == 1, F.concat((F.col("p_size") % 10).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit("¼"))).when(k % 4 == 2, F.concat(size, F.lit("½w/"), size)).otherwise("nt")
+    time = F.concat((F.col("p_size") % 10).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit("¼"), F.when(k % 8 == 5, F.lit("+")).otherwise(F.lit("")))
+    text = F.when(k % 4 == 0, F.concat(F.lit("c"), size, F.lit("–"), (k % 12).cast("string"))).when(k % 4 == 1, time).when(k % 4 == 2, F.concat(size, F.lit("½W/"), size)).otherwise("nt")
     mark = marks.parse_mark(text)
-    return t.part.select("p_partkey", F.round(mark["num"], 6).alias("num"), mark["wind_aided"].alias("wind_aided"))
+    return t.part.select("p_partkey", F.round(mark["num"], 6).alias("num"), mark["wind_aided"].alias("wind_aided"), mark["converted"].alias("converted"))
+
+
+@register("""SELECT c_custkey, CAST(c_custkey % 30 + 1 AS INTEGER) AS place, replace(c_name, '#', ' ') AS name, c_mktsegment AS school, CASE c_custkey % 4 WHEN 0 THEN 'freshman' WHEN 1 THEN 'sophomore' WHEN 2 THEN 'junior' WHEN 3 THEN 'senior' END AS class,
+10 + c_custkey % 50 + 0.25 AS mark_num, c_custkey % 5 = 0 AS international, c_custkey % 11 = 0 AS converted, c_custkey % 3 = 0 AS wind_aided FROM customer""")
+def result_lines(t: Tables) -> DataFrame:
+    k, when = F.col("c_custkey"), lambda x, text: F.when(x, F.lit(text)).otherwise(F.lit(""))
+    line = F.concat(
+        when(k % 7 == 0, " ="), when(k % 11 == 0, "+"), (k % 30 + 1).cast("string"), F.lit(". "), F.replace("c_name", F.lit("#"), F.lit(" ")), when(k % 5 == 0, "’"), F.lit(" ("), F.col("c_mktsegment"), F.lit(")"), when(k % 6 == 1, " (injured in heats)"),
+        F.lit(" ..... "), F.element_at(F.array(*map(F.lit, ("Fr", "So", "Jr", "Sr"))), (k % 4 + 1).cast("int")), F.lit(" "), (k % 50 + 10).cast("string"), F.lit(".25"), when(k % 3 == 0, "w"), when(k % 9 == 4, " MR"),
+    )
+    found = t.customer.select("c_custkey", lines.placed(line).alias("p")).select("c_custkey", "p", lines.individual(F.col("p.rest"), CLASSES, {}).alias("r"))
+    return found.select("c_custkey", "p.place", "r.name", "r.school", "r.class", "r.mark_num", "r.international", (F.col("p.converted") | F.col("r.converted")).alias("converted"), "r.wind_aided")
+
+
+@register("""SELECT c_custkey, c_mktsegment AS school, CASE WHEN c_custkey % 5 IN (0, 1, 2) THEN 180 + c_custkey % 60 + 0.5 END AS mark_num, c_custkey % 5 = 3 AS is_dq FROM customer""")
+def relay_lines(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    time = F.concat(F.lit("3:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(".5"))
+    line = F.concat(F.col("c_mktsegment"), F.when(k % 5 == 0, F.concat(F.lit(" ...... "), time)).when(k % 5 == 1, F.concat(F.lit(" "), time)).when(k % 5 == 2, time).when(k % 5 == 3, F.lit(" DQ")).otherwise(F.lit("")))
+    return t.customer.select("c_custkey", lines.relay(line, {}).alias("r")).select("c_custkey", "r.school", "r.mark_num", "r.is_dq")
+
+
+@register("""WITH marked AS (SELECT o_custkey % 50 AS doc, o_orderkey, CASE WHEN o_orderkey % 40 = 0 THEN 1900 + CAST(o_orderkey % 100 AS INTEGER) END AS y, CASE WHEN o_orderkey % 40 BETWEEN 1 AND 4 THEN o_orderpriority END AS d FROM orders),
+numbered AS (SELECT *, count(y) OVER (PARTITION BY doc ORDER BY o_orderkey) AS section FROM marked)
+SELECT doc, o_orderkey, last_value(y IGNORE NULLS) OVER (PARTITION BY doc, section ORDER BY o_orderkey) AS year, CASE WHEN last_value(d IGNORE NULLS) OVER (PARTITION BY doc, section ORDER BY o_orderkey) IS NOT NULL THEN 'June 7' END AS date,
+CASE left(last_value(d IGNORE NULLS) OVER (PARTITION BY doc, section ORDER BY o_orderkey), 1) WHEN '1' THEN 'Eugene, Ore' WHEN '2' THEN 'Eugene, Ore' WHEN '3' THEN 'Austin' WHEN '4' THEN 'Austin' WHEN '5' THEN 'Austin' END AS location FROM numbered WHERE section > 0""")
+def section_context(t: Tables) -> DataFrame:
+    k, first = F.col("o_orderkey"), F.left("o_orderpriority", F.lit(1))
+    place = F.when(first.isin("1", "2"), F.lit("(Eugene, Ore, June 7–9; wind +1.2)")).otherwise(F.lit("(Austin; June 7)"))
+    line = F.when(k % 40 == 0, F.concat(F.lit("\f"), (1900 + k % 100).cast("string"))).when((k % 40).between(1, 4), place).otherwise(F.lit("3. A Runner (School) ..... Jr 10.25"))
+    rows = t.orders.select((F.col("o_custkey") % 50).alias("doc"), "o_orderkey", line.alias("line"))
+    rows = windows.sections(rows, ["doc"], ["o_orderkey"], lines.year_header(F.col("line")).isNotNull()).filter("section > 0")
+    values = {"year": lines.year_header(F.col("line")), "date": lines.meet_date(F.col("line")), "location": lines.location(F.col("line"))}
+    return windows.filled(rows, ["doc", "section"], ["o_orderkey"], values).select("doc", "o_orderkey", "year", "date", "location")
+
+
+@register("""SELECT p_size, p_type, min(p_name) AS name, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS schools, count(*) AS performances, min(p_partkey % 40) AS first_year, max(p_partkey % 40) AS last_year FROM part
+WHERE p_size IN (SELECT p_size FROM part WHERE p_name ILIKE '%ri%') GROUP BY 1, 2 ORDER BY name, p_size, p_type LIMIT 50""")
+def athlete_search(t: Tables) -> DataFrame:
+    found = aggregates.entity_search(t.part.withColumn("year", F.col("p_partkey") % 40), "p_size", "p_name", "p_brand", "p_type", "year", "ri")
+    return found.withColumn("schools", F.array_join("schools", ","))
 
 
 @register("SELECT l_orderkey, l_linenumber, l_partkey, secs FROM (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN (l_orderkey % 50) * 60.0 + l_linenumber + 0.5 ELSE l_orderkey % 60 + 0.25 END AS secs FROM lineitem) ORDER BY secs, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 100")
@@ -331,10 +377,41 @@ def apply_patches_groups(t: Tables) -> DataFrame:
     return patches.replace_groups(t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_partkey"), members, ["l_orderkey"])
 
 
-@register("SELECT c_custkey, CASE WHEN c_custkey = 3 THEN NULL ELSE c_name END AS c_name, CASE WHEN c_custkey = 2 THEN 12.5 ELSE c_acctbal END AS c_acctbal FROM customer")
+@register("""SELECT o_orderkey, CASE WHEN o_orderkey = 3 THEN 'C' WHEN o_orderkey = 5 THEN 'B' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey = 3 THEN 'moved' WHEN o_orderkey = 7 THEN 'set' ELSE o_orderpriority END AS o_orderpriority FROM (
+SELECT o_orderkey, CASE WHEN o_orderkey IN (3, 5, 7) THEN 'A' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders)""")
+def apply_patches_chain(t: Tables) -> DataFrame:
+    """Two patches of one key, of which the second finds what the first has set, and one that finds nothing any more."""
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey").isin(3, 5, 7), "A").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority")
+    fixes = [(3, 1, "A", "B", None), (3, 2, "B", "C", "moved"), (3, 3, "B", "lost", "lost"), (5, 4, "A", "B", None), (7, 5, "X", "lost", None), (7, 6, "A", None, "set")]
+    return patches.update_rows(rows, t.spark.createDataFrame(fixes, "o_orderkey long, ordinal int, current string, name string, place string"), ["o_orderkey"], {"o_orderstatus": "name", "o_orderpriority": "place"}, match={"o_orderstatus": "current"})
+
+
+@register("""SELECT o_orderkey AS id, o_custkey AS athlete, CAST(CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 7) THEN 2 WHEN o_custkey = 7 THEN 999 ELSE o_orderkey % 9 END AS INTEGER) AS place,
+CAST(CASE WHEN o_custkey = 7 AND o_orderkey <> (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 7) THEN 1 ELSE 0 END AS INTEGER) AS is_dq, CAST(NULL AS INTEGER) AS leg_idx FROM orders WHERE o_custkey <> -1
+UNION ALL SELECT NULL, -1, 4, 0, NULL""")
+def upsert_places(t: Tables) -> DataFrame:
+    """The sentinel of athlete 7 becomes 2, athlete 8 stays where it is, and a new one is inserted once of two patches."""
+    own = F.col("o_custkey") == 7
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("athlete"), F.when(own, 999).otherwise(F.col("o_orderkey") % 9).cast("int").alias("place"), own.cast("int").alias("is_dq"), F.lit(None).cast("int").alias("leg_idx"))
+    fixes = [(7, 1, 2, "a", False, None), (7, 2, 3, "a", False, None), (8, 3, 5, "b", False, None), (-1, 4, 4, "c", False, None), (-1, 5, 6, "c", False, None), (-2, 6, 1, "skip", False, None), (-3, 7, 1, None, False, None)]
+    fixes = t.spark.createDataFrame(fixes, "athlete long, ordinal int, place int, name string, is_relay boolean, leg_idx int")
+    return patches.upsert_places(rows, fixes, ["athlete"], "id", "place", "name", ["is_dq"])
+
+
+@register("""SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, l_returnflag AS name FROM lineitem WHERE l_orderkey NOT IN (1, 2) UNION ALL SELECT * FROM (VALUES (1, 1, 'Ann'), (1, 2, 'Unknown'), (2, 1, 'Bea'))""")
+def replace_relay(t: Tables) -> DataFrame:
+    """Teams 1 and 2 are replaced, one member of which isn't known; team 3 stays, as one of its members has no name yet."""
+    members = t.spark.createDataFrame([(1, 1, "Ann"), (1, 2, "skip"), (2, 1, "Bea"), (3, 1, "Cid"), (3, 2, None)], "l_orderkey long, l_linenumber int, name string")
+    rows = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), F.col("l_returnflag").alias("name"))
+    return patches.replace_groups(rows, members, ["l_orderkey"], "name")
+
+
+@register("SELECT c_custkey, CASE WHEN c_custkey = 3 THEN NULL WHEN c_custkey = 2 THEN 'Second' ELSE c_name END AS c_name, CASE WHEN c_custkey = 2 THEN 12.5 WHEN c_custkey = 4 THEN 1 ELSE c_acctbal END AS c_acctbal FROM customer")
 def dynamic_corrections(t: Tables) -> DataFrame:
-    fixes = t.spark.createDataFrame([(2, {"c_acctbal": "12.5"}, 1), (3, {"c_name": None}, 2)], "c_custkey long, corrections map<string,string>, ordinal int")
-    return patches.correct(t.customer.select("c_custkey", "c_name", "c_acctbal"), fixes, ["c_custkey"])
+    """Two corrections of one key, the second of which is for the name that the first has set; one for a name that isn't there."""
+    fixes = [(2, {"c_name": "First"}, 1, None), (2, {"c_acctbal": "12.5", "c_name": "Second"}, 2, "First"), (3, {"c_name": None}, 3, None), (4, {"c_acctbal": "1"}, 4, None), (4, {"c_acctbal": "2"}, 5, "nobody")]
+    fixes = t.spark.createDataFrame(fixes, "c_custkey long, corrections map<string,string>, ordinal int, c_name string")
+    return patches.correct(t.customer.select("c_custkey", "c_name", "c_acctbal"), fixes, ["c_custkey"], ["c_name"])
 
 
 @register("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT ((l_orderkey = 1 AND l_linenumber <> 1) OR l_orderkey = 3)")
@@ -350,13 +427,29 @@ def patch_audit(t: Tables) -> DataFrame:
     return patches.audit(before, after, ["o_orderkey"])
 
 
-@register("""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_size = b.p_size THEN 'same_high' WHEN abs(a.p_size - b.p_size) <= 5 AND a.p_type = b.p_type THEN 'likely_same' WHEN abs(a.p_size - b.p_size) <= 8 AND a.p_type = b.p_type THEN 'review' WHEN a.p_type <> b.p_type AND abs(a.p_size - b.p_size) > 8 THEN 'different' ELSE 'unclear' END AS recommendation
-FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
+@register("""SELECT a, b, CASE WHEN kind = 'exact' AND same_type AND gap = 0 THEN 'same_high' WHEN gap > 8 THEN CASE WHEN combines AND kind = 'fuzzy' THEN 'different_likely' ELSE 'different' END WHEN NOT combines THEN CASE WHEN kind = 'fuzzy' THEN 'different_likely' ELSE 'different' END ELSE 'same' END AS recommendation
+FROM (SELECT a.p_partkey AS a, b.p_partkey AS b, CASE (a.p_partkey + b.p_partkey) % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'fuzzy' ELSE 'initials' END AS kind, a.p_type = b.p_type AS same_type, abs(a.p_size - b.p_size) AS gap, (a.p_size + b.p_size) % 4 <> 0 AS combines
+FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)""")
 def decision_table(t: Tables) -> DataFrame:
     pairs = entity.blocked_pairs(t.part.select("p_name", "p_brand", "p_partkey", "p_size", "p_type"), "p_partkey", ["p_name", "p_brand"])
-    gap = F.abs(F.col("a_p_size") - F.col("b_p_size"))
-    verdict = entity.recommend(F.lit(True), gap == 0, gap, F.col("a_p_type") == F.col("b_p_type"))
-    return pairs.select(F.col("a_p_partkey").alias("a"), F.col("b_p_partkey").alias("b"), verdict.alias("recommendation"))
+    a, b = F.col("a_p_partkey"), F.col("b_p_partkey")
+    kind = F.when((a + b) % 3 == 0, "exact").when((a + b) % 3 == 1, "fuzzy").otherwise("initials")
+    verdict = entity.recommend(kind, F.col("a_p_type") == F.col("b_p_type"), F.abs(F.col("a_p_size") - F.col("b_p_size")), (F.col("a_p_size") + F.col("b_p_size")) % 4 != 0)
+    return pairs.select(a.alias("a"), b.alias("b"), verdict.alias("recommendation"))
+
+
+@register("""WITH p AS (SELECT p_partkey AS id, lower(split_part(p_name, ' ', 1)) AS given, lower(split_part(p_name, ' ', -1)) AS last, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'women' ELSE 'men' END AS gender, p_brand AS school, p_size AS first_year, p_size + p_partkey % 3 AS last_year FROM part ),
+pairs AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.name = b.name AND a.school <> b.school THEN 1 WHEN a.last = b.last AND a.name <> b.name AND length(a.given) > 2 AND length(b.given) > 2 AND levenshtein(a.given, b.given) <= 1 THEN 3
+  WHEN a.last <> b.last AND a.given = b.given AND left(a.last, 1) = left(b.last, 1) AND length(a.last) > 2 AND length(b.last) > 2 AND levenshtein(a.last, b.last) <= 1 THEN 4
+  WHEN a.gender = 'women' AND a.school = b.school AND a.given = b.given AND a.name <> b.name AND greatest(b.first_year - a.last_year, a.first_year - b.last_year, 0) <= 8 THEN 5 END AS k,
+  greatest(b.first_year - a.last_year, a.first_year - b.last_year, 0) AS gap, a.school = b.school AS same_school FROM p a JOIN p b ON a.gender = b.gender AND a.id < b.id)
+SELECT a, b, CASE k WHEN 1 THEN 'exact' WHEN 3 THEN 'fuzzy' WHEN 4 THEN 'cross_fuzzy' ELSE 'maiden_married' END AS strategy, CAST(gap AS INTEGER) AS gap, same_school,
+CASE WHEN k = 1 AND same_school AND gap = 0 THEN 'same_high' WHEN gap > 8 THEN CASE WHEN k IN (3, 4) THEN 'different_likely' ELSE 'different' END ELSE 'same' END AS recommendation FROM pairs WHERE k IS NOT NULL""")
+def candidate_strategies(t: Tables) -> DataFrame:
+    """Parts as profiles: their names, brands as schools, sizes as years."""
+    k = F.col("p_partkey")
+    rows = t.part.select(k.alias("id"), F.col("p_name").alias("name"), F.when(k % 2 == 0, "women").otherwise("men").alias("gender"), F.col("p_brand").alias("school"), F.col("p_size").alias("first_year"), (F.col("p_size") + k % 3).alias("last_year"), F.array().cast("array<string>").alias("groups"))
+    return entity.candidates(rows).select("a", "b", "strategy", F.col("gap").cast("int").alias("gap"), "same_school", "recommendation")
 
 
 def part_edges(t: Tables) -> DataFrame:
@@ -387,9 +480,9 @@ def contradictions(t: Tables) -> DataFrame:
     return entity.contradictions(entity.components(part_edges(t)), different)
 
 
-@register("SELECT user_id, min(event_type) AS event_type FROM events WHERE value > 95 GROUP BY 1 HAVING count(DISTINCT event_type) = 1")
+@register("SELECT o_custkey, min(o_orderpriority) AS o_orderpriority FROM orders WHERE o_totalprice > 400000 OR o_orderkey % 9 = 0 GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 1")
 def unambiguous_match(t: Tables) -> DataFrame:
-    return entity.unambiguous(t.events.filter("value > 95"), "user_id", "event_type")
+    return entity.unambiguous(t.orders.filter("o_totalprice > 400000 OR o_orderkey % 9 = 0"), "o_custkey", "o_orderpriority")
 
 
 @register("""SELECT rule, CAST(c_custkey AS VARCHAR) AS key, c_name AS detail FROM (SELECT 'single_word' AS rule, * FROM customer WHERE c_name NOT LIKE '% %' UNION ALL SELECT 'odd_characters', * FROM customer WHERE regexp_matches(c_name, '[0-9:?*]|—|--') UNION ALL SELECT 'long', * FROM customer WHERE length(c_name) > 50

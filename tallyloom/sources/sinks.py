@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.operators.stages import kept, removed
+
 
 def with_flags_as_integers(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast("int").alias(f.name) if isinstance(f.dataType, T.BooleanType) else F.col(f.name) for f in df.schema])
@@ -28,10 +30,19 @@ def as_json(*columns: str) -> Column:
 
 
 def append_new(df: DataFrame, path: str, key: list[str]) -> int:
-    """Appends the rows whose key the table at path doesn't have; returns how many."""
-    have = df.sparkSession.read.parquet(path).select(*key)
-    new = df.join(have, key, "left_anti").persist()
+    """Appends the rows whose key the table at path doesn't have, the least row of a key that repeats; returns how many.
+
+    The first run makes the table.
+    """
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    rest = [c for c in df.columns if c not in key]
+    new = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_one")).select(*key, *[F.col("_one")[c].alias(c) for c in rest]).select(*df.columns) if rest else df.distinct()
+    if there:
+        new = new.join(spark.read.parquet(path).select(*key), key, "left_anti")
+    new = kept(new)
     n = new.count()
     new.write.mode("append").parquet(path)
-    new.unpersist()
+    removed(new)
     return n

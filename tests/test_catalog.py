@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tallyloom.plans import catalog
@@ -21,7 +22,7 @@ def duck():
 
 def comparable(frame):
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         return int(x) if isinstance(x, float) and x == int(x) else round(x, 9) if isinstance(x, float) else x
 
