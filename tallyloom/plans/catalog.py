@@ -387,15 +387,15 @@ def apply_patches_chain(t: Tables) -> DataFrame:
 
 
 @register("""SELECT o_orderkey AS id, o_custkey AS athlete, CAST(CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 7) THEN 2 WHEN o_custkey = 7 THEN 999 ELSE o_orderkey % 9 END AS INTEGER) AS place,
-CAST(CASE WHEN o_custkey = 7 AND o_orderkey <> (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 7) THEN 1 ELSE 0 END AS INTEGER) AS is_dq, CAST(NULL AS INTEGER) AS leg_idx FROM orders WHERE o_custkey <> -1
-UNION ALL SELECT NULL, -1, 4, 0, NULL""")
+CAST(CASE WHEN o_custkey = 7 AND o_orderkey <> (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 7) THEN 1 ELSE 0 END AS INTEGER) AS is_dq FROM orders
+UNION ALL SELECT 0, -1, 4, 0""")
 def upsert_places(t: Tables) -> DataFrame:
     """The sentinel of athlete 7 becomes 2, athlete 8 stays where it is, and a new one is inserted once of two patches."""
     own = F.col("o_custkey") == 7
     rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("athlete"), F.when(own, 999).otherwise(F.col("o_orderkey") % 9).cast("int").alias("place"), own.cast("int").alias("is_dq"), F.lit(None).cast("int").alias("leg_idx"))
     fixes = [(7, 1, 2, "a", False, None), (7, 2, 3, "a", False, None), (8, 3, 5, "b", False, None), (-1, 4, 4, "c", False, None), (-1, 5, 6, "c", False, None), (-2, 6, 1, "skip", False, None), (-3, 7, 1, None, False, None)]
     fixes = t.spark.createDataFrame(fixes, "athlete long, ordinal int, place int, name string, is_relay boolean, leg_idx int")
-    return patches.upsert_places(rows, fixes, ["athlete"], "id", "place", "name", ["is_dq"])
+    return patches.upsert_places(rows, fixes, ["athlete"], "id", "place", "name", ["is_dq"]).select(F.coalesce("id", F.lit(0)).alias("id"), "athlete", "place", "is_dq")
 
 
 @register("""SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, l_returnflag AS name FROM lineitem WHERE l_orderkey NOT IN (1, 2) UNION ALL SELECT * FROM (VALUES (1, 1, 'Ann'), (1, 2, 'Unknown'), (2, 1, 'Bea'))""")
