@@ -3,8 +3,9 @@
 Candidates are the pairs of fingerprints that the SimHash operator finds (generalised pigeonhole) and, since two texts of
 that similarity often differ in 10 or more of 64 bits, those of bands of minimal hashes of the same shingles. Each
 candidate is verified on the whole shingle sets; verified links make the groups. At first each row is compared with the
-first row of one of its buckets, which connects most of a large group; then all rows of a bucket meet that are not
-connected yet. Which pairs the first step takes thus changes the work, never the groups.
+first row of one of its buckets, then with the first and last rows of all its buckets that it isn't connected with, which
+connects most of a large group; then all rows of a bucket meet that are not connected yet. Which pairs the first steps
+take thus changes the work, never the groups.
 """
 
 from __future__ import annotations
@@ -85,15 +86,32 @@ def shingle_sets(rows: DataFrame, text: str, width: int) -> DataFrame:
 
 
 def bucket_members(found: DataFrame) -> DataFrame:
-    """A written table (row, band, key, first, n): the rows of each bucket of several; band BANDS is the fingerprint."""
+    """A written table (row, band, key, first, last, n): the rows of each bucket of several; band BANDS is the fingerprint."""
     keyed = found.select("row", F.posexplode(F.concat("keys", F.array("fp"))).alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    buckets = keyed.groupBy("band", "key").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("n")).filter("n > 1")
     buckets = written(buckets, "buckets")
     out = written(spread_join(keyed, buckets, ["band", "key"], "n", found.count() * (BANDS + 1)), "members")
     remove(buckets, found.sparkSession)
     return out
 
 
+def hub_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(row, hub): a written table of the rows of buckets of several roots, each with the first and last rows of its
+    buckets that it isn't connected with. At most 2 (BANDS + 1) pairs a row, whatever the bucket's size."""
+    rooted = roots.withColumnRenamed("node", "row")
+    known = members.join(rooted, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    known = written(known, "rooted")
+    open_ = known.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "row").alias("of_first"), F.max_by("root", "row").alias("of_last"), F.count("*").alias("n")).filter("low <> high")
+    open_ = written(open_.drop("low", "high"), "open")
+    met = spread_join(known.select("row", "root", "band", "key", "first", "last"), open_, ["band", "key"], "n", known.count())
+    hubs = F.array_compact(F.array(F.when(F.col("root") != F.col("of_first"), F.col("first")), F.when(F.col("root") != F.col("of_last"), F.col("last"))))
+    pairs = met.select("row", F.explode(hubs).alias("hub")).select(F.greatest("row", "hub").alias("row"), F.least("row", "hub").alias("hub")).distinct()
+    out = written(pairs, "hub-pairs")
+    for table in (known, open_):
+        remove(table, members.sparkSession)
+    return out
+
+
 def open_pairs(found: DataFrame, members: DataFrame, roots: DataFrame, similarity: float, radius: int) -> DataFrame:
     """(row, hub): a written table of all pairs of a bucket that ``roots`` doesn't connect yet and whose sets may be that similar.
 
@@ -120,8 +138,9 @@ def open_pairs(found: DataFrame, members: DataFrame, roots: DataFrame, similarit
     still = written(spread_join(keyed.select("row", "band", "key"), buckets, ["band", "key"], "n", keyed.count()), "still")
     known = written(nodes.drop("fp").join(still.select("row").distinct(), "row", "left_semi"), "known")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = still.withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("row", "band", "key", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    # rows meet what is known of them once a bucket, and are dealt out to pairs of blocks after that
+    dealt = still.join(known, "row").withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("row", "root", "keys", "size", "parities", "band", "key", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     least = (1 - similarity) / (1 + similarity)
 
     def pairs(part: pa.Table) -> pa.RecordBatch:
@@ -156,7 +175,7 @@ def open_pairs(found: DataFrame, members: DataFrame, roots: DataFrame, similarit
             yield pairs(rest)
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    by_bucket = dealt.join(known, "row").repartition(parts, "band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q")
+    by_bucket = dealt.repartition(parts, "band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q")
     out = written(by_bucket.mapInArrow(run, "row long, hub long").distinct(), "rest")
     for table in (nodes, fps, close, keyed, buckets, still, known):
         remove(table, spark)
@@ -200,14 +219,18 @@ def one_of_each(df: DataFrame, identifier: str = "doc_id", text: str = "text", w
     members = bucket_members(found)
     pairs = written(members.filter("row <> first").groupBy("row").agg(F.min("first").alias("hub")), "pairs")
     first = verified(pairs, found, rows, own_text, width, similarity)
-    connected = components(first, "links")
+    edges = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    start = components(first, "links")
+    more = hub_pairs(members, start)
+    by_hub = verified(more, found, rows, own_text, width, similarity)
+    connected = components(edges(start).unionByName(by_hub), "links")
     rest = open_pairs(found, members, connected, similarity, radius)
     second = verified(rest, found, rows, own_text, width, similarity)
-    roots = components(connected.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second), "links")
+    roots = components(edges(connected).unionByName(second), "links")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     grouped = written(found.select("row", *PLACE, order.alias("rank")).join(roots.withColumnRenamed("node", "row"), "row"), "grouped")
     kept = grouped.groupBy("root").agg(F.min("rank").alias("rank")).select("rank.row")
     dropped = written(grouped.select("row", *PLACE).join(kept, "row", "left_anti").select(*PLACE), "dropped")
-    for table in (found, members, pairs, first, connected, rest, second, roots, grouped):
+    for table in (found, members, pairs, first, start, more, by_hub, connected, rest, second, roots, grouped):
         remove(table, spark)
     return back(named(rows, dropped, "left_anti"), names)

@@ -138,24 +138,28 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def hot_hashes(keyed: DataFrame, keys: list[str], weight: str, total: int) -> list[int]:
+    """The hashes of the keys that hold over total / HOT_SHARE rows by ``weight``: fewer than HOT_SHARE of them."""
+    return [r[0] for r in keyed.filter(F.col(weight) * F.lit(HOT_SHARE) > F.lit(total)).select(F.xxhash64(*keys)).distinct().collect()]
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """Inner join of many rows with one row per key, where ``weight`` counts the left rows of each key.
 
     A key with over total / HOT_SHARE rows is hot. As the weights sum to total, there are fewer than HOT_SHARE hot
-    keys, so that their rows can be broadcast whatever the input's size; all others meet in an ordinary shuffle.
+    keys, so that their rows can be broadcast whatever the input's size; all others meet in an ordinary shuffle. Both
+    sides are parted by the hash of the key, so that a cold key of a hot one's hash goes with it.
     """
-    is_hot = F.col(weight) * F.lit(HOT_SHARE) > F.lit(total)
-    hot, cold = right.filter(is_hot), right.filter(~is_hot)
-    heated = left.join(F.broadcast(hot), keys, "inner")
-    cooled = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "inner")
-    return heated.unionByName(cooled)
+    hashes = hot_hashes(right, keys, weight, total)
+    if not hashes:
+        return left.join(right, keys, "inner")
+    is_hot = F.xxhash64(*keys).isin(hashes)
+    return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), keys, "inner").unionByName(left.filter(~is_hot).join(right.filter(~is_hot), keys, "inner"))
 
 
 def with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """edges (a, b) with the m of their a in least (a, m, n), n being its share of total edges; hubs are met by broadcast."""
-    is_hot = F.col("n") * F.lit(HOT_SHARE) > F.lit(total)
-    hot, cold = least.filter(is_hot).select("a", "m"), least.filter(~is_hot).select("a", "m")
-    return edges.join(F.broadcast(hot), "a").unionByName(edges.join(F.broadcast(hot.select("a")), "a", "left_anti").join(cold, "a"))
+    return spread_join(edges, least, ["a"], "n", total).select("a", "b", "m")
 
 
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:

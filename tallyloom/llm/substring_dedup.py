@@ -33,13 +33,13 @@ from tallyloom.llm.shared import as_bytes, give_back, let_go, small_batches, wri
 #: Words of an anchor's gram.
 GRAM = 8
 #: Text of a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Text whose bytes are hashed at a time.
 BLOCK_BYTES = 1 << 19
 #: Hashes in a range, about.
-RANGE = 600_000
+RANGE = 400_000
 #: Chunks that a task of a later pass takes, about.
-CHUNKS_A_TASK = 8
+CHUNKS_A_TASK = 16
 RECORDS = "chunk long, kind int, part int, data binary"
 #: Bases of the two polynomials.
 BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15))
@@ -63,7 +63,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tables(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = powers(int(base), 1 << max(20, (n - 1).bit_length()))
+    up, down = powers(int(base), 1 << max(18, (n - 1).bit_length()))
     return up[:n], down[:n]
 
 

@@ -46,7 +46,7 @@ ALTERED = 0.05
 #: Words, or sentences, that training takes at a time.
 BLOCK = 4000
 #: Words that a worker keeps.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 100_000
 
 
 @dataclass(frozen=True)
@@ -409,7 +409,7 @@ def scored(df: DataFrame, model: Model, text: str = "text", column: str = "score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held_by_worker("toxicity", shared.value, lambda: Scorer(shared.value))
-        for part in slices(batches, f"c{own}", 1 << 20, keeps="toxicity"):
+        for part in slices(batches, f"c{own}", 1 << 19, keeps="toxicity"):
             out = scorer([t or "" for t in part.column(own).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(out)], [*(f"c{i}" for i in range(len(names))), "score"])
 
