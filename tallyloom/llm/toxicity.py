@@ -25,8 +25,18 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import give_back, held_by_worker, let_go, slices, small_batches
 
+#: Chosen by toxicity_settings, as is HALF.
 SPAN, DECAY, POWER = 6, 0.6, 2
-STEPS = [(i, j, k, DECAY ** (k - 3)) for i in range(1, SPAN - 2) for j in range(i + 1, SPAN - 1) for k in range(j + 1, SPAN)]
+#: Where a score of 0.5 lies between the margins of clean documents and the margin of 1.
+HALF = 0.2
+
+
+def steps(span: int, decay: float) -> list[tuple[int, int, int, float]]:
+    """The places of the other three characters of a subsequence after its first, and its weight."""
+    return [(i, j, k, decay ** (k - 3)) for i in range(1, span - 2) for j in range(i + 1, span - 1) for k in range(j + 1, span)]
+
+
+STEPS = steps(SPAN, DECAY)
 #: Subsequences are told apart by a hash of so many bits.
 BITS = 18
 SPACED = re.compile(r"(?<!\S)\w(?:[ \t.*_-]{1,2}\w){2,}(?![^\s.,!?;:])")
@@ -51,13 +61,15 @@ CACHE_ENTRIES = 100_000
 
 @dataclass(frozen=True)
 class Model:
-    """Landmarks with their weights, the machine's bias, and the logistic that makes scores of margins."""
+    """Landmarks with their weights, the machine's bias, the logistic that makes scores of margins, and the margin that
+    few clean documents reach."""
 
     landmarks: tuple[str, ...]
     weights: tuple[float, ...]
     bias: float
     slope: float
     shift: float
+    low: float = 0.0
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
@@ -346,9 +358,9 @@ def fit(documents: list[tuple[str, int]]) -> Model:
     sure = (data.label == 0) | (highest > low)
     slope, _ = logistic(highest[sure], data.label[sure].astype(np.float64))
     slope = max(slope, 1.0)
-    # an altered insult has a lower margin than those learned from: half is 0.3 of the way from clean ones to the margin of 1
-    shift = float(-slope * (0.7 * low + 0.3))
-    return Model(tuple(words), tuple(weights.tolist()), float(w[-1]), slope, shift)
+    # an altered insult has a lower margin than those learned from
+    shift = float(-slope * ((1 - HALF) * low + HALF))
+    return Model(tuple(words), tuple(weights.tolist()), float(w[-1]), slope, shift, float(low))
 
 
 class Scorer:
