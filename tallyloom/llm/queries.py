@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, chat_format, exact_dedup, licenses, packing, simhash, substring_dedup, topk_search, toxicity, warc
+from tallyloom.llm import byte_bpe, chat_format, exact_dedup, importance_resampling, licenses, packing, secret_scan, simhash, source_divergence, substring_dedup, topk_search, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.secret_spans(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    counts = [F.size(secret_scan.of_kind(F.col("spans"), kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.KINDS[:3]]
+    base = secret_scan.listed(secret_scan.of_kind(F.col("spans"), *secret_scan.KINDS[:3]))
+    return out.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_preference_format, op3_exact_dedup, op4_topk_search, op5_substring_dedup, op6_warc, op7_toxicity, op8_best_fit_packing, op9_license_scan, op10_simhash)
+    f.__name__: f for f in (op1_byte_bpe, op2_preference_format, op3_exact_dedup, op4_topk_search, op5_substring_dedup, op6_warc, op7_toxicity, op8_best_fit_packing, op9_license_scan, op10_simhash, op11_secret_scan, op12_source_divergence, op13_importance_resampling)
 }
 
 OP2_SQL = """
@@ -124,4 +139,49 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to FROM groups
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_preference_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_topk_search": OP4_SQL, "op6_warc": OP6_SQL, "op9_license_scan": licenses.oracle()}
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS row, {LOWER_SQL} AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+tokens AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+terms AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS c FROM tokens GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+langs AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(c) AS n FROM terms GROUP BY lang),
+held AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM tokens SEMI JOIN terms USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, CAST(coalesce(sum(c), 0) AS HUGEINT) AS n FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN langs USING (lang) LEFT JOIN held USING (lang, source) GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, t.term, coalesce(h.c, 0) AS c, 1 + (1000000000 * (coalesce(h.c, 0) + 1)) // (g.n + g.v) AS p
+  FROM groups g JOIN terms t ON t.lang = g.lang LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = t.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+all_pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+whole AS (SELECT lang, term, 1 + (1000000000 * (c + 1)) // (n + v) AS q FROM terms JOIN langs USING (lang)),
+apart AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM shares JOIN whole USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM all_pairs
+UNION ALL SELECT * FROM (SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM apart) WHERE rank <= 200
+"""
+
+#: DuckDB has no CRC-32; each distinct word's is folded over its bytes by a table made from the polynomial.
+OP13_SQL = rf"""
+WITH crc_table AS (SELECT list(list_reduce([CAST(i AS BIGINT)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+goals AS (SELECT regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+vocabulary AS (SELECT DISTINCT word FROM (SELECT unnest(words) AS word FROM docs UNION ALL SELECT unnest(words) FROM goals)),
+bytes AS (SELECT word, hex(encode(word)) AS h FROM vocabulary),
+buckets AS (
+  SELECT word, xor(list_reduce([4294967295] || list_transform(range(length(h) // 2), lambda i: CAST(16 * (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS bucket FROM bytes, crc_table),
+own AS (SELECT row, bucket FROM (SELECT row, unnest(words) AS word FROM docs) JOIN buckets USING (word)),
+s AS (SELECT bucket, count(*) AS s FROM own GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(words) AS word FROM goals) JOIN buckets USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT row, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM own JOIN gains USING (bucket) GROUP BY row),
+scored AS (
+  SELECT row, doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (row)),
+ranked AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (row)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_source_divergence": OP12_SQL, "op13_importance_resampling": OP13_SQL, "op2_preference_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_topk_search": OP4_SQL, "op6_warc": OP6_SQL, "op9_license_scan": licenses.oracle()}
