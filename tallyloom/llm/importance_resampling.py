@@ -3,8 +3,8 @@
 A text's features are its runs of words, and a feature's bucket is its CRC-32 modulo the number of buckets. A first
 pass writes, for every batch of documents, one block per bucket: the postings (document, count) of that bucket. The
 blocks then travel to their bucket, where the counts of both corpora meet and give its gain, and the gain times each
-count goes back to the document as a contribution; a document's contributions are summed up by Spark's own
-aggregation. A bucket that holds over 1/1000 of all postings ("the" alone may hold a third) isn't moved into one task:
+count goes back to the document as a contribution, again a block at a time; a batch's blocks, at most one per bucket,
+are summed up document by document. A bucket that holds over 1/1000 of all postings ("the" alone may hold a third) isn't moved into one task:
 its gain, one of fewer than 1000 rows, is broadcast to its blocks instead.
 
 Null and empty texts, and texts without words, have no features, weight 0 and no draw. A null identifier is hashed as
@@ -105,23 +105,34 @@ def postings(df: DataFrame, text: str, identifier: str, buckets: int, longest: i
 
 
 def contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(batch, place, weight) of blocks with their gain. Blocks of a batch mostly come together, so that few rows go out."""
+    """(batch, n, packed) of each block with its gain: 16-bit places and the gain times each count, in 32 bits if they fit."""
+    for rows in batches:
+        out = []
+        for packed, n, gain in zip(rows.column("packed").to_pylist(), rows.column("n").to_pylist(), rows.column("gain").to_pylist(), strict=True):
+            weights = gain * np.frombuffer(packed, "<u4", n, 2 * n).astype("<i8")
+            fits = np.abs(weights).max() < 1 << 31
+            out.append(packed[: 2 * n] + weights.astype("<i4" if fits else "<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([rows.column("batch"), rows.column("n"), pa.array(out, pa.binary())], ["batch", "n", "packed"])
+
+
+def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(batch, place, weight): the contributions to each document of a batch, which come one batch after another."""
 
     def out(at: int, weights: np.ndarray) -> pa.RecordBatch:
         some = np.flatnonzero(weights).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at)), pa.array(some), pa.array(weights[some])], ["batch", "place", "weight"])
 
-    held: dict[int, np.ndarray] = {}
+    now, weights = None, None
     for rows in batches:
-        for at, packed, gain in zip(rows.column("batch").to_pylist(), rows.column("packed").to_pylist(), rows.column("gain").to_pylist(), strict=True):
-            if at not in held:
-                if len(held) >= 16:
-                    yield from (out(*item) for item in held.items())
-                    held.clear()
-                held[at] = np.zeros(BATCH_DOCS + 5000, np.int64)  # slices() gives 5000 rows at most
-            n = len(packed) // 6
-            held[at][np.frombuffer(packed, "<u2", n)] += gain * np.frombuffer(packed, "<u4", n, 2 * n).astype(np.int64)
-    yield from (out(*item) for item in held.items())
+        for at, n, packed in zip(rows.column("batch").to_pylist(), rows.column("n").to_pylist(), rows.column("packed").to_pylist(), strict=True):
+            if at != now:
+                if now is not None:
+                    yield out(now, weights)
+                now, weights = at, np.zeros(BATCH_DOCS + 5000, np.int64)  # slices() gives 5000 rows at most
+            width = len(packed) // n - 2
+            weights[np.frombuffer(packed, "<u2", n)] += np.frombuffer(packed, f"<i{width}", n, 2 * n)
+    if now is not None:
+        yield out(now, weights)
 
 
 def noise(identifier: Column, seed: str) -> Column:
@@ -152,8 +163,9 @@ def resample(df: DataFrame, target: DataFrame, text: str = "text", identifier: s
     gains = gains.drop("n")
     cold = blocks.filter(~is_hot).repartition("bucket").join(gains.filter(~is_hot).hint("shuffle_hash"), "bucket")
     hot = blocks.filter(is_hot).join(F.broadcast(gains.filter(is_hot)), "bucket")
-    columns = ["batch", "packed", "gain"]
-    parts = cold.select(*columns).unionByName(hot.select(*columns)).mapInArrow(contributions, "batch long, place int, weight long")
+    columns = ["batch", "n", "packed", "gain"]
+    parts = cold.select(*columns).unionByName(hot.select(*columns)).mapInArrow(contributions, "batch long, n long, packed binary")
+    parts = parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(sums, "batch long, place int, weight long")
     rows = table.filter("bucket is null").select("batch", "place", F.lit(0).cast("long").alias("weight"), "n_words", "n_features", F.col("_id"))
     summed = rows.unionByName(parts, allowMissingColumns=True).groupBy("batch", "place").agg(F.sum("weight").alias("sum"), F.max("n_words").alias("n_words"), F.max("n_features").alias("n_features"), F.max("_id").alias("_id"))
     mean = F.expr("CASE WHEN n_features = 0 THEN 0L ELSE (sum - pmod(sum, n_features)) DIV n_features END")
