@@ -52,7 +52,7 @@ def individual(text: Column, classes: dict[str, str], schools: dict[str, str]) -
     free = F.filter(words, lambda x: class_of(x).isNull())
     likely = F.filter(free, lambda x: ~x.isin(*BESIDE_MARK) & ~x.rlike("^['’][0-9]{2}$"))
     mark = F.coalesce(F.get(likely, F.lit(0)), F.try_element_at(free, F.lit(-1)))
-    parsed = marks.parse_mark(mark)
+    parsed = marks.let(mark, marks.parse_mark)
     found = F.struct(
         name.alias("name"), names.clean_school(school, schools).alias("school"), F.try_element_at(classed, F.lit(-1)).alias("class"), parsed["num"].alias("mark_num"),
         parsed["cleaned"].alias("mark_str"), parsed["wind_aided"].alias("wind_aided"), foreign.alias("international"), parsed["converted"].alias("converted"),
@@ -68,7 +68,7 @@ def relay(text: Column, schools: dict[str, str]) -> Column:
     """Struct (school, mark_num, mark_str, wind_aided, converted, is_dq, is_dnf) of a relay line after its place."""
     school = F.coalesce(*[part(text, form, 1) for form in RELAY_FORMS], text)
     mark = F.trim(F.coalesce(*[part(text, form, 2) for form in RELAY_FORMS]))
-    parsed, has = marks.parse_mark(mark), lambda word: F.coalesce(F.lower(mark).contains(word), F.lit(False))
+    parsed, has = marks.let(mark, marks.parse_mark), lambda word: F.coalesce(F.lower(mark).contains(word), F.lit(False))
     return F.struct(
         names.clean_school(school, schools).alias("school"), parsed["num"].alias("mark_num"), parsed["cleaned"].alias("mark_str"),
         parsed["wind_aided"].alias("wind_aided"), parsed["converted"].alias("converted"), has("dq").alias("is_dq"), has("dnf").alias("is_dnf"),
@@ -89,27 +89,171 @@ def relay_status(line: Column, schools: dict[str, str]) -> Column:
     """Struct (school, mark_num, mark_str, original_place) of a disqualified or unfinished relay; null for other lines."""
     line, out = F.trim(line), F.lit(None)
     for pattern, place, school, mark in reversed(STATUS_FORMS):
-        parsed = marks.parse_mark(F.trim(F.regexp_extract(line, pattern, mark)) if mark else F.lit(None).cast("string"))
+        parsed = marks.let(F.trim(F.regexp_extract(line, pattern, mark)) if mark else F.lit(None).cast("string"), marks.parse_mark)
         own = F.regexp_extract(line, pattern, place).try_cast("int") if place else F.lit(None).cast("int")
         found = F.struct(names.clean_school(F.trim(F.regexp_extract(line, pattern, school)), schools).alias("school"), parsed["num"].alias("mark_num"), parsed["cleaned"].alias("mark_str"), own.alias("original_place"))
         out = F.when(line.rlike(pattern), found).otherwise(out)
     return out
 
 
+#: A member and the time of a split, the first form that matches; ``y`` marks yards.
+MEMBER_FORMS = (
+    r"(?U)^(\w[\w\s'\-.]+?)\s+(\d+:\d+\.?\d*(?:\s*y)?)$",
+    r"(?U)^(\w[\w\s'\-.]+?)\s+(\d+\.?\d*(?:\s*y)?)$",
+    r"(?U)^(\w[\w\s'\-.]+?)'?\s+c?(\d+\.?\d*)$",
+    r"(?U)^(\w[\w\s'\-.]+?)(\d{2}\.\d+)$",
+)
+
+
+def _resplit(parts: Column, pattern: str) -> Column:
+    return F.flatten(F.transform(parts, lambda x: F.split(x, pattern)))
+
+
+def _four_of_five(parts: Column) -> Column:
+    """Of five parts, the first of the leading four without a digit is joined to the next one."""
+    bare = F.filter(F.sequence(F.lit(1), F.lit(4)), lambda i: ~F.element_at(parts, i).rlike(r"(?U)\d"))
+    at = F.get(bare, F.lit(0))
+    merged = F.concat(F.regexp_replace(F.element_at(parts, at), ",", ""), F.lit(" "), F.element_at(parts, at + 1))
+    return F.when((F.size(parts) == 5) & at.isNotNull(), F.concat(F.slice(parts, 1, at - 1), F.array(merged), F.slice(parts, at + 2, F.lit(4)))).otherwise(parts)
+
+
 def members(text: Column) -> Column:
-    """Array of (name, split_time) of a team's members, ``Name 48.3, Name 47.1`` or without times.
+    """Array of (name, leg_idx, split_time, is_international) of a team's members, with or without times.
 
-    Remarks in brackets, what follows a long dash and ``in heats:`` go; a time that a name follows ends a member.
+    Remarks in brackets, what follows a long dash and ``in heats:`` go. Parts end at a comma before a letter and where
+    a name follows a time; one of five parts that has no time belongs to the next; of three parts, one may hold two
+    names that a quote parts. A part's place is its leg, also where an empty part or one with ``;`` is left out.
     """
-    text = F.regexp_replace(F.trim(text), r",\s*$", "")
+    text = F.regexp_replace(names.stripped(text), r"(?U),\s*$", "")
     text = F.regexp_replace(text, r"(?i)^in\s+heats:\s*", "")
-    text = F.regexp_replace(text, r"\s*\[\s*[^\]]*\s*\]\s+(?=[A-Z])", ", ")
-    text = F.trim(F.regexp_replace(F.regexp_replace(text, r"\s*\[[^\]]*\]", ""), "—.*", ""))
-    pieces = F.split(text, r",\s*(?=[A-Za-z])|(?<=\d)\s+(?=[A-Z])")
-    bare = F.transform(pieces, lambda x: F.regexp_replace(F.regexp_replace(F.replace(F.trim(F.regexp_replace(x, r",+\s*$", "")), F.lit("’"), F.lit("'")), r"^\.{2,}\s*", ""), r"['.]+$", ""))
-    timed = r"^(\w[\w\s'\-.]+?)\s+(\d+(?::\d+)?\.?\d*)\s*y?$"
-    each = F.transform(F.filter(bare, lambda x: x != ""), lambda x: F.struct(F.coalesce(part(x, timed, 1), x).alias("name"), part(x, timed, 2).alias("split_time")))
-    return each
+    text = F.regexp_replace(text, r"(?U)\s*\[\s*[^\]]*\s*\]\s+(?=[A-Z])", ", ")
+    text = names.stripped(F.regexp_replace(names.stripped(F.regexp_replace(text, r"(?U)\s*\[[^\]]*\]", "")), "—.*", ""))
+    parts = _resplit(_four_of_five(F.split(text, r",\s*(?=[A-Za-z])")), r"(?U)(?<=\d)\s+(?=[A-Z])")
+    parts = F.when(F.size(parts) == 3, _resplit(parts, r"'\s*(?=[A-Z])")).otherwise(parts)
+
+    def member(raw: Column, i: Column) -> Column:
+        whole = F.translate(F.regexp_replace(names.stripped(raw), ",+$", ""), "’", "'")
+        whole = names.stripped(F.regexp_replace(names.stripped(whole), r"^\.{2,}\s*", ""))
+        bare = F.regexp_replace(F.regexp_replace(whole, "'+$", ""), r"\.+$", "")
+        name = names.stripped(F.coalesce(*[part(bare, form, 1) for form in MEMBER_FORMS], whole))
+        time = F.coalesce(*[part(bare, form, 2) for form in MEMBER_FORMS])
+        foreign = name.endswith("'")
+        name = F.when(foreign, names.stripped(F.regexp_replace(name, "'+$", ""))).otherwise(name)
+        name = names.stripped(F.regexp_replace(name, r"^\*+|\*+$", ""))
+        return F.struct(name.alias("name"), (i + 1).alias("leg_idx"), F.replace(time, F.lit("y"), F.lit("")).alias("split_time"), foreign.alias("is_international"), whole.alias("whole"))
+
+    found = F.filter(F.transform(parts, member), lambda m: (m["whole"] != "") & ~m["whole"].contains(";"))
+    return F.transform(found, lambda m: m.dropFields("whole"))
+
+
+#: Suffixes of a name that follow a comma.
+SUFFIXES = r"Jr\.|Sr\.|JR\.|SR\.|Jr|Sr|JR|SR|III|II|IV"
+
+
+def indoor_members(text: Column, classes: dict[str, str]) -> Column:
+    """Array of (name, leg_idx, split_time, class) of ``First LAST (SO) 46.91, ...``; a suffix is no member of its own.
+
+    Leading record notes end by `` -- ``, as trailing ones begin; a text without a comma that doesn't look like a name
+    is a note and gives none. Class and time stand in any order.
+    """
+    text = F.regexp_replace(names.stripped(text), r"(?i)^[a-z]*\(", "")
+    text = F.regexp_replace(text, r"^(?:then-)?(?:[A-Z]{2,}(?:,?\s*)?)+--\s*", "")
+    text = F.substring_index(text, " -- ", 1)
+    note = ~text.contains(",") & ~text.rlike(r"^[A-Z][a-z]+\s+[A-Z]")
+    opens, closes = (F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit(""))) for sign in "()")
+    text = F.when(text.endswith(")") & (opens < closes), names.stripped(F.regexp_replace(text, r"\)+$", ""))).otherwise(text)
+    parts = F.filter(F.transform(F.split(text, rf",(?! (?:{SUFFIXES})\b)"), names.stripped), lambda x: x != "")
+
+    def member(x: Column, i: Column) -> Column:
+        code, time = part(x, r"^.*?\(([A-Z]{2})\)", 1), part(x, r"(?U)^.*?\s(\d{1,2}(?::\d+)?\.\d+)", 1)
+        name = F.coalesce(part(x, r"(?U)^(.*?)\s\d{1,2}(?::\d+)?\.\d+", 1), x)
+        name = names.cased(names.stripped(F.regexp_replace(name, r"\([A-Z]{2}\).*$", "")))
+        known = F.try_element_at(F.create_map(*[F.lit(v) for pair in classes.items() for v in pair]), code)
+        return F.struct(name.alias("name"), (i + 1).alias("leg_idx"), time.alias("split_time"), known.alias("class"))
+
+    return F.when(F.coalesce(note | (text == ""), F.lit(True)), F.expr("array()").cast("array<struct<name:string,leg_idx:int,split_time:string,class:string>>")).otherwise(F.transform(parts, member))
+
+
+#: Lines of notes among a team's lines.
+NOTES = (
+    r"(?i)^\s*\([\d.y+\-\sMRWRCRAJWJ:,]+\)\s*$", r"^\s*\(\d+:\d+\.?\d*[y+]?\s*[A-Z]*\)\s*$", r"(?i)^\s*\(\d{4}\.\d+y?\s*MR\)\s*$",
+    r"^\s*\*\s*=", r"^\s*¶\s*=", r"(?i)^\s*\(also under", r"(?i)^\s*\(first school to win", r"(?i)^\s*\(low[-‐‑]altitude", r"(?i)^\s*\([\d.]+y?\s*low[-‐‑]altitude",
+    r"(?i)^\s*\(.*officially\s", r"(?i)^\s*\(superior to", r"(?i)^\s*\(event not contested", r"(?i)^\s*\(but its", r"(?i)but its \w+ leading runners",
+    r"(?i)^\s*\(auto lo[-‐‑]alt", r"(?i)^\s*\(note:", r"^\s*\(North Carolina Central set CR",
+)
+#: What a line in parentheses may hold beside members.
+NO_MEMBERS = (r"(?i)^[\d.y+\-\sMRWRCRAJWJ:]+$", r"(?i)^\d{4}\.\d+y?\s*MR$", r"(?i)^\d{1,2} contestants", r"(?i)^\d+ finalists", r"(?i)^\d+\s*teams", r"^\?$")
+
+
+def is_note(line: Column) -> Column:
+    found = F.lit(False)
+    for pattern in NOTES:
+        found = found | line.rlike(pattern)
+    return found
+
+
+def member_line(line: Column) -> Column:
+    """Struct (content, complete): what a line says of a team's members, and whether it closes their parenthesis.
+
+    The first form that matches counts: a parenthesis of its own, an indented list of names, any indented text that a
+    closing parenthesis may end. content is null for lines with an old place or mark in brackets and for notes.
+    """
+    opened, indented, loose = r"^\s*\(([^)]*)(\)?)\s*[;.]?\s*$", r"^\s+([A-Za-z][A-Za-z\s'\-.]+(?:,\s*[A-Za-z][A-Za-z\s'\-.]+)*)\s*$", r"^\s+([^()]+)(\)?)\s*[;.]?\s*$"
+    inner, closed = names.stripped(F.regexp_extract(line, opened, 1)), F.regexp_extract(line, opened, 2) == ")"
+    barren = F.lit(False)
+    for pattern in NO_MEMBERS:
+        barren = barren | inner.rlike(pattern)
+    text, ends = names.stripped(F.regexp_extract(line, loose, 1)), F.regexp_extract(line, loose, 2) == ")"
+    none, out = F.lit(None).cast("string"), lambda content, complete: F.struct(content.alias("content"), complete.alias("complete"))
+    in_form = F.when(inner == "", out(none, closed)).when(barren, out(none, F.lit(True))).otherwise(out(inner, closed))
+    free = F.when(text == "", out(none, ends)).when(ends | text.rlike("[A-Za-z]"), out(text, ends)).otherwise(out(none, F.lit(False)))
+    bracketed = line.rlike(r"\[\d+\]|\[\d+\.\d+\]")
+    return (
+        F.when(bracketed, out(none, F.lit(False))).when(line.rlike(opened), in_form)
+        .when(line.rlike(indented), out(names.stripped(F.regexp_extract(line, indented, 1)), F.lit(False))).when(line.rlike(loose), free).otherwise(out(none, F.lit(False)))
+    )
+
+
+def status_word(line: Column) -> Column:
+    """dnf, dq or dns of a line of dots that announces it for the next entry; null for other lines."""
+    low = F.lower(line)
+    word = F.when(low.contains("dnf"), F.lit("dnf")).when(low.contains("dq"), F.lit("dq")).when(low.contains("dns") | low.contains("dnc"), F.lit("dns"))
+    return F.when(low.rlike(r"^(…|\.\.\.)"), word)
+
+
+UNKNOWN_TEAM = r"(?i)^([A-Za-z][A-Za-z\s&'\-]+?)\s*\(personnel unknown\)\.?$"
+
+
+def athlete_status(line: Column, schools: dict[str, str]) -> Column:
+    """Struct (name, school, is_international, unknown_team) of the entry that a status line announces; null for others.
+
+    The school is the last group in parentheses, or the one before if the last is a remark; ``School (personnel
+    unknown)`` is a team whose members aren't known.
+    """
+    line = F.regexp_replace(names.stripped(line), r"^[.\s]+", "")
+    head, group = part(line, LAST_GROUP, 1), part(line, LAST_GROUP, 2)
+    remark = F.lit(False)
+    for word in REMARKS:
+        remark = remark | F.lower(group).contains(word)
+    second = remark & head.rlike(LAST_GROUP)
+    name = names.stripped(F.when(second, part(head, LAST_GROUP, 1)).otherwise(head))
+    unknown, foreign = line.rlike(UNKNOWN_TEAM), name.rlike("['’]$")
+    name = names.stripped(F.regexp_replace(F.when(foreign, names.stripped(F.regexp_replace(name, "['’]+$", ""))).otherwise(name), r"^\*+", ""))
+    school = F.when(unknown, F.regexp_extract(line, UNKNOWN_TEAM, 1)).otherwise(F.when(second, part(head, LAST_GROUP, 2)).otherwise(group))
+    found = F.struct(F.when(~unknown, name).alias("name"), names.clean_school(school, schools).alias("school"), (~unknown & foreign).alias("is_international"), unknown.alias("unknown_team"))
+    return F.when(line.rlike(r"^[A-Z][^()]*\([^)]+\)") & group.isNotNull(), found)
+
+
+#: Days of a week, as headers begin dates.
+WEEKDAYS = "(?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)"
+
+
+def header_parts(header: Column) -> Column:
+    """Struct (year, location, date) of ``YYYY * place * Weekday, Month d``: of each kind of part, the last one."""
+    parts = F.transform(F.split(header, r"\*"), names.stripped)
+    last = lambda keep: F.try_element_at(F.filter(parts, keep), F.lit(-1))
+    is_year, is_date = lambda x: x.rlike(r"^\d{4}$"), lambda x: x.rlike(f"(?i)^{WEEKDAYS}")
+    return F.struct(last(is_year).cast("int").alias("year"), last(lambda x: ~is_year(x) & ~is_date(x)).alias("location"), last(lambda x: ~is_year(x) & is_date(x)).alias("date"))
 
 
 def year_header(line: Column) -> Column:
@@ -123,5 +267,10 @@ def location(line: Column) -> Column:
 
 
 def meet_date(line: Column) -> Column:
-    """``Month d`` of a line that begins with a place and a date or with a date alone."""
-    return part(F.trim(line), rf"^\((?:[A-Za-z][A-Za-z\s.\[\],]+[,;]\s*)?({MONTHS}\s+\d{{1,2}})\b", 1)
+    """``Month d`` of a line that begins with a place and a date, or with a date that ``)`` or ``;`` ends."""
+    line = names.stripped(line)
+    date = rf"({MONTHS}\s+\d{{1,2}})"
+    forms = (
+        rf"^\([A-Za-z][A-Za-z\s.\[\]]+(?:,\s*[A-Za-z][A-Za-z\s.]+)?,\s*{date}", rf"^\({date}(?:[–\-]\d+)?(?:\)|;)", rf"^\([A-Za-z][A-Za-z\s.]+;\s*{date}",
+    )
+    return F.regexp_replace(F.coalesce(*[part(line, form, 1) for form in forms]), r"\s+", " ")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ HYPHENS = "[‐‑‒–—]"
 ANNOTATIONS = "[+*;?¶hHiIyY]"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f names it; keeps the code of nested parsers small."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def to_number(text: Column) -> Column:
     """text as a double if it is a plain decimal number, else null."""
     text = F.trim(text)
@@ -53,12 +60,14 @@ def parse_mark(text: Column) -> Column:
     converted if it ends with a plus sign.
     """
     none = text.isNull() | (text == "") | (F.trim(text) == "?") | F.lower(text).isin(*NO_MARK)
-    cleaned = clean_mark(text)
-    time = F.when(F.size(F.split(cleaned, ":")) == 2, to_number(F.split(cleaned, ":")[0]) * F.lit(60.0) + to_number(F.split(cleaned, ":")[1]))
-    number = F.when(cleaned.contains(":"), time).when(cleaned.contains("-") & ~cleaned.startswith("-"), metres(cleaned)).otherwise(to_number(F.regexp_replace(cleaned, "[my]", "")))
+
+    def number(cleaned: Column) -> Column:
+        time = F.when(F.size(F.split(cleaned, ":")) == 2, to_number(F.split(cleaned, ":")[0]) * F.lit(60.0) + to_number(F.split(cleaned, ":")[1]))
+        return F.when(cleaned.contains(":"), time).when(cleaned.contains("-") & ~cleaned.startswith("-"), metres(cleaned)).otherwise(to_number(F.regexp_replace(cleaned, "[my]", "")))
+
     return F.struct(
-        F.when(~none, number).alias("num"),
-        F.when(~none, cleaned).alias("cleaned"),
+        F.when(~none, let(clean_mark(text), number)).alias("num"),
+        F.when(~none, clean_mark(text)).alias("cleaned"),
         F.coalesce(~none & F.lower(text).contains("w"), F.lit(False)).alias("wind_aided"),
         F.coalesce(~none & F.rtrim(text).endswith("+"), F.lit(False)).alias("converted"),
     )

@@ -27,6 +27,25 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends; Spark's trim() knows the space alone."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def cased(text: Column) -> Column:
+    """A name whose last name is in capitals: all words but the first are capitalised, at hyphens and quotes too.
+
+    Names without a word of two capitals or more stay; trailing ``*`` and ``?`` go. Capitalised as the reference's
+    name parser does it for one-word parts; particles in capitals ("DE LA") become "De La".
+    """
+    text = F.regexp_replace(text, r"[*?]+$", "")
+    upper_first = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))
+    one = lambda w: F.when(w.rlike("^(II|III|IV)[.]?$"), w).otherwise(F.array_join(F.transform(F.split(w, r"(?<=[-'’])"), upper_first), ""))
+    words = F.split(squeeze(text), " ")
+    fixed = F.array_join(F.concat(F.slice(words, 1, 1), F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), one)), " ")
+    return F.when(text.rlike(r"(?U)\b[A-ZÀ-Ý]{2,}\b"), fixed).otherwise(text)
+
+
 def mapped(value: Column, aliases: dict[str, str]) -> Column:
     """value's canonical spelling, itself where it has none."""
     if not aliases:
@@ -35,19 +54,27 @@ def mapped(value: Column, aliases: dict[str, str]) -> Column:
 
 
 def clean_school(name: Column, aliases: dict[str, str], year: Column | None = None, splits: list[tuple[set, int, str, str]] = ()) -> Column:
-    """Without dot leaders and trailing marks, by its canonical spelling; a split is (names, year, before, from then)."""
-    name = F.trim(F.regexp_replace(F.regexp_replace(name, r"\.{2,}", ""), r"[*¶]+$", ""))
+    """Without dot leaders and trailing marks, by its canonical spelling; a split is (names, year, before, from then).
+
+    Without a year, or with a null one, a split gives the earlier name.
+    """
+    name = stripped(F.regexp_replace(name, r"\.{2,}", ""))
+    for mark in (r"\*", "¶"):
+        name = stripped(F.regexp_replace(name, f"{mark}+$", ""))
     name = mapped(name, aliases)
-    for names, at, before, after in splits if year is not None else ():
-        name = F.when(name.isin(*names) & (year < at), F.lit(before)).when(name.isin(*names), F.lit(after)).otherwise(name)
+    for names, at, before, after in splits:
+        earlier = F.lit(True) if year is None else F.coalesce(year < at, F.lit(True))
+        name = F.when(name.isin(*names), F.when(earlier, F.lit(before)).otherwise(F.lit(after))).otherwise(name)
     return name
 
 
 def parse_class(text: Column, codes: dict[str, str]) -> Column:
     """The class of a code; else of the first code that the text holds, in order; else null."""
+    text = stripped(text)
     exact = F.try_element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), text)
-    held = [F.when(text.contains(code), F.lit(name)) for code, name in codes.items()]
-    return F.coalesce(exact, *held)
+    held = F.filter(F.array(*map(F.lit, codes)), lambda code: text.contains(code))
+    table = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    return F.coalesce(exact, F.try_element_at(table, F.get(held, F.lit(0))))
 
 
 def name_and_class(text: Column, codes: dict[str, str]) -> Column:

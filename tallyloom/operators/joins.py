@@ -46,3 +46,28 @@ def null_safe_match(a: DataFrame, b: DataFrame, equal: list[str], same: list[str
     for c in same:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     return a.join(b, on).drop(*[f"_{c}" for c in equal + same])
+
+
+def inherited(rows: DataFrame, listing: DataFrame, key: list[str], columns: list[str], blank: list[str]) -> DataFrame:
+    """rows with ``columns`` of the listing's row of their key; without one, ``blank`` become null and the rest stays.
+
+    The listing has a row for each key at most. Values that it holds count also where they are null. A null in the key
+    meets nothing.
+    """
+    other = listing.select(*key, F.lit(True).alias("_met"), *[F.col(c).alias(f"_{c}") for c in columns])
+    met = rows.join(other, key, "left")
+    own = {c: F.when(F.col("_met"), F.col(f"_{c}")) if c in blank else F.when(F.col("_met"), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}
+    return met.withColumns(own).select(*rows.columns)
+
+
+def zipped(left: DataFrame, other: DataFrame, key: list[str], items: str, values: str, item: str, value: str, slots: int) -> DataFrame:
+    """A row for each item of left's array with the value at its place in other's, of unequal length and outer on both.
+
+    Keys without items (or without any row in other) have ``slots`` rows of a null item; values beyond the items go.
+    ``position`` counts from 1.
+    """
+    both = left.join(other, key, "left")
+    listed = F.when(F.size(items) > 0, F.col(items)).otherwise(F.array_repeat(F.lit(None).cast(left.schema[items].dataType.elementType), slots))
+    rest = [c for c in both.columns if c not in (items, values)]
+    rows = both.withColumn("_items", listed).select(*rest, values, F.posexplode("_items").alias("_at", item))
+    return rows.select(*rest, (F.col("_at") + 1).alias("position"), item, F.get(values, F.col("_at")).alias(value))

@@ -71,3 +71,23 @@ def filled(df: DataFrame, group: list[str], order: list[str], values: dict[str,
     """The last value that isn't null of each expression, up to and with each row of its group."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({c: F.last(v, ignorenulls=True).over(w) for c, v in values.items()})
+
+
+def padded(df: DataFrame, slots: Column, name: str) -> DataFrame:
+    """A row for each of the slots 1, 2, ... of a row; where ``slots`` is 0, the row once, with a null slot."""
+    return df.withColumn(name, F.explode_outer(F.when(slots > 0, F.sequence(F.lit(1), slots))))
+
+
+def with_next_row(df: DataFrame, group: list[str], order: list[str], takes: Column, value: Column, name: str) -> DataFrame:
+    """Rows that ``takes`` picks get ``value`` of the row behind them if that isn't null, and that row goes.
+
+    A row that is itself taken takes none: of rows that follow one another, the first takes, as in a scan.
+    """
+    w = Window.partitionBy(*group).orderBy(*order)
+    ahead = df.withColumns({"_takes": F.coalesce(takes, F.lit(False)), "_value": value}).withColumn("_next", F.lead("_value").over(w))
+    ahead = ahead.withColumn("_can", F.col("_takes") & F.col("_next").isNotNull())
+    # In a run of rows that could take, every second one is taken itself.
+    ahead = ahead.withColumn("_run", F.sum(F.when(F.col("_can"), F.lit(0)).otherwise(F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy(*group, "_run", "_can").orderBy(*order))
+    ahead = ahead.withColumn("_does", F.col("_can") & (place % 2 == 1)).withColumn("_gone", F.coalesce(F.lag("_does").over(w), F.lit(False)))
+    return ahead.filter("NOT _gone").withColumn(name, F.when(F.col("_does"), F.col("_next"))).drop("_takes", "_value", "_next", "_can", "_run", "_does", "_gone")

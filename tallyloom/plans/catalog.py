@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import lines, marks, names
+from tallyloom.functions.tables import CLASSES
 from tallyloom.operators import aggregates, entity, joins, patches, quality, query, windows
+from tallyloom.plans import documents, pages, profiles  # noqa: F401  they register their queries
+from tallyloom.plans.registry import ORACLE_SQL, QUERIES, Tables, register  # noqa: F401
 from tallyloom.sources import readers
 from tallyloom.streaming import sessions
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-#: Class codes.
-CLASSES = {"Fr": "freshman", "So": "sophomore", "Jr": "junior", "Sr": "senior", "Fr-Sr": "senior", "So-Jr": "junior", "Jr-Sr": "senior", "FR": "freshman", "SO": "sophomore", "JR": "junior", "SR": "senior", "fr": "freshman"}
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return readers.parquet(self.spark, self.folder, name)
-
-
-def register(sql: str | None) -> Callable:
-    """Registers a function of Tables under its name."""
-
-    def add(f: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 ORDER_PAGE = query.Spec(equals={"o_orderstatus": "F", "o_orderpriority": None}, at_least={"o_totalprice": 1000.0}, order=(("o_totalprice", True), ("o_orderkey", False)), limit=100, offset=100)
 
