@@ -7,7 +7,10 @@ their pairs of distinct words. It is a sum of powers of inner products, hence po
 
 Labels are known by document, so that training picks sentences: in each round the machine learns from one sentence of
 each toxic document, the one with the highest margin so far, and its others beyond what clean ones reach, against all
-sentences of clean documents. Landmarks are stretches of one word of these sentences. A document is as toxic as its most toxic sentence.
+sentences of clean documents. Landmarks are stretches of one word, or of two words of one sentence: first those that toxic
+documents hold more often than chance allows (evidence()), as many as these documents need, then the words of those
+sentences. The kernel of a stretch of two words with a sentence is the product of both words' kernels with it. A document
+is as toxic as its most toxic sentence.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from math import lgamma, log
 from zlib import crc32
 
 import numpy as np
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import give_back, held_by_worker, let_go, slices, small_batches
 
-#: Chosen by toxicity_settings, as is HALF.
+#: Chosen by toxicity_settings, as are HALF and RIDGE.
 SPAN, DECAY, POWER = 6, 0.6, 2
 #: Where a score of 0.5 lies between the margins of clean documents and the margin of 1.
 HALF = 0.2
@@ -51,6 +55,13 @@ TOXIC_SAMPLE, CLEAN_SAMPLE = 1200, 1200
 LANDMARKS, ROUNDS = 144, 4
 #: How much more frequent in toxic documents a subsequence must be to tell something before the first round.
 TELLING = 4
+#: Words and pairs of words that stand out: share of false ones among those taken, by how much more frequent they are, and
+#: how many are taken at most; pairs are counted by a hash of so many bits.
+FALSE_SHARE, APART, MOST_WORDS, MOST_PAIRS, PAIR_BITS = 0.05, 3, 400, 100, 22
+#: A word counts toward a stretch of two words from this kernel on.
+LIKE = 0.25
+#: The machine's ridge times the number of toxic documents, as each has so much less say the more there are.
+RIDGE = 0.07
 #: Weight of landmarks with inserted characters, against 1 for the sentences of toxic documents.
 ALTERED = 0.05
 #: Words, or sentences, that training takes at a time.
@@ -70,6 +81,8 @@ class Model:
     slope: float
     shift: float
     low: float = 0.0
+    pairs: tuple[tuple[str, str], ...] = ()
+    pair_weights: tuple[float, ...] = ()
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
@@ -164,19 +177,46 @@ def altered(word: str, rng: random.Random) -> list[str]:
     return inserted + [word[:i] + word[i - 1] + word[i:] for i in range(1, len(word), 2)]
 
 
-def apart(documents: list[set[str]]) -> list[int]:
-    """Which documents are no near copies of earlier ones: those share two of their least hashes, in any of six ways."""
-    seen, out = set(), []
+def apart(documents: list[set[str]], alike: float = 0.7) -> list[int]:
+    """Which documents are no near copies of earlier ones: such share ``alike`` of their words. Those that share two of
+    their least hashes, in any of six ways, are compared."""
+    seen: dict[tuple, list[int]] = {}
+    out = []
     for k, d in enumerate(documents):
         codes = np.array([crc32(w.encode()) for w in d] or [0], np.uint64)
         least = [int((codes * np.uint64(odd) & np.uint64(0xFFFFFFFF)).min()) for odd in range(0x9E3779B1, 0x9E3779B1 + 24, 2)]
         keys = set(zip(range(6), least[::2], least[1::2], strict=True))
-        if not keys & seen:
+        if not any(len(d & documents[x]) >= alike * len(d | documents[x]) for x in {x for key in keys for x in seen.get(key, ())}):
             out.append(k)
-        seen |= keys
+            for key in keys:
+                seen.setdefault(key, []).append(k)
     return out
 
 
+def beyond_chance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Which things, held by so many toxic and clean documents, stand out.
+
+    If labels were dealt by chance, a thing that n documents hold would be held by a binomial number of toxic ones. Of
+    all things of the same n, those above a count are taken if chance makes at most FALSE_SHARE of them, and if they
+    are APART times more frequent in toxic documents. Many rare things may thus tell what one of them can't.
+    """
+    rate, total = n_toxic / (n_toxic + n_clean), toxic.astype(np.int64) + clean
+    out = np.zeros(len(total), bool)
+    often = toxic * n_clean > APART * clean.astype(np.int64) * n_toxic
+    for n in np.unique(total[often & (toxic > 1)]).tolist():
+        of_n = np.flatnonzero(total == n)
+        counts = np.bincount(toxic[of_n], minlength=n + 1)
+        logs = np.array([lgamma(n + 1) - lgamma(a + 1) - lgamma(n - a + 1) + a * log(rate) + (n - a) * log(1 - rate) for a in range(n + 1)])
+        share, middle = np.exp(logs), int(n * rate) + 1
+        # things that tell nothing are as many as the lower half says
+        idle = min(len(of_n), (counts[:middle].sum() + 1) / share[:middle].sum())
+        chance, found = np.cumsum(share[::-1])[::-1] * idle, np.cumsum(counts[::-1])[::-1]
+        fits = np.flatnonzero((found > 0) & (chance <= FALSE_SHARE * found))
+        if len(fits):
+            out[of_n[toxic[of_n] >= fits[0]]] = True
+    return out & often & (toxic > 1)
+
+
 def squared_hinge(samples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
     """Newton's method on ridge |w|^2 / 2 + mean of the squared hinge losses; the last weight is the bias.
 
@@ -271,6 +311,79 @@ class Sentences:
         z = np.where((z > 3) & (held[1] / toxic > TELLING * held[0] / clean), z, 0)
         return np.concatenate([np.bincount(word, weights=weight * z[own], minlength=BLOCK) for word, own, weight in self.features])[: len(self.vocabulary)]
 
+    def pair_codes(self, document: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of distinct words within a document's sentences, as word * vocabulary + word, and their hashes."""
+        a, b = np.searchsorted(self.document, [document, document + 1])
+        found = []
+        for i in range(a, b):
+            words = np.sort(self.word[self.first[i] : self.first[i + 1]])
+            low, high = np.triu_indices(len(words), 1)
+            found.append(words[low] * len(self.vocabulary) + words[high])
+        code = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        return code, ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+    def covering(self, document: np.ndarray, thing: np.ndarray, most: int) -> list[int]:
+        """Of things, given with the toxic documents that hold them: those that are needed to reach all of these, the one
+        that reaches most others first; of equal ones the smaller."""
+        order = np.lexsort((document, thing))
+        document, thing = document[order], thing[order]
+        ids, first = np.unique(thing, return_index=True)
+        held = np.split(document, first[1:])
+        open_, out = np.ones(len(self.label), bool), []
+        gain = np.array([len(h) for h in held], np.int64)
+        while len(out) < most and len(gain) and (k := int(gain.argmax())) >= 0 and gain[k] > 0:
+            now = int(open_[held[k]].sum())
+            if now < gain[k]:  # some have been reached since
+                gain[k] = now
+                continue
+            out.append(int(ids[k]))
+            open_[held[k]] = False
+            gain[k] = 0
+        return out
+
+    def evidence(self) -> tuple[list[int], list[tuple[int, int]]]:
+        """The words, and pairs of words of one sentence, that stand out in toxic documents and that these need."""
+        n_toxic, n_clean, size = int((self.label == 1).sum()), int((self.label == 0).sum()), len(self.vocabulary)
+        held = np.unique(np.repeat(self.document, np.diff(self.first)) * size + self.word)
+        document, word = held // size, held % size
+        in_toxic = self.label[document] == 1
+        out = beyond_chance(np.bincount(word[in_toxic], minlength=size), np.bincount(word[~in_toxic], minlength=size), n_toxic, n_clean)
+        taken = out[word] & in_toxic
+        words = self.covering(document[taken], word[taken], MOST_WORDS)
+        # Pairs are looked for in what these words leave open.
+        open_ = np.setdiff1d(np.flatnonzero(self.label == 1), document[in_toxic & np.isin(word, words)])
+        if len(open_) < 10:
+            return words, []
+        counts = np.zeros((2, 1 << PAIR_BITS), np.uint16)
+        for k in [*open_.tolist(), *np.flatnonzero(self.label == 0).tolist()]:
+            counts[int(self.label[k]), np.unique(self.pair_codes(k)[1])] += 1
+        seen = np.flatnonzero(counts[1] > 1)
+        found = seen[beyond_chance(counts[1, seen].astype(np.int64), counts[0, seen].astype(np.int64), len(open_), n_clean)]
+        documents, codes = [], []
+        for k in open_.tolist():
+            code, hashed = self.pair_codes(k)
+            code = code[np.isin(hashed, found)]
+            documents.append(np.full(len(code), k))
+            codes.append(code)
+        code, document = np.concatenate(codes), np.concatenate(documents)
+        frequent = np.unique(code, return_counts=True)
+        often = np.isin(code, frequent[0][frequent[1] > 1])
+        return words, [divmod(c, size) for c in self.covering(document[often], code[often], MOST_PAIRS)]
+
+    def pair_features(self, pairs: list[tuple[int, int]]) -> np.ndarray:
+        """The product kernel of each sentence with each pair of words."""
+        ends = sorted({w for pair in pairs for w in pair})
+        at = {w: i for i, w in enumerate(ends)}
+        by_word = self.by_word(Landmarks([self.vocabulary[w] for w in ends]), lambda k: np.where(k >= LIKE, k, 0))
+        left, right = [at[a] for a, _ in pairs], [at[b] for _, b in pairs]
+        out = np.empty((len(self.document), len(pairs)), np.float32)
+        for a in range(0, len(out), BLOCK):
+            first = self.first[a : a + BLOCK + 1]
+            n = min(BLOCK, len(out) - a)
+            sums = np.add.reduceat(by_word[self.word[first[0] : first[n]]], first[:n] - first[0], axis=0)
+            out[a : a + n] = sums[:, left] * sums[:, right]
+        return out
+
     def stretches(self, by_word: np.ndarray, some: np.ndarray) -> list[int]:
         """The word of each given sentence that tells most, those first that most others, but no chosen one, are like.
 
@@ -305,6 +418,7 @@ def fit(documents: list[tuple[str, int]]) -> Model:
     none = Model((), (), 0.0, 0.0, float(np.log(rate / (1 - rate))))
     if not (data.label == 1).any() or not (data.label == 0).any():
         return none
+    none = replace(none, shift=min(none.shift, -1.0))  # labels of both kinds but no evidence: nothing is rejected
     clean, y = ~data.toxic, np.where(data.toxic, 1.0, -1.0)
     in_clean = np.zeros(len(data.vocabulary))
     held = np.unique(np.repeat(data.document, np.diff(data.first)) * len(data.vocabulary) + data.word)  # documents' distinct words
@@ -326,15 +440,19 @@ def fit(documents: list[tuple[str, int]]) -> Model:
         return witness, over[witness], weight
 
     rng, by_word = random.Random(0), data.telling()
-    margin = np.maximum.reduceat(by_word[data.word], data.first[:-1])
+    telling, pairs = data.evidence()
+    by_word[telling] += 100
+    pair_values = data.pair_features(pairs) if pairs else np.zeros((len(y), 0), np.float32)
+    margin = np.maximum.reduceat(by_word[data.word], data.first[:-1]) + 100 * pair_values.max(axis=1, initial=0)
     witness, beyond, weight = chosen(margin, 0.1)
-    toxic = data.stretches(by_word, witness[beyond])[: LANDMARKS * 2 // 3]
+    own = lambda found: [*telling, *[w for w in found if w not in set(telling)][: max(LANDMARKS * 2 // 3 - len(telling), LANDMARKS // 3)]]
+    toxic = own(data.stretches(by_word, witness[beyond]))
+    if not toxic and not pairs:
+        return none
     for _ in range(ROUNDS):
-        if not toxic:
-            return none
-        near = data.by_word(Landmarks([data.vocabulary[w] for w in toxic]), lambda k: k.max(axis=1))
+        near = data.by_word(Landmarks([data.vocabulary[w] for w in toxic]), lambda k: k.max(axis=1)) if toxic else np.ones(len(data.vocabulary))
         others = np.setdiff1d(np.flatnonzero(in_clean), toxic)
-        others = others[np.argsort(-near[others] * np.log1p(in_clean[others]), kind="stable")][: LANDMARKS - len(toxic)]
+        others = others[np.argsort(-near[others] * np.log1p(in_clean[others]), kind="stable")][: max(LANDMARKS - len(toxic), LANDMARKS // 3)]
         words = [data.vocabulary[w] for w in [*toxic, *others.tolist()]]
         marks = Landmarks(words)
         variants = sorted({a for w in toxic for a in altered(data.vocabulary[w], rng)}.difference(data.vocabulary))
@@ -345,13 +463,15 @@ def fit(documents: list[tuple[str, int]]) -> Model:
         keep = value > 1e-3 * value.max()
         nystroem = vector[:, keep] / np.sqrt(value[keep])  # sentences map to their kernel with the landmarks @ nystroem
         mapped_words = data.by_word(marks, lambda k: (k @ nystroem).astype(np.float32))  # noqa: B023
-        mapped = data.sums(mapped_words)
-        more = like[clear].astype(np.float64) @ nystroem  # each a sentence of its own
-        w = squared_hinge([(mapped, y, weight), (more, np.ones(len(more)), np.full(len(more), ALTERED / max(1, len(more))))])
-        weights, margin = nystroem @ w[:-1], mapped @ w[:-1] + w[-1]
+        mapped = np.concatenate([data.sums(mapped_words), pair_values], axis=1)
+        more = np.pad(like[clear].astype(np.float64) @ nystroem, ((0, 0), (0, len(pairs))))  # each a sentence of its own
+        w = squared_hinge([(mapped, y, weight), (more, np.ones(len(more)), np.full(len(more), ALTERED / max(1, len(more))))], RIDGE / (data.label == 1).sum())
+        n = int(keep.sum())
+        weights, margin = nystroem @ w[:n], mapped @ w[:-1] + w[-1]
         witness, beyond, weight = chosen(margin, 0.01)
-        new = data.stretches(mapped_words @ w[:-1], witness[beyond])
-        toxic = [*new, *(x for x in toxic if x not in set(new))][: LANDMARKS * 2 // 3]
+        found = data.stretches(mapped_words @ w[:n], witness[beyond])
+        del mapped, mapped_words
+        toxic = own([*found, *(x for x in toxic if x not in set(found))])
     highest = data.highest(margin)
     # documents whose label no sentence bears out are left out of the scale
     low = np.quantile(highest[data.label == 0], 0.995)
@@ -360,27 +480,47 @@ def fit(documents: list[tuple[str, int]]) -> Model:
     slope = max(slope, 1.0)
     # an altered insult has a lower margin than those learned from
     shift = float(-slope * ((1 - HALF) * low + HALF))
-    return Model(tuple(words), tuple(weights.tolist()), float(w[-1]), slope, shift, float(low))
+    names = tuple((data.vocabulary[a], data.vocabulary[b]) for a, b in pairs)
+    return Model(tuple(words), tuple(weights.tolist()), float(w[-1]), slope, shift, float(low), names, tuple(w[n:-1].tolist()))
 
 
 class Scorer:
     """Scores texts by a model; what it knows of tokens and words stays with the worker."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.landmarks, self.tokens, self.known = model, Landmarks(list(model.landmarks)), Words(), {}
+        self.model, self.landmarks, self.tokens, self.known, self.hits = model, Landmarks(list(model.landmarks)), Words(), {}, {}
         self.weights = np.array(model.weights, np.float32)
+        ends = sorted({w for pair in model.pairs for w in pair})
+        self.ends, at = Landmarks(ends), {w: i for i, w in enumerate(ends)}
+        self.pairs = [(at[a], at[b], weight) for (a, b), weight in zip(model.pairs, model.pair_weights, strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        for a in range(0, len(words), BLOCK):
+            part = words[a : a + BLOCK]
+            found = subsequences(part)
+            self.known.update(zip(part, (self.landmarks.kernel(len(part), *found) @ self.weights).tolist(), strict=True))
+            if self.pairs:
+                for i, end in zip(*np.nonzero((like := self.ends.kernel(len(part), *found)) >= LIKE), strict=True):
+                    self.hits.setdefault(part[i], []).append((int(end), float(like[i, end])))
+
+    def _paired(self, sentence: list[str]) -> float:
+        """What the stretches of two words add to a sentence."""
+        sums: dict[int, float] = {}
+        for w in sentence:
+            for end, like in self.hits.get(w, ()):
+                sums[end] = sums.get(end, 0.0) + like
+        return sum(sums[a] * sums[b] * weight for a, b, weight in self.pairs if a in sums and b in sums) if len(sums) > 1 else 0.0
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         split = [sentences(t, self.tokens) for t in texts]
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        new = sorted({w for d in split for s in d for w in s}.difference(self.known)) if self.model.landmarks else []
-        for a in range(0, len(new), BLOCK):
-            part = new[a : a + BLOCK]
-            kernel = self.landmarks.kernel(len(part), *subsequences(part))
-            self.known.update(zip(part, (kernel @ self.weights).tolist(), strict=True))
-        value = self.known.__getitem__ if self.model.landmarks else lambda w: 0.0
-        return self.model.score(np.array([max((sum(map(value, s)) for s in d), default=0.0) for d in split]) + self.model.bias)
+            self.hits.clear()
+        learned = bool(self.model.landmarks or self.pairs)
+        self._learn(sorted({w for d in split for s in d for w in s}.difference(self.known)) if learned else [])
+        value = self.known.__getitem__ if learned else lambda w: 0.0
+        of = (lambda s: sum(map(value, s)) + self._paired(s)) if self.pairs else (lambda s: sum(map(value, s)))
+        return self.model.score(np.array([max(map(of, d), default=0.0) for d in split]) + self.model.bias)
 
 
 def is_held_out(identifier: str) -> Column:
