@@ -160,12 +160,9 @@ def sum_of_squares(lengths: list[int], capacity: int, any_fit: bool = False) ->
     return bins, offsets
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each length: all are packed longest first; the rule leaves bins open that it has no pieces for
-    any more, so that the pieces of bins that aren't full (a twelfth, about) are then taken out and packed among
-    themselves, longest first, without opening a bin where an open one has room."""
-    lengths = np.asarray(lengths, np.int64)
-    order = np.argsort(-lengths, kind="stable")
+def _by_rule_and_repair(lengths: np.ndarray, capacity: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rule leaves bins open that it has no pieces for any more, so that the pieces of bins that aren't full (a
+    twelfth, about) are then taken out and packed among themselves, without opening a bin where an open one has room."""
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     bins[order], offsets[order] = sum_of_squares(lengths[order].tolist(), capacity)
     fill = np.zeros(int(bins.max(initial=-1)) + 1, np.int64)
@@ -179,6 +176,18 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
+def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each length, longest first by the sum of squares, in the better of two ways: as the rule says
+    with a repair of what it leaves open, or never opening a bin where an open one has room. Of equal numbers of bins
+    the first way counts."""
+    lengths = np.asarray(lengths, np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    bins, offsets = _by_rule_and_repair(lengths, capacity, order)
+    other, at = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    other[order], at[order] = sum_of_squares(lengths[order].tolist(), capacity, any_fit=True)
+    return (other, at) if other.max(initial=-1) < bins.max(initial=-1) else (bins, offsets)
+
+
 def packed(table: DataFrame, capacity: int = 1024, shard: int = SHARD) -> DataFrame:
     """table's columns (length among them, 1 to capacity) with sequence_id and offset.
 
