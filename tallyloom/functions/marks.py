@@ -91,6 +91,29 @@ def parse_indoor_mark(text: Column, kind: Column) -> Column:
     return F.struct(F.when(~none, number).alias("num"), F.when(~none, cleaned).alias("cleaned"), F.coalesce(~none & bare.endswith("c"), F.lit(False)).alias("converted"))
 
 
+def parse_missing_mark(text: Column) -> Column:
+    """Struct (num, cleaned, altitude, converted) of a mark entered by hand: ``A`` or ``(A)`` at its end is altitude, ``+``
+    or ``c`` before it a conversion; times, metres, centimetres, feet-inches or a plain number; else no number."""
+    original = F.trim(text)
+    none = text.isNull() | (text == "") | (original == "?")
+    altitude = original.rlike(r"A\)?$")
+    bare = F.regexp_replace(original, r"\s*\(?A\)?$", "")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(bare, r"[+c]+$", ""), "y+$", ""))
+    group = lambda form, k: F.regexp_extract(plain, form, k).try_cast("double")
+    time, length, feet = r"^(\d+):(\d+\.?\d*)$", r"^(\d+\.?\d*)(m|cm)?$", r"^(\d+)-(\d+\.?\d*)$"
+    number = (
+        F.when(plain.rlike(time), group(time, 1) * F.lit(60.0) + group(time, 2)).when(plain.rlike(r"cm$") & plain.rlike(length), group(length, 1) / F.lit(100.0))
+        .when(plain.rlike(length), group(length, 1)).when(plain.rlike(feet), group(feet, 1) * F.lit(FOOT) + group(feet, 2) * F.lit(INCH)).otherwise(to_number(plain))
+    )
+    return F.struct(F.when(~none, number).alias("num"), F.when(none, text).otherwise(original).alias("cleaned"), F.coalesce(~none & altitude, F.lit(False)).alias("altitude"), F.coalesce(~none & bare.rlike("[+c]$"), F.lit(False)).alias("converted"))
+
+
+def cast_prefix(text: Column) -> Column:
+    """The number that a text begins with, 0 if it begins with none, as a cast of loose databases does it; null for null."""
+    found = F.regexp_extract(text, r"^\s*([+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?))", 1)
+    return F.when(text.isNotNull(), F.coalesce(F.trim(found).try_cast("double"), F.lit(0.0)))
+
+
 def parse_wind(text: Column) -> Column:
     return F.regexp_extract(text, r"(?i)wind\s+([+-]?\d+\.?\d*)", 1).try_cast("double")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import names
 from tallyloom.functions.marks import span_gap
+from tallyloom.operators.joins import hub_join
 from tallyloom.operators.stages import kept, removed
 from tallyloom.operators.windows import numbered
 
@@ -122,17 +123,19 @@ def candidates(profiles: DataFrame, far: int = 8) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for edges (a, b), root being the smallest node of the component.
 
-    Large-star and small-star steps until nothing changes; each round is a table in the checkpoint folder.
+    Large-star and small-star steps until nothing changes; each round is a table in the checkpoint folder. Hubs, whose
+    edges are a great share of all, meet their least neighbour by broadcast.
     """
     now, before = kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     for _ in range(most_rounds):
         up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        least = now.unionByName(up).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        # AQE splits what a hub gathers in these joins
-        large = kept(up.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        own = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        several = large.join(own.filter("n > 1"), "a").select(F.explode(F.array("b", "a")).alias("a"), F.col("m").alias("b"))
+        least = kept(now.unionByName(up).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
+        large = kept(hub_join(up, least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        own = kept(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        several = hub_join(large, own.filter("n > 1"), "a", "n").select(F.explode(F.array("b", "a")).alias("a"), F.col("m").alias("b"))
         after = kept(own.filter("n = 1").select("a", F.col("m").alias("b")).unionByName(several).filter("a <> b").distinct())
+        removed(least)
+        removed(own)
         removed(now)
         removed(large)
         now = after

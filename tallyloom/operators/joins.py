@@ -6,13 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def lookup(df: DataFrame, dimension: DataFrame, key: list[str]) -> DataFrame:
-    """Left join to a dimension; if its key repeats, the least row of it is taken, so that no row of df is multiplied."""
+def lookup(df: DataFrame, dimension: DataFrame, key: list[str], unique: bool = False) -> DataFrame:
+    """Left join to a dimension; if its key repeats, the least row of it is taken, so that no row of df is multiplied;
+    with ``unique``, a repeated key fails the job instead."""
     rest = [c for c in dimension.columns if c not in key]
-    one = dimension.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_one")) if rest else dimension.distinct()
+    one = dimension.groupBy(*key).agg(F.count("*").alias("_n"), F.min(F.struct(*rest)).alias("_one")) if rest else dimension.distinct()
+    if unique and rest:
+        failed = F.raise_error(F.concat(F.lit("a key twice: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in key])))
+        one = one.withColumn(key[0], F.when(F.col("_n") > 1, failed.cast(dimension.schema[key[0]].dataType)).otherwise(F.col(key[0])))
     return df.join(one.select(*key, *[F.col("_one")[c].alias(c) for c in rest]), key, "left")
 
 
+#: Keys that hold more than 1/HUB_SHARE of the rows of a join meet their one row by broadcast; there are fewer than that.
+HUB_SHARE = 1000
+
+
+def hub_join(rows: DataFrame, one: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of rows with one row per key, ``weight`` being how many rows of the key there are.
+
+    Keys of a great share go to all tasks, so that their rows stay where they are; all others meet in a shuffle.
+    """
+    total = one.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hubs = [r[0] for r in one.filter(F.col(weight) * HUB_SHARE > total).select(F.xxhash64(key)).distinct().collect()] if total > HUB_SHARE else []
+    if not hubs:
+        return rows.join(one, key)
+    is_hub = F.xxhash64(key).isin(hubs)
+    return rows.filter(is_hub).join(F.broadcast(one.filter(is_hub)), key).unionByName(rows.filter(~is_hub).join(one.filter(~is_hub), key))
+
+
 def orphans(df: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
     return df.join(other, key, "left_anti")
 

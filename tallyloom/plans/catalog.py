@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import lines, marks, names
 from tallyloom.functions.tables import CLASSES
 from tallyloom.operators import aggregates, entity, joins, patches, quality, query, windows
-from tallyloom.plans import documents, pages, profiles  # noqa: F401  they register their queries
+from tallyloom.plans import documents, pages, profiles, upkeep  # noqa: F401  they register their queries
 from tallyloom.plans.registry import ORACLE_SQL, QUERIES, Tables, register  # noqa: F401
 from tallyloom.sources import readers
 from tallyloom.streaming import sessions
