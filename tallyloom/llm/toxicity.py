@@ -50,7 +50,7 @@ BETWEEN = re.compile(r"(?<=[^\W\d_])[013457@$!|](?=[^\W\d_])")
 #: A sentence ends after so many words, if no sign ends it before.
 SENTENCE = 12
 #: Documents of each label that training takes, by hash of their identifiers.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1200, 1200
+TOXIC_SAMPLE, CLEAN_SAMPLE = 600, 900
 #: Landmarks, two thirds of them from toxic sentences at most, and rounds of training.
 LANDMARKS, ROUNDS = 144, 4
 #: How much more frequent in toxic documents a subsequence must be to tell something before the first round.
@@ -271,15 +271,23 @@ class Sentences:
         self.toxic = self.label[self.document] == 1
         self.vocabulary = sorted({w for s in lists for w in s})
         number = {w: i for i, w in enumerate(self.vocabulary)}
-        self.word = np.array([number[w] for s in lists for w in s], np.int64)
         self.first = np.cumsum([0, *map(len, lists)])
-        parts = [subsequences(self.vocabulary[a : a + BLOCK]) for a in range(0, len(self.vocabulary), BLOCK)]
-        self.features = [(w.astype(np.int32), own.astype(np.int32), weight.astype(np.float32)) for w, own, weight in parts]
+        self.word = np.fromiter((number[w] for s in lists for w in s), np.int64, int(self.first[-1]))
+        del split, lists, known
+        self.features = []
+        for a in range(0, len(self.vocabulary), BLOCK):
+            w, own, weight = subsequences(self.vocabulary[a : a + BLOCK])
+            self.features.append((w.astype(np.int32), own.astype(np.int32), weight.astype(np.float32)))
 
     def by_word(self, marks: Landmarks, of) -> np.ndarray:
         """of(kernel with the landmarks) for all words, a block of them at a time."""
-        sizes = [min(BLOCK, len(self.vocabulary) - a) for a in range(0, len(self.vocabulary), BLOCK)]
-        return np.concatenate([of(marks.kernel(n, *part)) for n, part in zip(sizes, self.features, strict=True)])
+        out = None
+        for k, part in enumerate(self.features):
+            own = of(marks.kernel(min(BLOCK, len(self.vocabulary) - k * BLOCK), *part))
+            if out is None:
+                out = np.empty((len(self.vocabulary), *own.shape[1:]), own.dtype)
+            out[k * BLOCK : k * BLOCK + len(own)] = own
+        return out
 
     def sums(self, by_word: np.ndarray) -> np.ndarray:
         """by_word summed over the words of each sentence, some thousand sentences at a time."""
@@ -463,7 +471,8 @@ def fit(documents: list[tuple[str, int]]) -> Model:
         keep = value > 1e-3 * value.max()
         nystroem = vector[:, keep] / np.sqrt(value[keep])  # sentences map to their kernel with the landmarks @ nystroem
         mapped_words = data.by_word(marks, lambda k: (k @ nystroem).astype(np.float32))  # noqa: B023
-        mapped = np.concatenate([data.sums(mapped_words), pair_values], axis=1)
+        mapped = data.sums(mapped_words)
+        mapped = np.concatenate([mapped, pair_values], axis=1) if pairs else mapped
         more = np.pad(like[clear].astype(np.float64) @ nystroem, ((0, 0), (0, len(pairs))))  # each a sentence of its own
         w = squared_hinge([(mapped, y, weight), (more, np.ones(len(more)), np.full(len(more), ALTERED / max(1, len(more))))], RIDGE / (data.label == 1).sum())
         n = int(keep.sum())
