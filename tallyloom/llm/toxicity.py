@@ -365,7 +365,7 @@ class Sentences:
         counts = np.zeros((2, 1 << PAIR_BITS), np.uint16)
         for k in [*open_.tolist(), *np.flatnonzero(self.label == 0).tolist()]:
             counts[int(self.label[k]), np.unique(self.pair_codes(k)[1])] += 1
-        seen = np.flatnonzero(counts[1] > 1)
+        seen = np.flatnonzero(counts[0] + counts[1] > 1)  # pairs of clean documents too, which say what chance does
         found = seen[beyond_chance(counts[1, seen].astype(np.int64), counts[0, seen].astype(np.int64), len(open_), n_clean)]
         documents, codes = [], []
         for k in open_.tolist():
