@@ -33,7 +33,7 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 #: Words of credentials, for text with A-Z lower-cased, what may stand between them and a value, and the value.
 CONTEXT = re.compile(
     rb"(?<![a-z0-9])(?:(?:[a-z0-9]{1,20}[_.-])?(?:passwords?|passwd|passphrase|passcode|passwort|contrase\xc3\xb1a|mot\x20de\x20passe|pwd|pass|secret|token|api[_-]?key|(?:access|private|secret|signing|encryption)[_-]?key|credentials?|auth|authorization|login)"
-    rb"[\"']?(?:\x20{0,4}(?:=>|:=|[:=])\x20{0,4}|\x20(?:is|was|ist|est|es)\x20)|bearer\x20)[\"'`]?([!#-&(-_a-~]+)"
+    rb"[\"']?(?:\x20{0,4}(?:=>|:=|[:=])\x20{0,4}|\x20(?:is|was|ist|est|es)\x20)|bearer\x20)[\"'`]?(?:(?:bearer|basic)\x20)?([!#-&(-_a-~]+)"
 )
 CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"login", b"bearer", b"contrase")
 ADDRESS = re.compile(r"(?i)[a-z][a-z0-9+.-]*://|[\w.+-]+@[\w-]+(\.[\w-]+)+$|www\.")
