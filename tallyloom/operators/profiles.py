@@ -160,14 +160,14 @@ def merged_pages(matches: DataFrame, redirects: DataFrame, entity: str) -> DataF
     they end at.
 
     matches: (entity, ordinal, page, source, categories, school_categories); those without any category go. A page is
-    ``exact`` if one of its matches is, else of its first match's source; its categories are the union in order. Several
-    pages of an entity need review.
+    ``exact`` if one of its matches is, else of its first match's source, the least of those of one ordinal; its
+    categories are the union in order. Several pages of an entity need review.
     """
     met = matches.filter((F.size(F.coalesce("categories", F.array())) > 0) | (F.size(F.coalesce("school_categories", F.array())) > 0))
     met = met.join(resolved_redirects(redirects), "page", "left").withColumn("page", F.coalesce("target", "page"))
     whole = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))))
     pages = met.groupBy(entity, "page").agg(
-        F.when(F.bool_or(F.col("source") == "exact"), F.lit("exact")).otherwise(F.min_by("source", "ordinal")).alias("source"), whole("categories").alias("categories"), whole("school_categories").alias("school_categories")
+        F.when(F.bool_or(F.col("source") == "exact"), F.lit("exact")).otherwise(F.min_by("source", F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", "source")))).alias("source"), whole("categories").alias("categories"), whole("school_categories").alias("school_categories")
     )
     counts = pages.groupBy(entity).agg(F.count("*").alias("n_pages"))
     return pages.join(counts, entity).withColumn("needs_review", F.col("n_pages") > 1)
