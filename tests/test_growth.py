@@ -23,3 +23,12 @@ def test_sources_of_one_ordinal_do_not_depend_on_the_order_of_rows(spark):
     redirects = spark.createDataFrame([("x", "y")], "page string, target string")
     of = lambda rows: profiles.merged_pages(spark.createDataFrame(rows, kind).coalesce(1), redirects, "e").first().source
     assert of(rows) == of(rows[::-1]) == "disambig"
+
+
+def test_members_of_a_key_are_not_gathered(spark):
+    results = spark.createDataFrame([(i, "A", "men", "X", 1990 + i) for i in range(8)] + [(9, "A", "men", "X", None)], "id int, name string, gender string, school string, year int")
+    spans = [(11, 2, 1991, 1993), (12, 1, 1993, None), (13, 1, 1993, 1994), (14, 0, None, 1999), (15, 0, 1996, 1995), (16, None, 1997, 1997)]
+    members = spark.createDataFrame([(i, o, "A", "men", "X", s, e) for i, o, s, e in spans], "athlete_id long, ordinal int, name string, gender string, school string, year_start int, year_end int")
+    out = profiles.apply_profiles(results, members, spark.createDataFrame([], "name string, school string, gender string, id long"))[0]
+    assert {r.id: r.athlete_id for r in out.collect()} == {0: 1, 1: 11, 2: 11, 3: 12, 4: 12, 5: 12, 6: 12, 7: 16, 9: 1}
+    assert "collect_list" not in plan_of(out)
