@@ -32,3 +32,17 @@ def test_members_of_a_key_are_not_gathered(spark):
     out = profiles.apply_profiles(results, members, spark.createDataFrame([], "name string, school string, gender string, id long"))[0]
     assert {r.id: r.athlete_id for r in out.collect()} == {0: 1, 1: 11, 2: 11, 3: 12, 4: 12, 5: 12, 6: 12, 7: 16, 9: 1}
     assert "collect_list" not in plan_of(out)
+
+
+def test_edges_grow_with_rows(spark):
+    sizes = [(7 * i * i) % 90 for i in range(200)] + [None]
+    part = spark.createDataFrame([(i, "n", "b", s) for i, s in enumerate(sizes)] + [(300, "n", None, 1), (301, "n", None, 1), (302, "m", "b", 1)], "p_partkey long, p_name string, p_brand string, p_size int")
+    edges = catalog.part_edges(SimpleNamespace(part=part)).collect()
+    assert len(edges) <= 400
+    root = list(range(len(sizes)))
+    for a, b in combinations(range(200), 2):
+        if abs(sizes[a] - sizes[b]) <= 5 and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    want = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+    assert {r.node: r.root for r in entity.components(spark.createDataFrame(edges)).collect()} == want
