@@ -108,27 +108,48 @@ def recommend(kind: Column, same_school: Column, gap: Column, combines: Column,
     )
 
 
+def _name_pairs(keyed: DataFrame, block: list[str], text: str) -> DataFrame:
+    """Pairs (a_name < b_name) of a block's names whose ``text`` is one edit apart at most, with both texts.
+
+    Names of one text meet as its pairs do, so that texts are compared once, however many names share them.
+    """
+    texts = keyed.select(*block, text).distinct().withColumn("key", F.col(text))
+    pairs = one_edit_pairs(texts, "key", block, text).select(*block, f"a_{text}", f"b_{text}")
+    same = texts.select(*block, F.col(text).alias(f"a_{text}"), F.col(text).alias(f"b_{text}"))
+    turned = pairs.select(*block, F.col(f"b_{text}").alias(f"a_{text}"), F.col(f"a_{text}").alias(f"b_{text}"))
+    a, b = (keyed.select(*block, F.col(text).alias(f"{x}_{text}"), F.col("name").alias(f"{x}_name")) for x in "ab")
+    return a.join(pairs.unionByName(turned).unionByName(same), [*block, f"a_{text}"]).join(b, [*block, f"b_{text}"]).filter("a_name < b_name")
+
+
 def candidates(profiles: DataFrame, far: int = 8) -> DataFrame:
     """(a, b, strategy, gap, combines, same_school, recommendation) of pairs of profiles that may be one athlete.
 
     profiles: id, name, gender, school, first_year, last_year, groups. Within a gender and last name: equal names of
     different schools, and names that match by initials or within one edit; across last names one edit apart, first
     names within one edit; women of one school and first name, at most ``far`` years apart. Each pair comes once, by the
-    first strategy that finds it. Equality joins throughout.
+    first strategy that finds it. Equality joins throughout; pairs of rows are made last and never shuffled.
     """
-    keyed = profiles.withColumns({"last": names.last_name(F.col("name")), "given": names.first_name(F.col("name"))}).withColumn("initial", F.lower(F.left(F.regexp_replace("given", r"[.']", ""), F.lit(1))))
-    pick = lambda df: df.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    columns = ["id", "name", "school", "gender", "last", "given", "initial", "first_year", "last_year"]
-    exact = pick(blocked_pairs(keyed.select("id", "name", "gender", "school"), "id", ["gender", "name"], F.col("a_school") != F.col("b_school")))
-    initials = pick(blocked_pairs(keyed.select(*columns), "id", ["gender", "last", "initial"], names.initials_match(F.col("a_name"), F.col("b_name")) & (F.col("a_name") != F.col("b_name"))))
-    fuzzy = pick(one_edit_pairs(keyed.filter("length(given) > 2"), "id", ["gender", "last"], "given")).join(pick(blocked_pairs(keyed.select("id", "gender", "name"), "id", ["gender", "name"])), ["a", "b"], "left_anti")
-    across = pick(one_edit_pairs(keyed.filter("length(last) > 2").withColumn("letter", F.left("last", F.lit(1))), "id", ["gender", "letter", "given"], "last").filter("a_last <> b_last"))
-    married = pick(blocked_pairs(keyed.filter("gender = 'women'").select(*columns), "id", ["gender", "school", "given"], (F.col("a_name") != F.col("b_name")) & (span_gap(F.col("a_first_year"), F.col("a_last_year"), F.col("b_first_year"), F.col("b_last_year")) <= far)))
-    found = by_priority([("exact", exact), ("initials", initials), ("fuzzy", fuzzy), ("cross_fuzzy", across), ("maiden_married", married)], ["a", "b"])
-    side = lambda x: profiles.select(*[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in ("id", "school", "first_year", "last_year", "groups")])
-    both = found.join(side("a"), "a").join(side("b"), "b")
-    gap = span_gap(F.col("a_first_year"), F.col("a_last_year"), F.col("b_first_year"), F.col("b_last_year"))
-    both = both.select("a", "b", "strategy", gap.alias("gap"), compatible(F.col("a_groups"), F.col("b_groups")).alias("combines"), (F.col("a_school") == F.col("b_school")).alias("same_school"))
+    parts = {"last": names.last_name(F.col("name")), "given": names.first_name(F.col("name"))}
+    rows = profiles.withColumns(parts)
+    # Strategies but for school and years are of names alone, so that pairs are sought among distinct ones.
+    keyed = profiles.select("gender", "name").distinct().withColumns(parts).withColumn("initial", F.lower(F.left(F.regexp_replace("given", r"[.']", ""), F.lit(1))))
+    different = F.col("a_name") != F.col("b_name")
+    initials = blocked_pairs(keyed.select("name", "gender", "last", "initial"), "name", ["gender", "last", "initial"], names.initials_match(F.col("a_name"), F.col("b_name")))
+    fuzzy = _name_pairs(keyed.filter("length(given) > 2"), ["gender", "last"], "given")
+    across = _name_pairs(keyed.filter("length(last) > 2").withColumn("letter", F.left("last", F.lit(1))), ["gender", "letter", "given"], "last").filter("a_last <> b_last")
+    found = kept(by_priority([("initials", initials), ("fuzzy", fuzzy), ("cross_fuzzy", across)], ["gender", "a_name", "b_name"]))
+    side = lambda x, *key: rows.select(*[F.col(c).alias(c if c in key else f"{x}_{c}") for c in ("gender", "name", "given", "id", "school", "first_year", "last_year", "groups")])
+    smaller, gap = F.col("a_id") < F.col("b_id"), span_gap(F.col("a_first_year"), F.col("a_last_year"), F.col("b_first_year"), F.col("b_last_year"))
+    exact = side("a", "gender", "name").join(side("b", "gender", "name"), ["gender", "name"]).filter(smaller & (F.col("a_school") != F.col("b_school"))).withColumn("strategy", F.lit("exact"))
+    # Either name of a pair may be that of the smaller identifier.
+    turned = found.unionByName(found.select("gender", F.col("b_name").alias("a_name"), F.col("a_name").alias("b_name"), "strategy"))
+    close_names = side("a", "gender").join(turned, ["gender", "a_name"]).join(side("b", "gender"), ["gender", "b_name"]).filter(smaller)
+    women = F.col("gender") == "women"
+    married = side("a", "gender", "school", "given").filter(women).join(side("b", "gender", "school", "given").filter(women), ["gender", "school", "given"]).filter(smaller & different & (gap <= far))
+    married = married.join(turned.drop("strategy"), ["gender", "a_name", "b_name"], "left_anti").withColumns({"strategy": F.lit("maiden_married"), "a_school": F.col("school"), "b_school": F.col("school")})
+    columns = ["strategy", *[f"{x}_{c}" for x in "ab" for c in ("id", "school", "first_year", "last_year", "groups")]]
+    both = exact.select(*columns).unionByName(close_names.select(*columns)).unionByName(married.select(*columns))
+    both = both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "strategy", gap.alias("gap"), compatible(F.col("a_groups"), F.col("b_groups")).alias("combines"), (F.col("a_school") == F.col("b_school")).alias("same_school"))
     kind = F.when(F.col("strategy") == "cross_fuzzy", "fuzzy").otherwise(F.col("strategy"))
     return both.withColumn("recommendation", recommend(kind, F.col("same_school"), F.col("gap"), F.col("combines"), far))
 

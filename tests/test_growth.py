@@ -46,3 +46,34 @@ def test_edges_grow_with_rows(spark):
             root = [low if r == high else r for r in root]
     want = {i: r for i, r in enumerate(root) if root.count(r) > 1}
     assert {r.node: r.root for r in entity.components(spark.createDataFrame(edges)).collect()} == want
+
+
+def test_candidate_pairs_are_not_shuffled(spark):
+    people = ["Ann Lee", "Ann Lea", "Anne Lee", "A Lee", "ANN Lee", "Bo Lee", "Ann Ray", "Al Lee", "Ab Lee", None]
+    rows = [(k, people[k % 10], ("women", "men", None)[k % 7 % 3], f"S{k % 4}", 1990 + k % 13, 1991 + k % 13, []) for k in range(150)]
+    df = spark.createDataFrame(rows, "id long, name string, gender string, school string, first_year int, last_year int, groups array<string>")
+    got = entity.candidates(df)
+    assert "(keys=[a#" not in plan_of(got)
+
+    def edit(a, b):
+        if len(a) < len(b):
+            a, b = b, a
+        return a == b or (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1) or (len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a))))
+
+    def strategy(a, b):
+        (ga, la), (gb, lb) = a[1].lower().split(), b[1].lower().split()
+        (fa, fb), differ = (a[1].split()[0], b[1].split()[0]), a[1] != b[1]
+        if not differ:
+            return "exact" if a[3] != b[3] else None
+        if fa == fb and la == lb and any(len(f) < 4 and f.isupper() for f in (fa, fb)):
+            return "initials"
+        if la == lb and min(len(ga), len(gb)) > 2 and edit(ga, gb):
+            return "fuzzy"
+        if la != lb and ga == gb and la[0] == lb[0] and min(len(la), len(lb)) > 2 and edit(la, lb):
+            return "cross_fuzzy"
+        near = max(b[4] - a[5], a[4] - b[5], 0) <= 8
+        return "maiden_married" if a[2] == "women" and a[3] == b[3] and ga == gb and near else None
+
+    pairs = [(a, b) for a, b in combinations(rows, 2) if a[1] and b[1] and a[2] and a[2] == b[2]]
+    want = sorted((a[0], b[0], s) for a, b in pairs if (s := strategy(a, b)))
+    assert sorted((r.a, r.b, r.strategy) for r in got.collect()) == want and {s for *_, s in want} >= {"exact", "fuzzy", "cross_fuzzy", "maiden_married"}
