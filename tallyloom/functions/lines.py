@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,12 +25,28 @@ def part(text: Column, pattern: str, k: int) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, k))
 
 
+def grouped(text: Column) -> Column:
+    """Struct (head, group, tail) of the text's last group in parentheses that is no remark; null without a group.
+
+    A remark without a group before it counts as one.
+    """
+    of = lambda x: F.when(x.rlike(LAST_GROUP), F.struct(*[F.regexp_extract(x, LAST_GROUP, k).alias(n) for k, n in ((1, "head"), (2, "group"), (3, "tail"))]))
+
+    def before(g: Column) -> Column:
+        remark = F.lit(False)
+        for word in REMARKS:
+            remark = remark | F.lower(g["group"]).contains(word)
+        first = lambda e: F.when(e.isNotNull(), F.struct(e["head"].alias("head"), e["group"].alias("group"), g["tail"].alias("tail"))).otherwise(g)
+        return F.when(remark, marks.let(of(g["head"]), first)).otherwise(g)
+
+    return marks.let(marks.let(text, of), before)
+
+
 def placed(line: Column) -> Column:
     """Struct (place, rest, converted): ``[=][+]N. rest``; nulls for other lines. A tie has the place that it names."""
     line = F.trim(F.regexp_replace(F.trim(line), r"^=", ""))
-    converted = line.startswith("+")
-    line = F.trim(F.regexp_replace(line, r"^\++", ""))
-    return F.struct(part(line, r"^(\d+)[.,]\s*(.*)$", 1).try_cast("int").alias("place"), part(line, r"^(\d+)[.,]\s*(.*)$", 2).alias("rest"), converted.alias("converted"))
+    of = lambda text, converted: F.struct(part(text, r"^(\d+)[.,]\s*(.*)$", 1).try_cast("int").alias("place"), part(text, r"^(\d+)[.,]\s*(.*)$", 2).alias("rest"), converted.alias("converted"))
+    return marks.let(line, lambda x: marks.let(F.trim(F.regexp_replace(x, r"^\++", "")), lambda text: of(text, x.startswith("+"))))
 
 
 def individual(text: Column, classes: dict[str, str], schools: dict[str, str]) -> Column:
@@ -35,29 +54,33 @@ def individual(text: Column, classes: dict[str, str], schools: dict[str, str]) -
 
     A last group in parentheses that is a remark is skipped; null where no school is found.
     """
-    head, group, tail = (part(text, LAST_GROUP, k) for k in (1, 2, 3))
-    remark = F.lit(False)
-    for word in REMARKS:
-        remark = remark | F.lower(group).contains(word)
-    second = remark & head.rlike(LAST_GROUP)
-    name = F.when(second, part(head, LAST_GROUP, 1)).when(group.isNotNull(), head).otherwise(part(text, OPEN_GROUP, 1))
-    school = F.when(second, part(head, LAST_GROUP, 2)).when(group.isNotNull(), group).otherwise(part(text, OPEN_GROUP, 2))
-    rest = F.regexp_replace(F.when(group.isNotNull(), tail).otherwise(part(text, OPEN_GROUP, 3)), r"^\.+", "")
-    name = F.trim(name)
-    foreign = name.rlike("['’]$")
-    name = F.trim(F.regexp_replace(F.trim(F.regexp_replace(name, "['’]+$", "")), r"^\*+|\*+$", ""))
-    words = F.filter(F.split(rest, r"\.{2,}|\s+"), lambda x: x != "")
+    opened = lambda x: F.when(x.rlike(OPEN_GROUP), F.struct(*[F.regexp_extract(x, OPEN_GROUP, k).alias(n) for k, n in ((1, "head"), (2, "group"), (3, "tail"))]))
     class_of = lambda x: names.parse_class(x, classes)
-    classed = F.filter(F.transform(words, class_of), lambda x: x.isNotNull())
-    free = F.filter(words, lambda x: class_of(x).isNull())
-    likely = F.filter(free, lambda x: ~x.isin(*BESIDE_MARK) & ~x.rlike("^['’][0-9]{2}$"))
-    mark = F.coalesce(F.get(likely, F.lit(0)), F.try_element_at(free, F.lit(-1)))
-    parsed = marks.let(mark, marks.parse_mark)
-    found = F.struct(
-        name.alias("name"), names.clean_school(school, schools).alias("school"), F.try_element_at(classed, F.lit(-1)).alias("class"), parsed["num"].alias("mark_num"),
-        parsed["cleaned"].alias("mark_str"), parsed["wind_aided"].alias("wind_aided"), foreign.alias("international"), parsed["converted"].alias("converted"),
-    )
-    return F.when(school.isNotNull(), found)
+
+    def mark_of(free: Column) -> Column:
+        likely = F.filter(free, lambda x: ~x.isin(*BESIDE_MARK) & ~x.rlike("^['’][0-9]{2}$"))
+        return marks.let(F.coalesce(F.get(likely, F.lit(0)), F.try_element_at(free, F.lit(-1))), marks.parse_mark)
+
+    def named(name: Column) -> Column:
+        bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(name, "['’]+$", "")), r"^\*+|\*+$", ""))
+        return F.struct(bare.alias("name"), name.rlike("['’]$").alias("foreign"))
+
+    def worded(words: Column) -> Column:
+        classed = F.filter(F.transform(words, lambda w: w["class"]), lambda x: x.isNotNull())
+        free = F.transform(F.filter(words, lambda w: w["class"].isNull()), lambda w: w["word"])
+        return F.struct(F.try_element_at(classed, F.lit(-1)).alias("class"), marks.let(free, mark_of).alias("mark"))
+
+    def found(g: Column) -> Column:
+        words = F.filter(F.split(F.regexp_replace(g["tail"], r"^\.+", ""), r"\.{2,}|\s+"), lambda x: x != "")
+        words = F.transform(words, lambda x: F.struct(x.alias("word"), class_of(x).alias("class")))
+        parts = F.struct(marks.let(F.trim(g["head"]), named).alias("n"), marks.let(words, worded).alias("w"))
+        return marks.let(parts, lambda p: F.struct(
+            p["n"]["name"].alias("name"), names.clean_school(g["group"], schools).alias("school"), p["w"]["class"].alias("class"), p["w"]["mark"]["num"].alias("mark_num"), p["w"]["mark"]["cleaned"].alias("mark_str"),
+            p["w"]["mark"]["wind_aided"].alias("wind_aided"), p["n"]["foreign"].alias("international"), p["w"]["mark"]["converted"].alias("converted"),
+        ))
+
+    of = lambda x: marks.let(F.coalesce(grouped(x), opened(x)), lambda g: F.when(g.isNotNull(), found(g)))
+    return marks.let(text, of)
 
 
 #: How a relay's mark follows its school: after dots, after a space, or glued to it.
@@ -66,13 +89,17 @@ RELAY_FORMS = (r"^(.+?)\s*\.{2,}\s*(\S+)", r"(?i)^(.+?)\s+(\d+:\d+\.?\d*[+]?\s*|
 
 def relay(text: Column, schools: dict[str, str]) -> Column:
     """Struct (school, mark_num, mark_str, wind_aided, converted, is_dq, is_dnf) of a relay line after its place."""
-    school = F.coalesce(*[part(text, form, 1) for form in RELAY_FORMS], text)
-    mark = F.trim(F.coalesce(*[part(text, form, 2) for form in RELAY_FORMS]))
-    parsed, has = marks.let(mark, marks.parse_mark), lambda word: F.coalesce(F.lower(mark).contains(word), F.lit(False))
-    return F.struct(
-        names.clean_school(school, schools).alias("school"), parsed["num"].alias("mark_num"), parsed["cleaned"].alias("mark_str"),
-        parsed["wind_aided"].alias("wind_aided"), parsed["converted"].alias("converted"), has("dq").alias("is_dq"), has("dnf").alias("is_dnf"),
-    )
+    formed = lambda x: F.coalesce(*[F.when(x.rlike(form), F.struct(F.regexp_extract(x, form, 1).alias("school"), F.regexp_extract(x, form, 2).alias("mark"))) for form in RELAY_FORMS], F.struct(x.alias("school"), F.lit(None).cast("string").alias("mark")))
+
+    def found(p: Column) -> Column:
+        has = lambda word: F.coalesce(F.lower(p["raw"]).contains(word), F.lit(False))
+        return F.struct(
+            p["school"].alias("school"), p["parsed"]["num"].alias("mark_num"), p["parsed"]["cleaned"].alias("mark_str"),
+            p["parsed"]["wind_aided"].alias("wind_aided"), p["parsed"]["converted"].alias("converted"), has("dq").alias("is_dq"), has("dnf").alias("is_dnf"),
+        )
+
+    parts = lambda f: marks.let(F.trim(f["mark"]), lambda mark: F.struct(names.clean_school(f["school"], schools).alias("school"), mark.alias("raw"), marks.parse_mark(mark).alias("parsed")))
+    return marks.let(text, lambda x: marks.let(formed(x), lambda f: marks.let(parts(f), found)))
 
 
 #: Status lines of relays, the first that matches: (pattern, group of the old place, of the school, of the mark).
@@ -112,9 +139,9 @@ def _resplit(parts: Column, pattern: str) -> Column:
 def _four_of_five(parts: Column) -> Column:
     """Of five parts, the first of the leading four without a digit is joined to the next one."""
     bare = F.filter(F.sequence(F.lit(1), F.lit(4)), lambda i: ~F.element_at(parts, i).rlike(r"(?U)\d"))
-    at = F.get(bare, F.lit(0))
-    merged = F.concat(F.regexp_replace(F.element_at(parts, at), ",", ""), F.lit(" "), F.element_at(parts, at + 1))
-    return F.when((F.size(parts) == 5) & at.isNotNull(), F.concat(F.slice(parts, 1, at - 1), F.array(merged), F.slice(parts, at + 2, F.lit(4)))).otherwise(parts)
+    merged = lambda at: F.concat(F.regexp_replace(F.element_at(parts, at), ",", ""), F.lit(" "), F.element_at(parts, at + 1))
+    joined = lambda at: F.when(at.isNotNull(), F.concat(F.slice(parts, 1, at - 1), F.array(merged(at)), F.slice(parts, at + 2, F.lit(4)))).otherwise(parts)
+    return F.when(F.size(parts) == 5, marks.let(F.get(bare, F.lit(0)), joined)).otherwise(parts)
 
 
 def members(text: Column) -> Column:
@@ -128,19 +155,23 @@ def members(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?i)^in\s+heats:\s*", "")
     text = F.regexp_replace(text, r"(?U)\s*\[\s*[^\]]*\s*\]\s+(?=[A-Z])", ", ")
     text = names.stripped(F.regexp_replace(names.stripped(F.regexp_replace(text, r"(?U)\s*\[[^\]]*\]", "")), "—.*", ""))
-    parts = _resplit(_four_of_five(F.split(text, r",\s*(?=[A-Za-z])")), r"(?U)(?<=\d)\s+(?=[A-Z])")
-    parts = F.when(F.size(parts) == 3, _resplit(parts, r"'\s*(?=[A-Z])")).otherwise(parts)
+    parts = _resplit(marks.let(F.split(text, r",\s*(?=[A-Za-z])"), _four_of_five), r"(?U)(?<=\d)\s+(?=[A-Z])")
+    parts = marks.let(parts, lambda x: F.when(F.size(x) == 3, _resplit(x, r"'\s*(?=[A-Z])")).otherwise(x))
 
     def member(raw: Column, i: Column) -> Column:
         whole = F.translate(F.regexp_replace(names.stripped(raw), ",+$", ""), "’", "'")
         whole = names.stripped(F.regexp_replace(names.stripped(whole), r"^\.{2,}\s*", ""))
-        bare = F.regexp_replace(F.regexp_replace(whole, "'+$", ""), r"\.+$", "")
-        name = names.stripped(F.coalesce(*[part(bare, form, 1) for form in MEMBER_FORMS], whole))
-        time = F.coalesce(*[part(bare, form, 2) for form in MEMBER_FORMS])
-        foreign = name.endswith("'")
-        name = F.when(foreign, names.stripped(F.regexp_replace(name, "'+$", ""))).otherwise(name)
-        name = names.stripped(F.regexp_replace(name, r"^\*+|\*+$", ""))
-        return F.struct(name.alias("name"), (i + 1).alias("leg_idx"), F.replace(time, F.lit("y"), F.lit("")).alias("split_time"), foreign.alias("is_international"), whole.alias("whole"))
+        timed = lambda bare, whole: F.coalesce(*[F.when(bare.rlike(form), F.struct(F.regexp_extract(bare, form, 1).alias("name"), F.regexp_extract(bare, form, 2).alias("time"))) for form in MEMBER_FORMS], F.struct(whole.alias("name"), F.lit(None).cast("string").alias("time")))
+        of = lambda whole: marks.let(F.regexp_replace(F.regexp_replace(whole, "'+$", ""), r"\.+$", ""), lambda bare: marks.let(timed(bare, whole), lambda t: named(t, whole)))
+
+        def named(t: Column, whole: Column) -> Column:
+            one = lambda name: F.struct(
+                names.stripped(F.regexp_replace(F.when(name.endswith("'"), names.stripped(F.regexp_replace(name, "'+$", ""))).otherwise(name), r"^\*+|\*+$", "")).alias("name"),
+                (i + 1).alias("leg_idx"), F.replace(t["time"], F.lit("y"), F.lit("")).alias("split_time"), name.endswith("'").alias("is_international"), whole.alias("whole"),
+            )
+            return marks.let(names.stripped(t["name"]), one)
+
+        return marks.let(whole, of)
 
     found = F.filter(F.transform(parts, member), lambda m: (m["whole"] != "") & ~m["whole"].contains(";"))
     return F.transform(found, lambda m: m.dropFields("whole"))
@@ -199,19 +230,16 @@ def member_line(line: Column) -> Column:
     closing parenthesis may end. content is null for lines with an old place or mark in brackets and for notes.
     """
     opened, indented, loose = r"^\s*\(([^)]*)(\)?)\s*[;.]?\s*$", r"^\s+([A-Za-z][A-Za-z\s'\-.]+(?:,\s*[A-Za-z][A-Za-z\s'\-.]+)*)\s*$", r"^\s+([^()]+)(\)?)\s*[;.]?\s*$"
-    inner, closed = names.stripped(F.regexp_extract(line, opened, 1)), F.regexp_extract(line, opened, 2) == ")"
-    barren = F.lit(False)
-    for pattern in NO_MEMBERS:
-        barren = barren | inner.rlike(pattern)
-    text, ends = names.stripped(F.regexp_extract(line, loose, 1)), F.regexp_extract(line, loose, 2) == ")"
     none, out = F.lit(None).cast("string"), lambda content, complete: F.struct(content.alias("content"), complete.alias("complete"))
-    in_form = F.when(inner == "", out(none, closed)).when(barren, out(none, F.lit(True))).otherwise(out(inner, closed))
-    free = F.when(text == "", out(none, ends)).when(ends | text.rlike("[A-Za-z]"), out(text, ends)).otherwise(out(none, F.lit(False)))
-    bracketed = line.rlike(r"\[\d+\]|\[\d+\.\d+\]")
-    return (
-        F.when(bracketed, out(none, F.lit(False))).when(line.rlike(opened), in_form)
-        .when(line.rlike(indented), out(names.stripped(F.regexp_extract(line, indented, 1)), F.lit(False))).when(line.rlike(loose), free).otherwise(out(none, F.lit(False)))
+    barren = lambda inner: reduce(or_, (inner.rlike(pattern) for pattern in NO_MEMBERS))
+    in_form = lambda inner, closed: F.when(inner == "", out(none, closed)).when(barren(inner), out(none, F.lit(True))).otherwise(out(inner, closed))
+    free = lambda text, ends: F.when(text == "", out(none, ends)).when(ends | text.rlike("[A-Za-z]"), out(text, ends)).otherwise(out(none, F.lit(False)))
+    inside = lambda x, form, f: marks.let(names.stripped(F.regexp_extract(x, form, 1)), lambda text: f(text, F.regexp_extract(x, form, 2) == ")"))
+    kinds = lambda x: (
+        F.when(x.rlike(r"\[\d+\]|\[\d+\.\d+\]"), out(none, F.lit(False))).when(x.rlike(opened), inside(x, opened, in_form))
+        .when(x.rlike(indented), out(names.stripped(F.regexp_extract(x, indented, 1)), F.lit(False))).when(x.rlike(loose), inside(x, loose, free)).otherwise(out(none, F.lit(False)))
     )
+    return marks.let(line, kinds)
 
 
 def status_word(line: Column) -> Column:
@@ -231,17 +259,16 @@ def athlete_status(line: Column, schools: dict[str, str]) -> Column:
     unknown)`` is a team whose members aren't known.
     """
     line = F.regexp_replace(names.stripped(line), r"^[.\s]+", "")
-    head, group = part(line, LAST_GROUP, 1), part(line, LAST_GROUP, 2)
-    remark = F.lit(False)
-    for word in REMARKS:
-        remark = remark | F.lower(group).contains(word)
-    second = remark & head.rlike(LAST_GROUP)
-    name = names.stripped(F.when(second, part(head, LAST_GROUP, 1)).otherwise(head))
-    unknown, foreign = line.rlike(UNKNOWN_TEAM), name.rlike("['’]$")
-    name = names.stripped(F.regexp_replace(F.when(foreign, names.stripped(F.regexp_replace(name, "['’]+$", ""))).otherwise(name), r"^\*+", ""))
-    school = F.when(unknown, F.regexp_extract(line, UNKNOWN_TEAM, 1)).otherwise(F.when(second, part(head, LAST_GROUP, 2)).otherwise(group))
-    found = F.struct(F.when(~unknown, name).alias("name"), names.clean_school(school, schools).alias("school"), (~unknown & foreign).alias("is_international"), unknown.alias("unknown_team"))
-    return F.when(line.rlike(r"^[A-Z][^()]*\([^)]+\)") & group.isNotNull(), found)
+
+    def entry(x: Column, g: Column) -> Column:
+        unknown = x.rlike(UNKNOWN_TEAM)
+        school = F.when(unknown, F.regexp_extract(x, UNKNOWN_TEAM, 1)).otherwise(g["group"])
+        bare = lambda name: names.stripped(F.regexp_replace(F.when(name.rlike("['’]$"), names.stripped(F.regexp_replace(name, "['’]+$", ""))).otherwise(name), r"^\*+", ""))
+        one = lambda p: F.struct(F.when(~p["unknown"], bare(p["name"])).alias("name"), p["school"].alias("school"), (~p["unknown"] & p["name"].rlike("['’]$")).alias("is_international"), p["unknown"].alias("unknown_team"))
+        return marks.let(F.struct(names.stripped(g["head"]).alias("name"), names.clean_school(school, schools).alias("school"), unknown.alias("unknown")), one)
+
+    found = lambda x: marks.let(grouped(x), lambda g: F.when(g.isNotNull(), entry(x, g)))
+    return marks.let(line, lambda x: F.when(x.rlike(r"^[A-Z][^()]*\([^)]+\)"), found(x)))
 
 
 #: Days of a week, as headers begin dates.

@@ -48,17 +48,20 @@ def with_features(lines: DataFrame, doc: str, line_no: str, line: str, relay: Co
     rows = sections(rows, ["doc"], ["line_no"], F.col("header").isNotNull())
     rows = filled(rows, ["doc"], ["line_no"], {"year": F.col("header")}).filter("section > 0 AND header IS NULL")
     line, text = F.col("line"), names.stripped(F.col("line"))
-    note, own = grammar.is_note(line), grammar.member_line(line)
+    # Columns of their own, as the features below name them several times.
+    rows = rows.withColumns({"text": text, "note": grammar.is_note(line), "_own": grammar.member_line(line)})
+    text, note, own = F.col("text"), F.col("note"), F.col("_own")
     blank, left, closed = text == "", ~line.rlike(r"^[ \t]"), text.endswith(")")
     closing = names.stripped(F.regexp_replace(text, r"\)+$", ""))
     is_section = line.rlike(SECTION)
     parsed = grammar.placed(text)
     rows = rows.withColumns({
-        "text": text, "is_section": is_section, "is_composite": text.rlike(COMPOSITE), "not_held": text.isin(*NOT_HELD), "dots": text.rlike(r"^(…|\.\.\.)"), "status": grammar.status_word(text),
-        "content": F.when(~is_section & ~note, own["content"]), "complete": F.when(~is_section & ~note, own["complete"]).otherwise(F.lit(False)), "note": note,
+        "is_section": is_section, "is_composite": text.rlike(COMPOSITE), "not_held": text.isin(*NOT_HELD), "dots": text.rlike(r"^(…|\.\.\.)"), "status": grammar.status_word(text),
+        "content": F.when(~is_section & ~note, own["content"]), "complete": F.when(~is_section & ~note, own["complete"]).otherwise(F.lit(False)),
         "placed": parsed, "athlete": grammar.athlete_status(line, schools), "announced": F.when(F.col("is_relay"), grammar.relay_status(text, schools)),
         "wind_here": marks.parse_wind(text), "location_here": grammar.location(text), "date_here": grammar.meet_date(text),
     })
+    rows = rows.drop("_own")
     free = ~F.col("note") & ~F.col("is_section") & F.col("content").isNull()
     tail = F.when(free & closed & closing.rlike("[A-Za-z]"), closing)
     rows = rows.withColumns({

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import lines, marks, names
 from tallyloom.functions.tables import NO_SCHOOL
 from tallyloom.operators.joins import zipped
+from tallyloom.operators.stages import kept
 from tallyloom.operators.windows import first_wins, padded, with_next_row
 from tallyloom.sources.pages import cell_rows, marked_text, page_links
 
@@ -39,7 +40,8 @@ def listed_results(pages: DataFrame, facts: Column, html: str, codes: dict[str,
     known = pages.select(facts.alias("_facts"), F.col(html).alias("_html")).filter("_facts IS NOT NULL").select("_facts.*", "_html", F.monotonically_increasing_id().alias("_page"))
     known = known.join(F.broadcast(event_table(pages, codes)), "code")
     page = ["_page", "environment", "gender", "code", "discipline", "kind"]
-    rows = cell_rows(known, "_html", page, least_length)
+    # Written, as three branches below read the rows, and pages are parsed in Python.
+    rows = kept(cell_rows(known, "_html", page, least_length))
     own = Window.partitionBy("_page").orderBy("table_no", "row_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_header", F.last(F.when(F.col("nested"), F.col("header")), ignorenulls=True).over(own)).filter("NOT nested")
     first = F.get("cells", F.lit(0))
@@ -92,8 +94,10 @@ def tabled_results(pages: DataFrame, events: DataFrame, year: int, location: str
     their times by position, and a team without members has four unknown ones. Nulls as no such page.
     """
     lit_year = F.lit(year)
-    # Missing cells of short rows are null, so that rows of other tables do no harm.
-    rows = cell_rows(pages, "html", ["file_name"]).join(F.broadcast(events), "file_name", "left")
+    # Missing cells of short rows are null, so that rows of other tables do no harm. Pages are parsed once, and meet
+    # their events before that.
+    facts = [c for c in events.columns if c != "file_name"]
+    rows = kept(cell_rows(pages.join(events, "file_name", "left"), "html", ["file_name", *facts]))
     whole = F.array_join(F.transform("cells", lambda c: c["text"]), "")
     day = F.coalesce(*[F.when(whole.contains(d), F.lit(date)) for d, date in days.items()])
     dates = rows.filter("table_id = 'headerevent'").groupBy("file_name").agg(F.min_by(day, F.when(day.isNotNull(), F.col("row_no"))).alias("date"))
@@ -111,7 +115,7 @@ def tabled_results(pages: DataFrame, events: DataFrame, year: int, location: str
     last = Window.partitionBy("file_name", "school").orderBy(F.col("row_no").desc())
     small = lambda cell: names.stripped(F.replace(F.coalesce(marked_text(cell, "small"), F.lit("")), F.lit("\u00a0"), F.lit(" ")))
     team = entries.filter("kind = 'relay'").withColumn("school", clean(small(third))).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
-    links = pages.join(F.broadcast(events.filter("kind = 'relay'")), "file_name").select("file_name", F.explode(page_links(F.col("html"), F.concat(F.col("code"), F.lit(r"-\d+\.htm")))).alias("section_page"))
+    links = pages.join(events.filter("kind = 'relay'"), "file_name").select("file_name", F.explode(page_links(F.col("html"), F.concat(F.col("code"), F.lit(r"-\d+\.htm")))).alias("section_page"))
     sections = rows.drop("code", "discipline", "gender", "kind").withColumnRenamed("file_name", "section_page").join(links, "section_page")
     bracket = lambda c: F.nullif(F.regexp_extract(F.array_join(F.transform(c["parts"], lambda p: p["text"]), " "), r"\[([^\]]+)\]", 1), F.lit(""))
     times = sections.filter((F.col("table_id") == "splits") & (F.size("cells") >= 6) & ~F.get("cells", F.lit(0))["text"].isin("", "DQ"))

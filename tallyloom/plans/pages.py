@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.tables import CLASSES, EVENT_CODES
 from tallyloom.operators import joins, page_results, windows
+from tallyloom.operators.stages import kept
 from tallyloom.plans.registry import Tables, register
 from tallyloom.sources import pages
 
@@ -43,6 +44,8 @@ def listed_pages(t: Tables) -> DataFrame:
     return found.select(c.alias("c"), "year", "date", "location", "environment", "gender", "discipline", "name", "school", "class", "place", "mark_num", "mark_str", "is_dq", "leg_idx", "split_time")
 
 
+#: Entries of a compiled page.
+ENTRIES = 500
 TABLED_SQL = """
 WITH o AS (SELECT o_custkey % 5 AS e, o_orderkey AS k, lower(translate(CAST(o_orderkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ')) AS w, CAST(row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS INTEGER) AS place FROM orders),
 m AS (SELECT *, CASE WHEN e < 2 THEN '3:05.' || (k % 10) WHEN e = 2 THEN '10.' || (k % 90 + 10) WHEN e = 3 THEN '15.' || (k % 90 + 10) || 'm' ELSE CAST(5000 + k % 900 AS VARCHAR) END AS mark_str FROM o)
@@ -55,23 +58,28 @@ FROM m, range(1, 5) AS l(leg) WHERE e < 2 OR leg = 1
 
 @register(TABLED_SQL)
 def tabled_pages(t: Tables) -> DataFrame:
-    """Five compiled pages, of which those of relays link to three pages with split times and athletes of their teams."""
-    o = t.orders.selectExpr("CAST(o_custkey % 5 AS INT) AS e", "o_orderkey AS k", "translate(CAST(o_orderkey AS STRING), '0123456789', 'ABCDEFGHIJ') AS w", "row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS p")
+    """Compiled pages of five events, ENTRIES to a page, of which those of relays link to three pages with split times and
+    athletes of their teams. Places count through all pages of an event."""
+    o = t.orders.selectExpr("CAST(o_custkey % 5 AS INT) AS e", "o_orderkey AS k", "translate(CAST(o_orderkey AS STRING), '0123456789', 'ABCDEFGHIJ') AS w")
+    o = windows.numbered(o, ["e", "k"])
+    o = o.join(F.broadcast(o.groupBy("e").agg(F.min("row_id").alias("first"))), "e").withColumn("p", F.col("row_id") - F.col("first") + 1)
+    o = o.withColumn("code", F.expr(f"concat('00', e, '_', (p - 1) DIV {ENTRIES})"))
     mark = "CASE WHEN e < 2 THEN concat('3:05.', k % 10, ' q') WHEN e = 2 THEN concat('10.', k % 90 + 10, ' PB') WHEN e = 3 THEN concat('15.', k % 90 + 10, 'm') ELSE concat(5000 + k % 900, 'pts') END"
     who = "CASE WHEN e < 2 THEN concat('<b>Team</b><small>School ', lower(w), '</small>') ELSE concat('<a class=\"openStats\" href=\"x\">Jo Q', w, '</a><br><small>School&nbsp;', lower(w), ' [SR]</small>') END"
     entry = f"concat('<tr><td>', p, '</td><td>1</td><td>', {who}, '</td><td>', {mark}, '</td></tr>')"
     ordered = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.expr(x).alias("row")))), lambda y: y["row"]), "")
     head = "'<table id=\"headerevent\"><tr><td>Final</td></tr><tr><td>Friday 6 pm</td></tr></table>'"
     table_id = "CASE WHEN e = 4 THEN 'multitotalscores' ELSE 'events' END"
-    links = "CASE WHEN e < 2 THEN concat('<a href=\"00', e, '-1.htm\">1</a><a href=\"00', e, '-2.htm\">2</a><a href=\"00', e, '-3.htm\">3</a><a href=\"00', e, '-3.htm\">3</a><a href=\"009-1.htm\">no</a>') ELSE '' END"
-    compiled = o.groupBy("e").agg(ordered(entry).alias("rows")).selectExpr("concat('00', e, '_compiled.htm') AS file_name", f"concat({head}, {links}, '<table id=\"', {table_id}, '\"><thead><tr><th>Pl</th></tr></thead><tbody>', rows, '</tbody></table>') AS html")
+    links = "CASE WHEN e < 2 THEN concat('<a href=\"', code, '-1.htm\">1</a><a href=\"', code, '-2.htm\">2</a><a href=\"', code, '-3.htm\">3</a><a href=\"', code, '-3.htm\">3</a><a href=\"009-1.htm\">no</a>') ELSE '' END"
+    compiled = o.groupBy("e", "code").agg(ordered(entry).alias("rows")).selectExpr("concat(code, '_compiled.htm') AS file_name", f"concat({head}, {links}, '<table id=\"', {table_id}, '\"><thead><tr><th>Pl</th></tr></thead><tbody>', rows, '</tbody></table>') AS html")
     cell = lambda n: f"CASE WHEN k % 6 >= {n} THEN concat('<td>{n}:0{n}.0 [4{n}.', k % 10, ']</td>') ELSE '<td></td>' END"
     times = f"CASE WHEN k % 4 = 0 THEN '' ELSE concat('<tr><td>', p, '</td><td>1</td><td></td><td><small>School ', lower(w), '</small></td><td>x</td>', {', '.join(map(cell, range(1, 5)))}, '</tr>') END"
     people = "CASE WHEN k % 7 = 0 THEN '' ELSE concat('<tr><td>School ', lower(w), '</td><td>Ann Q', w, ', Bo Q', w, ', Cy Q', w, ', Di Q', w, '</td></tr>') END"
-    sections = o.filter("e < 2").withColumn("n", F.expr("k % 3 + 1")).groupBy("e", "n").agg(ordered(times).alias("times"), ordered(people).alias("people"))
-    sections = sections.selectExpr("concat('00', e, '-', n, '.htm') AS file_name", "concat('<table id=\"splits\"><tbody>', times, '</tbody></table><table><thead class=\"thead-dark\"><tr><th>Team</th><th>Athletes</th></tr></thead><tbody>', people, '</tbody></table>') AS html")
-    events = t.spark.createDataFrame([(f"00{i}_compiled.htm", f"00{i}", d, "men", kind) for i, (d, kind) in enumerate([("4x400m", "relay"), ("DMR", "relay"), ("60m", "track"), ("Shot Put", "field"), ("Heptathlon", "multi")])], "file_name string, code string, discipline string, gender string, kind string")
-    found = page_results.tabled_results(compiled.unionByName(sections), events, 2026, "Fayetteville, AR", "indoor", {"Friday": "Friday, March 13", "Saturday": "Saturday, March 14"}, CLASSES, {}, most_place=1 << 30)
+    sections = o.filter("e < 2").withColumn("n", F.expr("k % 3 + 1")).groupBy("code", "n").agg(ordered(times).alias("times"), ordered(people).alias("people"))
+    sections = sections.selectExpr("concat(code, '-', n, '.htm') AS file_name", "concat('<table id=\"splits\"><tbody>', times, '</tbody></table><table><thead class=\"thead-dark\"><tr><th>Team</th><th>Athletes</th></tr></thead><tbody>', people, '</tbody></table>') AS html")
+    names, kinds = "array('4x400m', 'DMR', '60m', 'Shot Put', 'Heptathlon')[e]", "array('relay', 'relay', 'track', 'field', 'multi')[e]"
+    events = o.select("e", "code").distinct().selectExpr("concat(code, '_compiled.htm') AS file_name", "code", f"{names} AS discipline", "'men' AS gender", f"{kinds} AS kind")
+    found = page_results.tabled_results(kept(compiled.unionByName(sections)), kept(events), 2026, "Fayetteville, AR", "indoor", {"Friday": "Friday, March 13", "Saturday": "Saturday, March 14"}, CLASSES, {}, most_place=1 << 30)
     return found.select("discipline", "name", "school", "class", "place", "mark_num", "mark_str", "leg_idx", "split_time", "date")
 
 
