@@ -79,7 +79,7 @@ def tabled_pages(t: Tables) -> DataFrame:
     sections = sections.selectExpr("concat(code, '-', n, '.htm') AS file_name", "concat('<table id=\"splits\"><tbody>', times, '</tbody></table><table><thead class=\"thead-dark\"><tr><th>Team</th><th>Athletes</th></tr></thead><tbody>', people, '</tbody></table>') AS html")
     names, kinds = "array('4x400m', 'DMR', '60m', 'Shot Put', 'Heptathlon')[e]", "array('relay', 'relay', 'track', 'field', 'multi')[e]"
     events = o.select("e", "code").distinct().selectExpr("concat(code, '_compiled.htm') AS file_name", "code", f"{names} AS discipline", "'men' AS gender", f"{kinds} AS kind")
-    found = page_results.tabled_results(kept(compiled.unionByName(sections)), kept(events), 2026, "Fayetteville, AR", "indoor", {"Friday": "Friday, March 13", "Saturday": "Saturday, March 14"}, CLASSES, {}, most_place=1 << 30)
+    found = page_results.tabled_results(compiled.unionByName(sections), kept(events), 2026, "Fayetteville, AR", "indoor", {"Friday": "Friday, March 13", "Saturday": "Saturday, March 14"}, CLASSES, {}, most_place=1 << 30)
     return found.select("discipline", "name", "school", "class", "place", "mark_num", "mark_str", "leg_idx", "split_time", "date")
 
 

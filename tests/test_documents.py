@@ -1,5 +1,7 @@
 """Whole documents and pages to results, and the grammars of their lines, on texts written by hand."""
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -200,3 +202,27 @@ def test_zip_inherit_pad_and_look_ahead(spark):
     runs = spark.createDataFrame([("g", i, k) for i, k in enumerate("TTTxTvx")] + [("h", 0, "T")], "g string, i int, k string")
     got = windows.with_next_row(runs, ["g"], ["i"], F.col("k") == "T", F.when(F.col("k") != "v", F.col("i")), "taken").collect()
     assert sorted((r.g, r.i, r.taken) for r in got) == [("g", 0, 1), ("g", 2, 3), ("g", 4, None), ("g", 5, None), ("g", 6, None), ("h", 0, None)]
+
+
+def test_plain_pages_are_scanned_as_the_parser_reads_them():
+    """Random pieces of markup, odd ones among them: the plain scan and HTMLParser give the same tables."""
+    pieces = ["<table>", "<table id=events>", "<TABLE ID='s p' id=\"b\">", "</table>", "<tr>", "</tr >", "<td>", "<td colspan=2>", "<td colspan>", "</td>", "<th>", "<thead class=\"a b\">", "<tbody>", "</tbody>", "<b>", "</b>", "<small>", "</small>"]
+    pieces += ["<a class='openStats' href=\"x\">", "</a>", "<br>", "<br/>", "<hr />", "1994 * Rome", " a ", "\n", " ", "x&amp;y", "&nbsp;", "&", "é"]
+    odd = ["<!-- <td> -->", "<script>if (a<b) {'<td>'}</script>", "a < b", "<td x=\"a>b\">", "<td a=1 / b>", "</td x>", "<a href='a&amp;b'>", "<!DOCTYPE html>", "<td id=''>", "<td a = 1>", "<title><td></title>", "<td\x0bx>", "<"]
+    chosen, plain = random.Random(5), 0
+    for n in range(3000):
+        html = "<table>" + "".join(chosen.choice(pieces + odd * (n % 2)) for _ in range(chosen.randint(0, 30)))
+        slow = pages._Cells()
+        slow.feed(html)
+        slow.close()
+        fast = pages._Cells()
+        plain += pages._fed_plainly(fast, html)
+        assert pages.page_tables(html) == slow.finish(), html
+    assert plain > 1400
+
+
+def test_links_stay_with_a_pages_first_row(spark):
+    """What is kept of pages holds their links once and none of their text."""
+    df = spark.createDataFrame([("p", "<table></table><table><tr><td>a</td></tr><tr></tr></table><table><tr><td>b</td></tr></table>"), ("q", "<p>no table</p>"), ("r", None)], "f string, html string")
+    got = pages.cell_rows(df.withColumn("links", F.array("f")), "html", ["f", "links"]).select("f", "links", "table_no", "row_no", "page_row", F.size("cells").alias("n")).collect()
+    assert sorted(map(tuple, got)) == [("p", ["p"], 1, 0, 0, 1), ("p", ["p"], 1, 1, 1, 0), ("p", ["p"], 2, 0, 2, 1)]
