@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import lines
 from tallyloom.functions.tables import CLASSES
 from tallyloom.operators import documents, joins, windows
+from tallyloom.operators.stages import spread
 from tallyloom.plans.registry import Tables, register
 from tallyloom.sources import readers
 
@@ -71,7 +72,7 @@ SELECT k, CAST(leg AS INTEGER) AS leg, replace(name, '#', w) AS name, split_time
   (5, 4, 'Di #', NULL, false)) AS v(kind, leg, name, split_time, foreign_mark) ON k % 6 = kind""")
 def team_members_lines(t: Tables) -> DataFrame:
     """Accents, glued and converted times, a part that belongs to the next, parts that are none, quotes between names."""
-    c = t.customer.selectExpr("c_custkey AS k", "translate(CAST(c_custkey AS STRING), '0123456789', 'abcdefghij') AS w")
+    c = spread(t.customer.select("c_custkey"), "c_custkey").selectExpr("c_custkey AS k", "translate(CAST(c_custkey AS STRING), '0123456789', 'abcdefghij') AS w")
     text = F.expr("""CASE k % 6
       WHEN 0 THEN concat('José ', w, ' 48.3, Núñez ', w, ' 1:47.1 y') WHEN 1 THEN concat('Ann ', w, '48.31, Bo ', w, '’ c47.2')
       WHEN 2 THEN concat('Ann ', w, ', X 48.3, Bo ', w, ' 47.1, Cy ', w, ' 46.5, Di ', w, ' 45.0—fastest') WHEN 3 THEN concat('in heats: Ann ', w, ', Bo ', w, '; pulled up, Cy ', w, ',')
@@ -86,7 +87,7 @@ WITH c AS (SELECT c_custkey AS k, translate(CAST(c_custkey AS VARCHAR), '0123456
 SELECT k, replace(content, '#', w) AS content, complete, note FROM c JOIN (VALUES (0, 'Ann #, Bo #', true, false), (1, 'Ann #, Bo #,', false, false), (2, NULL, true, true), (3, NULL, false, false), (4, NULL, false, true),
   (5, 'Ann #, Bo', false, false), (6, 'Cy # 45.1', true, false), (7, NULL, true, false)) AS v(kind, content, complete, note) ON k % 8 = kind""")
 def member_line_kinds(t: Tables) -> DataFrame:
-    c = t.customer.selectExpr("c_custkey AS k", "translate(CAST(c_custkey AS STRING), '0123456789', 'abcdefghij') AS w")
+    c = spread(t.customer.select("c_custkey"), "c_custkey").selectExpr("c_custkey AS k", "translate(CAST(c_custkey AS STRING), '0123456789', 'abcdefghij') AS w")
     c = c.withColumn("line", F.expr("""CASE k % 8 WHEN 0 THEN concat('  (Ann ', w, ', Bo ', w, ');') WHEN 1 THEN concat('(Ann ', w, ', Bo ', w, ',') WHEN 2 THEN '(3:05.2 MR)' WHEN 3 THEN concat('[3]Team ', w)
       WHEN 4 THEN concat('* = ', w) WHEN 5 THEN concat('   Ann ', w, ', Bo') WHEN 6 THEN concat('   Cy ', w, ' 45.1)') ELSE '(12 teams)' END"""))
     return c.select("k", lines.member_line(F.col("line"))["content"].alias("content"), lines.member_line(F.col("line"))["complete"].alias("complete"), lines.is_note(F.col("line")).alias("note"))
