@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import lines, marks, names
 from tallyloom.functions.tables import CLASSES
 from tallyloom.operators import aggregates, entity, joins, patches, quality, query, windows
+from tallyloom.operators.stages import spread
 from tallyloom.plans import documents, pages, profiles, upkeep  # noqa: F401  they register their queries
 from tallyloom.plans.registry import ORACLE_SQL, QUERIES, Tables, register  # noqa: F401
 from tallyloom.sources import readers
@@ -266,7 +267,8 @@ def result_lines(t: Tables) -> DataFrame:
         when(k % 7 == 0, " ="), when(k % 11 == 0, "+"), (k % 30 + 1).cast("string"), F.lit(". "), F.replace("c_name", F.lit("#"), F.lit(" ")), when(k % 5 == 0, "’"), F.lit(" ("), F.col("c_mktsegment"), F.lit(")"), when(k % 6 == 1, " (injured in heats)"),
         F.lit(" ..... "), F.element_at(F.array(*map(F.lit, ("Fr", "So", "Jr", "Sr"))), (k % 4 + 1).cast("int")), F.lit(" "), (k % 50 + 10).cast("string"), F.lit(".25"), when(k % 3 == 0, "w"), when(k % 9 == 4, " MR"),
     )
-    found = t.customer.select("c_custkey", lines.placed(line).alias("p")).select("c_custkey", "p", lines.individual(F.col("p.rest"), CLASSES, {}).alias("r"))
+    customers = spread(t.customer.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
+    found = customers.select("c_custkey", lines.placed(line).alias("p")).select("c_custkey", "p", lines.individual(F.col("p.rest"), CLASSES, {}).alias("r"))
     return found.select("c_custkey", "p.place", "r.name", "r.school", "r.class", "r.mark_num", "r.international", (F.col("p.converted") | F.col("r.converted")).alias("converted"), "r.wind_aided")
 
 
@@ -275,7 +277,8 @@ def relay_lines(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     time = F.concat(F.lit("3:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(".5"))
     line = F.concat(F.col("c_mktsegment"), F.when(k % 5 == 0, F.concat(F.lit(" ...... "), time)).when(k % 5 == 1, F.concat(F.lit(" "), time)).when(k % 5 == 2, time).when(k % 5 == 3, F.lit(" DQ")).otherwise(F.lit("")))
-    return t.customer.select("c_custkey", lines.relay(line, {}).alias("r")).select("c_custkey", "r.school", "r.mark_num", "r.is_dq")
+    customers = spread(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey")
+    return customers.select("c_custkey", lines.relay(line, {}).alias("r")).select("c_custkey", "r.school", "r.mark_num", "r.is_dq")
 
 
 @register("""WITH marked AS (SELECT o_custkey % 50 AS doc, o_orderkey, CASE WHEN o_orderkey % 40 = 0 THEN 1900 + CAST(o_orderkey % 100 AS INTEGER) END AS y, CASE WHEN o_orderkey % 40 BETWEEN 1 AND 4 THEN o_orderpriority END AS d FROM orders),

@@ -5,6 +5,7 @@ from contextlib import redirect_stdout
 from itertools import combinations
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import entity, profiles
@@ -77,3 +78,9 @@ def test_candidate_pairs_are_not_shuffled(spark):
     pairs = [(a, b) for a, b in combinations(rows, 2) if a[1] and b[1] and a[2] and a[2] == b[2]]
     want = sorted((a[0], b[0], s) for a, b in pairs if (s := strategy(a, b)))
     assert sorted((r.a, r.b, r.strategy) for r in got.collect()) == want and {s for *_, s in want} >= {"exact", "fuzzy", "cross_fuzzy", "maiden_married"}
+
+
+@pytest.mark.parametrize("name", ["team_members_lines", "member_line_kinds", "result_lines", "relay_lines"])
+def test_lines_of_a_small_table_are_dealt_out(spark, name):
+    """A table of one row group comes in one task, however many rows it has."""
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
