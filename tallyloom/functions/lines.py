@@ -120,7 +120,8 @@ def relay_status(line: Column, schools: dict[str, str]) -> Column:
         own = F.regexp_extract(line, pattern, place).try_cast("int") if place else F.lit(None).cast("int")
         found = F.struct(names.clean_school(F.trim(F.regexp_extract(line, pattern, school)), schools).alias("school"), parsed["num"].alias("mark_num"), parsed["cleaned"].alias("mark_str"), own.alias("original_place"))
         out = F.when(line.rlike(pattern), found).otherwise(out)
-    return out
+    # All forms hold one of these.
+    return F.when(line.contains("[") | line.contains("..") | F.lower(line).contains("(personnel unknown)"), out)
 
 
 #: A member and the time of a split, the first form that matches; ``y`` marks yards.
@@ -220,7 +221,8 @@ def is_note(line: Column) -> Column:
     found = F.lit(False)
     for pattern in NOTES:
         found = found | line.rlike(pattern)
-    return found
+    # Most lines are none, which their first sign or two words tell at less cost.
+    return (line.rlike(r"^\s*[(*¶]") | F.lower(line).contains("but its")) & found
 
 
 def member_line(line: Column) -> Column:
@@ -290,7 +292,8 @@ def year_header(line: Column) -> Column:
 
 def location(line: Column) -> Column:
     """The place of ``(City, State, Month d`` or ``(City; Month d``."""
-    return F.trim(F.coalesce(part(F.trim(line), rf"^\(([A-Za-z][A-Za-z\s.\[\]]+(?:,\s*[A-Za-z][A-Za-z\s.]+)?),\s*{MONTHS}\s+\d{{1,2}}", 1), part(F.trim(line), rf"^\(([A-Za-z][A-Za-z\s.]+);\s*{MONTHS}\s+\d{{1,2}}", 1)))
+    line = F.trim(line)
+    return F.when(line.startswith("("), F.trim(F.coalesce(part(line, rf"^\(([A-Za-z][A-Za-z\s.\[\]]+(?:,\s*[A-Za-z][A-Za-z\s.]+)?),\s*{MONTHS}\s+\d{{1,2}}", 1), part(line, rf"^\(([A-Za-z][A-Za-z\s.]+);\s*{MONTHS}\s+\d{{1,2}}", 1))))
 
 
 def meet_date(line: Column) -> Column:
@@ -300,4 +303,4 @@ def meet_date(line: Column) -> Column:
     forms = (
         rf"^\([A-Za-z][A-Za-z\s.\[\]]+(?:,\s*[A-Za-z][A-Za-z\s.]+)?,\s*{date}", rf"^\({date}(?:[–\-]\d+)?(?:\)|;)", rf"^\([A-Za-z][A-Za-z\s.]+;\s*{date}",
     )
-    return F.regexp_replace(F.coalesce(*[part(line, form, 1) for form in forms]), r"\s+", " ")
+    return F.when(line.startswith("("), F.regexp_replace(F.coalesce(*[part(line, form, 1) for form in forms]), r"\s+", " "))

@@ -115,7 +115,7 @@ def cast_prefix(text: Column) -> Column:
 
 
 def parse_wind(text: Column) -> Column:
-    return F.regexp_extract(text, r"(?i)wind\s+([+-]?\d+\.?\d*)", 1).try_cast("double")
+    return F.when(F.lower(text).contains("wind"), F.regexp_extract(text, r"(?i)wind\s+([+-]?\d+\.?\d*)", 1).try_cast("double"))
 
 
 def parse_place(text: Column) -> Column:
