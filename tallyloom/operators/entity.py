@@ -8,15 +8,32 @@ from pyspark.sql import functions as F
 from tallyloom.functions import names
 from tallyloom.functions.marks import span_gap
 from tallyloom.operators.joins import hub_join
-from tallyloom.operators.stages import kept, removed
+from tallyloom.operators.stages import kept, removed, spread
 from tallyloom.operators.windows import numbered
 
 
+#: Blocks of more rows than this are cut into parts of about as many, each of which meets each.
+BLOCK_PART = 4096
+
+
 def blocked_pairs(df: DataFrame, identifier: str, block: list[str], match: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of rows in the same block, a's identifier the smaller; match sees columns a_x and b_x."""
-    a = df.select(*[F.col(c).alias(c if c in block else f"a_{c}") for c in df.columns])
-    b = df.select(*[F.col(c).alias(c if c in block else f"b_{c}") for c in df.columns])
-    pairs = a.join(b, block).filter(F.col(f"a_{identifier}") < F.col(f"b_{identifier}"))
+    """Pairs (a, b) of rows in the same block, a's identifier the smaller; match sees columns a_x and b_x.
+
+    Pairs grow with the square of a block, however few bytes its rows have, so that they are dealt out over four tasks a
+    core; two parts of a large block are a join key of their own, so that no task holds a whole block.
+    """
+    df = df.dropna(subset=block)
+    # Fewer than rows / BLOCK_PART.
+    large = df.groupBy(*block).agg(F.ceil(F.count("*") / BLOCK_PART).cast("int").alias("_parts")).filter("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    cut = df.join(F.broadcast(large), block, "left").withColumns({"_parts": parts, "_own": F.pmod(F.xxhash64(identifier), parts).cast("int")})
+    key = [*block, "_i", "_j"]
+
+    def side(x: str, own: str, other: str) -> DataFrame:
+        met = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias(other)
+        return spread(cut.select(*[F.col(c).alias(c if c in block else f"{x}_{c}") for c in df.columns], F.col("_own").alias(own), met), *key)
+
+    pairs = side("a", "_i", "_j").join(side("b", "_j", "_i").hint("merge"), key).drop("_i", "_j").filter(F.col(f"a_{identifier}") < F.col(f"b_{identifier}"))
     return pairs if match is None else pairs.filter(match)
 
 

@@ -80,6 +80,21 @@ def test_candidate_pairs_are_not_shuffled(spark):
     assert sorted((r.a, r.b, r.strategy) for r in got.collect()) == want and {s for *_, s in want} >= {"exact", "fuzzy", "cross_fuzzy", "maiden_married"}
 
 
+@pytest.mark.parametrize("most", [7, 4096])
+def test_pairs_of_a_block_are_dealt_out(spark, monkeypatch, most):
+    """A block of few bytes has many pairs; its parts meet in keys, and so in tasks, of their own."""
+    monkeypatch.setattr(entity, "BLOCK_PART", most, raising=False)
+    rows = [(None if k == 5 else k, "big" if k % 10 else "small", None if k % 11 == 3 else "x", k % 4) for k in range(130)] + [(200, "one", "x", 0), (201, None, "x", 0), (202, None, "x", 1)]
+    df = spark.createDataFrame(rows, "id long, name string, kind string, size int")
+    met = entity.blocked_pairs(df, "id", ["name", "kind"], F.col("a_size") != F.col("b_size"))
+    assert met.columns == ["name", "kind", "a_id", "a_size", "b_id", "b_size"] and met.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert "Broadcast" not in plan_of(met).partition("SortMergeJoin")[0] and "REPARTITION_BY_NUM" in plan_of(met)
+    tasks = [r.n for r in met.filter("name = 'big'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert (len(tasks) > 4 and max(tasks) < sum(tasks) / 2) if most == 7 else len(tasks) == 1
+    whole = [r for r in rows if None not in r]
+    assert sorted(map(tuple, met.collect())) == sorted((*a[1:3], a[0], a[3], b[0], b[3]) for a in whole for b in whole if a[1:3] == b[1:3] and a[0] < b[0] and a[3] != b[3])
+
+
 @pytest.mark.parametrize("name", ["team_members_lines", "member_line_kinds", "result_lines", "relay_lines"])
 def test_lines_of_a_small_table_are_dealt_out(spark, name):
     """A table of one row group comes in one task, however many rows it has."""
