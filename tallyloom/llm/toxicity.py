@@ -162,9 +162,9 @@ class Landmarks:
         hit = np.flatnonzero(row >= 0)
         row, word, weight = row[hit], word[hit], weight[hit].astype(np.float32)[:, None]
         first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(hit) else hit
-        for a in range(0, len(first), 500):
-            some = first[a : a + 500]
-            end = first[a + 500] if a + 500 < len(first) else len(hit)
+        for a in range(0, len(first), 100):
+            some = first[a : a + 100]
+            end = first[a + 100] if a + 100 < len(first) else len(hit)
             out[word[some]] = np.add.reduceat(self.table[row[some[0] : end]] * weight[some[0] : end], some - some[0], axis=0)
         return out**POWER
 
@@ -274,28 +274,49 @@ class Sentences:
         self.first = np.cumsum([0, *map(len, lists)])
         self.word = np.fromiter((number[w] for s in lists for w in s), np.int64, int(self.first[-1]))
         del split, lists, known
+        # of each block of words: where each one's subsequences begin, the subsequences, their weights
         self.features = []
         for a in range(0, len(self.vocabulary), BLOCK):
-            w, own, weight = subsequences(self.vocabulary[a : a + BLOCK])
-            self.features.append((w.astype(np.int32), own.astype(np.int32), weight.astype(np.float32)))
+            part = self.vocabulary[a : a + BLOCK]
+            w, own, weight = subsequences(part)
+            self.features.append((np.searchsorted(w, np.arange(len(part) + 1)).astype(np.int32), own.astype(np.int32), weight.astype(np.float32)))
+
+    def kernels(self, marks: Landmarks) -> Iterator[np.ndarray]:
+        """The word kernel of all words with the landmarks, a block of words at a time."""
+        for begins, own, weight in self.features:
+            n = len(begins) - 1
+            yield marks.kernel(n, np.repeat(np.arange(n), np.diff(begins)), own, weight)
 
     def by_word(self, marks: Landmarks, of) -> np.ndarray:
         """of(kernel with the landmarks) for all words, a block of them at a time."""
         out = None
-        for k, part in enumerate(self.features):
-            own = of(marks.kernel(min(BLOCK, len(self.vocabulary) - k * BLOCK), *part))
+        for k, kernel in enumerate(self.kernels(marks)):
+            own = of(kernel)
             if out is None:
                 out = np.empty((len(self.vocabulary), *own.shape[1:]), own.dtype)
             out[k * BLOCK : k * BLOCK + len(own)] = own
         return out
 
-    def sums(self, by_word: np.ndarray) -> np.ndarray:
-        """by_word summed over the words of each sentence, some thousand sentences at a time."""
-        out = np.empty((len(self.document), by_word.shape[1]), by_word.dtype)
-        for a in range(0, len(out), BLOCK):
-            first = self.first[a : a + BLOCK + 1]
-            n = min(BLOCK, len(out) - a)
-            out[a : a + n] = np.add.reduceat(by_word[self.word[first[0] : first[n]]], first[:n] - first[0], axis=0)
+    def mapped(self, marks: Landmarks, nystroem: np.ndarray, some: np.ndarray, pair_values: np.ndarray) -> np.ndarray:
+        """The features of some sentences: their words' kernel with the landmarks @ nystroem, summed, and pair_values.
+
+        Each block of words is added to the sentences that hold them, so that features are never held of all words.
+        """
+        out = np.zeros((len(some), nystroem.shape[1] + pair_values.shape[1]), np.float32)
+        out[:, nystroem.shape[1] :] = pair_values[some]
+        at = np.full(len(self.document), -1, np.int32)
+        at[some] = np.arange(len(some))
+        row = np.repeat(at, np.diff(self.first))
+        held = np.flatnonzero(row >= 0)
+        block = (self.word[held] // BLOCK).astype(np.int32)
+        order = np.argsort(block, kind="stable")
+        held, cuts = held[order].astype(np.int32), np.searchsorted(block[order], np.arange(len(self.features) + 1))
+        for k, kernel in enumerate(self.kernels(marks)):
+            own = (kernel @ nystroem).astype(np.float32)
+            for a in range(cuts[k], cuts[k + 1], BLOCK):
+                part = held[a : min(a + BLOCK, cuts[k + 1])]
+                rows, first = np.unique(row[part], return_index=True)
+                out[rows, : own.shape[1]] += np.add.reduceat(own[self.word[part] - k * BLOCK], first, axis=0)
         return out
 
     def highest(self, margin: np.ndarray) -> np.ndarray:
@@ -307,17 +328,16 @@ class Sentences:
     def telling(self) -> np.ndarray:
         """How much each word's subsequences are more frequent in toxic documents than chance gives, to begin with."""
         held, document = np.zeros((2, 1 << BITS)), np.repeat(self.document, np.diff(self.first))
-        cuts = [np.searchsorted(word, np.arange(BLOCK + 1)) for word, _, _ in self.features]
         for k, y in enumerate(self.label.tolist()):
             a, b = np.searchsorted(document, [k, k + 1])
             words = np.unique(self.word[a:b]).tolist()
-            held[y, np.unique(np.concatenate([self.features[w // BLOCK][1][cuts[w // BLOCK][w % BLOCK] : cuts[w // BLOCK][w % BLOCK + 1]] for w in words]))] += 1
+            held[y, np.unique(np.concatenate([own[begins[w % BLOCK] : begins[w % BLOCK + 1]] for w in words for begins, own, _ in [self.features[w // BLOCK]]]))] += 1
         toxic, clean = (self.label == 1).sum(), (self.label == 0).sum()
         share = (held.sum(axis=0) + 1) / (toxic + clean + 2)
         z = (held[1] / toxic - held[0] / clean) / np.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
         # a language or a source that is somewhat more frequent among toxic documents tells nothing
         z = np.where((z > 3) & (held[1] / toxic > TELLING * held[0] / clean), z, 0)
-        return np.concatenate([np.bincount(word, weights=weight * z[own], minlength=BLOCK) for word, own, weight in self.features])[: len(self.vocabulary)]
+        return np.concatenate([np.bincount(np.repeat(np.arange(len(begins) - 1), np.diff(begins)), weights=weight * z[own], minlength=len(begins) - 1) for begins, own, weight in self.features])
 
     def pair_codes(self, document: int) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of distinct words within a document's sentences, as word * vocabulary + word, and their hashes."""
@@ -422,6 +442,7 @@ class Sentences:
 def fit(documents: list[tuple[str, int]]) -> Model:
     """Learns from (text, label) pairs. Without documents of both labels every score is the labels' rate."""
     data = Sentences(documents)
+    give_back()  # what splitting took
     rate = (sum(y for _, y in documents) + 0.5) / (len(documents) + 1)
     none = Model((), (), 0.0, 0.0, float(np.log(rate / (1 - rate))))
     if not (data.label == 1).any() or not (data.label == 0).any():
@@ -457,7 +478,7 @@ def fit(documents: list[tuple[str, int]]) -> Model:
     toxic = own(data.stretches(by_word, witness[beyond]))
     if not toxic and not pairs:
         return none
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         near = data.by_word(Landmarks([data.vocabulary[w] for w in toxic]), lambda k: k.max(axis=1)) if toxic else np.ones(len(data.vocabulary))
         others = np.setdiff1d(np.flatnonzero(in_clean), toxic)
         others = others[np.argsort(-near[others] * np.log1p(in_clean[others]), kind="stable")][: max(LANDMARKS - len(toxic), LANDMARKS // 3)]
@@ -470,17 +491,18 @@ def fit(documents: list[tuple[str, int]]) -> Model:
         value, vector = np.linalg.eigh(marks.kernel(len(words), *subsequences(words)).astype(np.float64))
         keep = value > 1e-3 * value.max()
         nystroem = vector[:, keep] / np.sqrt(value[keep])  # sentences map to their kernel with the landmarks @ nystroem
-        mapped_words = data.by_word(marks, lambda k: (k @ nystroem).astype(np.float32))  # noqa: B023
-        mapped = data.sums(mapped_words)
-        mapped = np.concatenate([mapped, pair_values], axis=1) if pairs else mapped
+        used = np.flatnonzero(weight)  # of other sentences only the margin is needed, which takes a number a word
         more = np.pad(like[clear].astype(np.float64) @ nystroem, ((0, 0), (0, len(pairs))))  # each a sentence of its own
-        w = squared_hinge([(mapped, y, weight), (more, np.ones(len(more)), np.full(len(more), ALTERED / max(1, len(more))))], RIDGE / (data.label == 1).sum())
+        w = squared_hinge([(data.mapped(marks, nystroem, used, pair_values), y[used], weight[used]), (more, np.ones(len(more)), np.full(len(more), ALTERED / max(1, len(more))))], RIDGE / (data.label == 1).sum())
         n = int(keep.sum())
-        weights, margin = nystroem @ w[:n], mapped @ w[:-1] + w[-1]
-        witness, beyond, weight = chosen(margin, 0.01)
-        found = data.stretches(mapped_words @ w[:n], witness[beyond])
-        del mapped, mapped_words
-        toxic = own([*found, *(x for x in toxic if x not in set(found))])
+        weights = nystroem @ w[:n]
+        by_word = data.by_word(marks, lambda k: k @ weights)  # noqa: B023
+        of_pairs = np.concatenate([pair_values[a : a + BLOCK] @ w[n:-1] for a in range(0, len(y), BLOCK)])
+        margin = np.add.reduceat(by_word[data.word], data.first[:-1]) + of_pairs + w[-1]
+        if turn < ROUNDS - 1:
+            witness, beyond, weight = chosen(margin, 0.01)
+            found = data.stretches(by_word, witness[beyond])
+            toxic = own([*found, *(x for x in toxic if x not in set(found))])
     highest = data.highest(margin)
     # documents whose label no sentence bears out are left out of the scale
     low = np.quantile(highest[data.label == 0], 0.995)

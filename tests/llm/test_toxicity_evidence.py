@@ -1,6 +1,7 @@
 """What the toxicity machine learns from planted insults: many, rare ones, and pairs of words of one sentence."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -50,6 +51,23 @@ def test_nothing_stands_out_by_chance():
     assert toxicity.beyond_chance(np.repeat(held[:, 0], 5), np.repeat(held[:, 1], 5), 100, 100).tolist() == [True] * 5 + [False] * 5 + [False] * 5 + [True] * 5
 
 
+def test_training_holds_features_of_what_it_learns_from():
+    """Long documents, most of them toxic: features are held of the sentences that are learned from, once, in single precision."""
+    rng = random.Random(5)
+    vocabulary = sorted({word(rng) for _ in range(6000)})
+    rows = [(" ".join(texts(rng, vocabulary, 50, lambda i: [insult])), 1) for insult in ["zzyzxqua", "quoxuzzy"] * 20]
+    rows += [(" ".join(texts(rng, vocabulary, 50, lambda i: [])), 0) for _ in range(20)]
+    sentences = len(toxicity.Sentences(rows).document)
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (toxicity.Scorer(model)([t for t, _ in rows]) >= 0.5).tolist() == [y == 1 for _, y in rows]
+    assert peak < 3 * sentences * toxicity.LANDMARKS * 4
+
+
 def test_near_copies_alone_are_left_out():
     rng = random.Random(1)
     base = [{f"w{rng.randint(0, 400)}" for _ in range(80)} for _ in range(60)]
