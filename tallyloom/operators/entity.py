@@ -142,9 +142,10 @@ def candidates(profiles: DataFrame, far: int = 8) -> DataFrame:
     """(a, b, strategy, gap, combines, same_school, recommendation) of pairs of profiles that may be one athlete.
 
     profiles: id, name, gender, school, first_year, last_year, groups. Within a gender and last name: equal names of
-    different schools, and names that match by initials or within one edit; across last names one edit apart, first
-    names within one edit; women of one school and first name, at most ``far`` years apart. Each pair comes once, by the
-    first strategy that finds it. Equality joins throughout; pairs of rows are made last and never shuffled.
+    different schools, and names that match by initials or whose first names are within one edit; of one first name, last
+    names one edit apart, whatever their first letters; women of one school and first name, at most ``far`` years apart.
+    Each pair comes once, by the first strategy that finds it. Equality joins throughout; pairs of rows are made last and
+    never shuffled.
     """
     parts = {"last": names.last_name(F.col("name")), "given": names.first_name(F.col("name"))}
     rows = profiles.withColumns(parts)
@@ -153,7 +154,7 @@ def candidates(profiles: DataFrame, far: int = 8) -> DataFrame:
     different = F.col("a_name") != F.col("b_name")
     initials = blocked_pairs(keyed.select("name", "gender", "last", "initial"), "name", ["gender", "last", "initial"], names.initials_match(F.col("a_name"), F.col("b_name")))
     fuzzy = _name_pairs(keyed.filter("length(given) > 2"), ["gender", "last"], "given")
-    across = _name_pairs(keyed.filter("length(last) > 2").withColumn("letter", F.left("last", F.lit(1))), ["gender", "letter", "given"], "last").filter("a_last <> b_last")
+    across = _name_pairs(keyed.filter("length(last) > 2"), ["gender", "given"], "last").filter("a_last <> b_last")
     found = kept(by_priority([("initials", initials), ("fuzzy", fuzzy), ("cross_fuzzy", across)], ["gender", "a_name", "b_name"]))
     side = lambda x, *key: rows.select(*[F.col(c).alias(c if c in key else f"{x}_{c}") for c in ("gender", "name", "given", "id", "school", "first_year", "last_year", "groups")])
     smaller, gap = F.col("a_id") < F.col("b_id"), span_gap(F.col("a_first_year"), F.col("a_last_year"), F.col("b_first_year"), F.col("b_last_year"))

@@ -99,3 +99,9 @@ def test_pairs_of_a_block_are_dealt_out(spark, monkeypatch, most):
 def test_lines_of_a_small_table_are_dealt_out(spark, name):
     """A table of one row group comes in one task, however many rows it has."""
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_last_names_of_other_first_letters_are_met(spark):
+    people = [(1, "Ann Lee", "women", "S"), (2, "Ann Dee", "women", "S"), (3, "Jon Orr", "men", "S"), (4, "jon Korr", "men", "T"), (5, "Jon Ray", "men", "S"), (6, "Jim Dorr", "men", "S"), (7, "Ann Bo", "women", "T"), (8, "Ann Lo", "women", "U")]
+    df = spark.createDataFrame(people, "id long, name string, gender string, school string").selectExpr("*", "2000 AS first_year", "2001 AS last_year", "CAST(array() AS array<string>) AS groups")
+    assert sorted((r.a, r.b, r.strategy) for r in entity.candidates(df).collect()) == [(1, 2, "cross_fuzzy"), (3, 4, "cross_fuzzy")]
